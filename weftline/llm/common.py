@@ -84,12 +84,16 @@ class Base:
     """Random byte codes and the powers of one odd base."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.default_rng(seed)
         self.codes = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(2**40, 2**62)) * 8 + 5
         self.inverse = pow(self.base, -1, 2**64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return Base, (self.seed,)
+
     def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, CHUNK + 1024)

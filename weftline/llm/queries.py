@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_suffix_dedup": "suffixes",
     "op5_best_fit_packing": "packing",
     "op8_mix_sources": "mixing",
 }
