@@ -6,6 +6,7 @@ import importlib
 
 _MODULES = {
     "op1_suffix_dedup": "suffixes",
+    "op2_minhash_near_dedup": "neardup",
     "op5_best_fit_packing": "packing",
     "op8_mix_sources": "mixing",
 }
