@@ -8,6 +8,7 @@ _MODULES = {
     "op1_suffix_dedup": "suffixes",
     "op2_minhash_near_dedup": "neardup",
     "op5_best_fit_packing": "packing",
+    "op7_toxicity": "toxicity",
     "op8_mix_sources": "mixing",
 }
 _SQL = {"op8_mix_sources": "mixing"}
