@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op10_graph_neighbours": "ann",
     "op1_suffix_dedup": "suffixes",
     "op2_minhash_near_dedup": "neardup",
     "op5_best_fit_packing": "packing",
