@@ -7,7 +7,9 @@ of any substring as (S[j] - S[i]) * B^-i, one multiplication a substring.
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -123,6 +125,14 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+def of_worker(key: object, make: Callable[[], object]) -> object:
+    """A value that a Python worker makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("_weftline_worker", types.ModuleType("_weftline_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -17,32 +17,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, checkpoint, chunks, map_batches, table, text_or_empty
+from .common import buffer_of, checkpoint, chunks, map_batches, of_worker, table, text_or_empty
 
 LENGTH = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Pieces a packing partition holds at the least; entries of a worker's word cache.
-PER_PARTITION, CACHE = 50_000, 300_000
+PER_PARTITION, CACHE = 50_000, 500_000
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices first[i] .. first[i] + n[i] - 1 of all i in turn, and where each i begins among them (one more at the end)."""
+    upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    return np.repeat(first - upto[:-1], n) + np.arange(upto[-1]), upto
 
 
 class WordIds:
-    """Token ids by white-space word: the tokenizer drops white space and never joins across it, so a text's ids are those of its words."""
+    """Token ids by white-space word: the tokenizer drops white space and never joins across it, so a text's ids are those of its words.
+
+    Words of Latin-1 letters, with one full stop or comma at most, are known by their
+    lower-case letters; many of them go to the tokenizer as one text, which the ids that
+    end words take apart again. Any other word is encoded by itself.
+    """
+
+    SIMPLE = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        ids, lengths = [], []
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            own = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[own])
+            if len(last) != len(part):
+                each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+                own, last = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+            ids.append(own)
+            lengths.append(np.diff(np.concatenate([[-1], last])))
+        for w in words:
+            self.known[w] = len(self.known)
+        self.flat = np.concatenate([self.flat, *ids])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
+
+    def stems(self, words: list[str]) -> np.ndarray:
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        return [self.known[w] for w in words]
+            self.forget()
+        if new := [w for w in words if w not in self.known]:
+            self.learn(new)
+        return np.array([self.known[w] for w in words], np.int64)
 
     def texts(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, and the offsets of its texts in them."""
@@ -50,16 +86,32 @@ class WordIds:
 
         split = pc.ascii_split_whitespace(col)
         coded = pc.dictionary_encode(split.flatten())
-        ids = self.of(coded.dictionary.to_pylist())
-        lengths = np.array([len(x) for x in ids] or [0], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        first = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        n = lengths[codes] if len(codes) else np.zeros(0, np.int64)
-        upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(first[codes] - upto[:-1], n) + np.arange(upto[-1]) if len(codes) else np.zeros(0, np.int64)
         texts = split.offsets.to_numpy().astype(np.int64)
-        return flat[at], upto[texts - texts[0]]
+        words = coded.dictionary
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        simple = pc.match_substring_regex(words, pattern=self.SIMPLE).to_numpy(zero_copy_only=False)
+        at, other = np.flatnonzero(simple), np.flatnonzero(~simple)
+        low = pc.utf8_lower(words.take(pa.array(at)))
+        stems = pc.dictionary_encode(pc.utf8_rtrim(low, characters=".,"))
+        which = self.stems(stems.dictionary.to_pylist())[stems.indices.to_numpy(zero_copy_only=False)] if len(at) else np.zeros(0, np.int64)
+        each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words.take(pa.array(other)).to_pylist(), add_special_tokens=False)]
+        # One store: known words, the marks, the other words; an entry is a range of it and perhaps a mark.
+        store = [self.flat, *(np.array(self.marks[m], np.uint32) for m in ".,"), *each]
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in store])]).astype(np.int64)
+        first, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[at], n[at] = self.first[which], self.first[which + 1] - self.first[which]
+        first[other], n[other] = begin[3:-1], np.diff(begin)[3:]
+        mark = np.zeros(len(words), np.int64)
+        for k, m in enumerate(".,", 1):
+            mark[at[pc.ends_with(low, m).to_numpy(zero_copy_only=False)]] = k
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        pair_first, pair_n = np.zeros((len(codes), 2), np.int64), np.zeros((len(codes), 2), np.int64)
+        pair_first[:, 0], pair_n[:, 0] = first[codes], n[codes]
+        m = mark[codes]
+        pair_first[:, 1], pair_n[:, 1] = begin[m], np.where(m > 0, np.diff(begin)[m], 0)
+        index, upto = spread(pair_first.ravel(), pair_n.ravel())
+        return np.concatenate(store)[index], upto[2 * (texts - texts[0])]
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,10 +123,10 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
-        coder = WordIds(path)
+        coder = of_worker(f"words {path}", lambda: WordIds(path))
         for batch in batches:
             _, offsets = buffer_of(batch.column(1))
-            for i, j in chunks(offsets, 1 << 20):
+            for i, j in chunks(offsets, 4 << 20):
                 part = batch.slice(i, j - i)
                 ids, upto = coder.texts(part.column(1))
                 docs_, nos, starts, sizes, sums = [], [], [], [], []
