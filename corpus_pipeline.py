@@ -1,10 +1,82 @@
-"""Training corpus in five stages: toxicity, near duplicates, repeated passages, source mix, packing."""
+"""Training corpus in five stages: toxicity, near duplicates, repeated passages, source mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of documents (doc_id, text, lang, source, n_chars).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import mixing, neardup, packing, suffixes, toxicity
+from weftline.llm.common import checkpoint, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def clean(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches 0.7 go; all others stay as they are."""
+    docs = clean(docs)
+    model = toxicity.model_of(docs, table(spark, sf_dir, "labels"))
+    return clean(toxicity.score(docs, model, COLUMNS).where(F.col("score") < toxicity.THRESHOLD))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group stays, once; documents without words and those with a null doc_id stay."""
+    docs = clean(docs)
+    found = neardup.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    rest = docs.join(found, "doc_id", "left_anti")
+    named, unnamed = rest.where(F.col("doc_id").isNotNull()), rest.where(F.col("doc_id").isNull())
+    return clean(named.dropDuplicates(["doc_id"])).unionByName(clean(unnamed))
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages of 200 bytes or more that occur elsewhere go; documents that had text and are left with none go too."""
+    docs = clean(docs)
+    cut = suffixes.remove_repeats(docs, extra=("lang", "source"))
+    cut = cut.where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    return clean(cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document once for each pass over its source that takes words of it; documents without words stay."""
+    docs = clean(docs).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    mixed = mixing.mix(docs, extra=("h1", "h2", "lang", "n_chars"))
+    passes = [F.when(F.col(f"epoch_{e}") > 0, F.lit(e)) for e in range(mixing.MOST)]
+    times = mixed.withColumn("times", F.when(F.col("size") == 0, F.array(F.lit(0))).otherwise(F.array_compact(F.array(*passes))))
+    chosen = times.select(*[c for c in COLUMNS if c != "text"], "h1", "h2", F.explode("times").alias("time"))
+    texts = docs.select("h1", "h2", "text").dropDuplicates(["h1", "h2"])  # many rows may share a text
+    return clean(chosen.join(texts, ["h1", "h2"]))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece of a sequence of 4096 tokens (columns of packing.pack)."""
+    return packing.pack(checkpoint(packing.pieces(clean(docs))))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeats),
+    ("source_mix", mix_sources),
+    ("packing", pack_sequences),
+]
+#: The learned lexicon, the signatures and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each one's rows written to the checkpoint folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = checkpoint(docs)
+    return docs

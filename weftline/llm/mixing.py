@@ -74,11 +74,12 @@ def schedule(needs: DataFrame, slots: int) -> DataFrame:
     return ranked.where("rank < need").unionByName(short).select("src_id", "rank")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, extra: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns one row a document: its id, size, source_size, target, taken, and
-    epoch_first / epoch_again (words taken in the first and the repeated pass).
+    epoch_0, epoch_1 (words taken in the first and the repeated pass), and the columns
+    ``extra`` of docs with source; these are shuffled, so texts are better joined after.
     The order within a source is that of md5(doc_id), so reruns agree. Null texts
     and texts without words have size 0 and take 0; null sources form one source,
     the last; repeated rows count each; an empty table gives no rows. ``share`` up
@@ -87,19 +88,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slim = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))).alias("shuffled"),
+        *extra,
     )
     slim = checkpoint(slim)
     sums = checkpoint(targets(slim.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn("goal", F.floor("target").cast("long")).withColumn("src_id", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())).cast("long")))
     slots = sums.agg(F.coalesce(F.sum(F.ceil(F.col("goal") / block)), F.lit(0)).cast("long")).first()[0]
     plan = schedule(sums.select("src_id", F.ceil(F.col("goal") / block).cast("long").alias("need")), slots)
 
-    base = slim.join(sums.select("src", "src_id", "source_size", "target", "goal"), slim["src"].eqNullSafe(sums["src"])).drop("src")
+    base = slim.join(sums.select("src", "src_id", "source_size", "target", "goal"), slim["src"].eqNullSafe(sums["src"])).drop(sums["src"]).withColumnRenamed("src", "source")
     base = base.withColumn("bucket", F.conv(F.substring("shuffled", 1, 3), 16, 10).cast("int"))
+    keep = ["source", *extra] if extra else []
     heads = base.groupBy("src_id", "bucket").agg(F.sum("size").alias("n"))
     heads = heads.select("src_id", "bucket", (F.sum("n").over(Window.partitionBy("src_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("head"))
     inside = Window.partitionBy("src_id", "bucket").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = base.join(heads, ["src_id", "bucket"]).withColumn("at", F.col("head") + F.sum("size").over(inside) - F.col("size"))
-    placed = checkpoint(placed.select("doc_id", "src_id", "size", "source_size", "target", "goal", "at"))
+    placed = checkpoint(placed.select("doc_id", "src_id", "size", "source_size", "target", "goal", "at", *keep))
 
     epochs = F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), (F.col("at") + e * F.col("source_size")).alias("lo")) for e in range(most)]))
     spans = placed.where("size > 0").select("src_id", "at", "size", "goal", epochs.alias("e")).select("src_id", "at", "e.epoch", "e.lo", F.least(F.col("e.lo") + F.col("size"), F.col("goal")).alias("hi")).where("lo < hi")
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     full = placed.withColumn("some", F.col("size") > 0).join(taken, ["src_id", "at", "some"], "left")
     words = [F.coalesce(F.col(f"epoch_{e}"), F.lit(0)).cast("long").alias(f"epoch_{e}") for e in range(most)]
-    return full.select("doc_id", "size", "source_size", "target", *words).withColumn("taken", sum((F.col(f"epoch_{e}") for e in range(1, most)), F.col("epoch_0")))
+    return full.select("doc_id", "size", "source_size", "target", *keep, *words).withColumn("taken", sum((F.col(f"epoch_{e}") for e in range(1, most)), F.col("epoch_0")))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

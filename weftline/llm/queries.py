@@ -8,13 +8,15 @@ _MODULES = {
     "op10_graph_neighbours": "ann",
     "op1_suffix_dedup": "suffixes",
     "op2_minhash_near_dedup": "neardup",
+    "op3_license_scan": "licenses",
     "op4_html_extraction": "sitetree",
     "op5_best_fit_packing": "packing",
     "op6_tiff_media": "media",
     "op7_toxicity": "toxicity",
     "op8_mix_sources": "mixing",
+    "op9_chat_formatting": "chat",
 }
-_SQL = {"op8_mix_sources": "mixing"}
+_SQL = {"op3_license_scan": "licenses", "op8_mix_sources": "mixing"}
 
 
 def queries() -> dict:
