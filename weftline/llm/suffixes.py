@@ -119,7 +119,8 @@ def suffix_sort(data: np.ndarray, prefix: Prefix, group: np.ndarray, start: np.n
         same = common_extension(prefix, start[x], start[y], most)
         ended = same >= most
         at = np.minimum(same, np.maximum(most - 1, 0))
-        byte = data[start[x] + at].astype(np.int64) - data[start[y] + at]
+        end = len(data) - 1  # an empty suffix may start at the very end
+        byte = data[np.minimum(start[x] + at, end)].astype(np.int64) - data[np.minimum(start[y] + at, end)]
         return np.where(ended, size[x] < size[y], byte < 0), ended & (size[x] == size[y])
 
     width, widest = 1, int(count.max()) if n else 0
@@ -157,6 +158,8 @@ def verified(data: np.ndarray, x: np.ndarray, y: np.ndarray, said: np.ndarray) -
     step = 1 << 14
     for i in range(0, len(x), step):
         width = int(said[i : i + step].max(initial=0))
+        if not width:
+            continue
         col = np.arange(width)
         ok = data[np.minimum(x[i : i + step, None] + col, len(data) - 1)] == data[np.minimum(y[i : i + step, None] + col, len(data) - 1)]
         ok |= col >= said[i : i + step, None]
@@ -270,11 +273,11 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Apply the runs to the texts. Columns: doc_id, text, runs."""
+    """Apply the runs to the texts. Columns: doc_id, text, runs, others."""
     for batch in batches:
         out = []
         texts = []
-        for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
             raw = (text or "").encode()
             spans: list[list[int]] = []
             for r in sorted((x["lo"], x["hi"] + LENGTH) for x in runs or ()):
@@ -293,7 +296,7 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
         if out:
             cols = list(zip(*out, strict=True))
             kept_ = [pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string())] * with_text
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), *kept_], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), *kept_], names=[*batch.schema.names[3:], "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
@@ -325,24 +328,26 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """Each document without the bytes covered by a LENGTH-byte string that also starts elsewhere in the table.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the
-    remaining bytes as text; bytes of a split character are left out). Null texts count as
+    remaining bytes as text; bytes of a split character are left out), and columns
+    ``extra`` of docs. Null texts count as
     empty; repeated rows are documents of their own, so copies of LENGTH bytes or
     more go whole; an empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    texts = texts.select("doc_id", "text", *row_keys("doc_id", "text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *extra)
+    texts = texts.select("doc_id", "text", *extra, *row_keys("doc_id", "text"))
     found = repeated_runs(texts)
     # Runs that touch are joined before they are gathered by document.
     by_doc = Window.partitionBy("k1", "k2").orderBy("lo", "hi")
     step = found.withColumn("far", F.max("hi").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
     step = step.withColumn("run", F.sum(F.when(F.col("far").isNull() | (F.col("lo") > F.col("far") + LENGTH), 1).otherwise(0)).over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = step.groupBy("k1", "k2", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    full = texts.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
-    return map_batches(full, lambda it: _cut(it, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    full = texts.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs", *extra)
+    types = dict(full.dtypes)
+    return map_batches(full, lambda it: _cut(it, with_text), "".join(f"`{c}` {types[c]}, " for c in extra) + "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
