@@ -1,11 +1,526 @@
-"""Registered queries over the test tables, and their SQL."""
+"""Registered queries over the test tables, and the SQL that gives the same rows.
+
+Each query applies an operator of the package to a whole table. Where the tables
+lack what an operator reads (JSON-LD, sitemaps, feeds), documents are made from
+columns, so that the SQL can go back to these columns.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import arrays, dates, ids, text, url
+from .operators import discovery, extract, merge, planning, report
+from .operators.state import Store
+from .plans import control, render
+from .plans.config import DateField, Discovery, ItemConfig, Site, SourceError, compile_source
+from .sources.listing import page_links
+from .sources.xml import feed_candidates, sitemap_candidates
+from .streaming.snapshots import run as run_site
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
+ARTICLE = ItemConfig(title=(compile_source("css:h1"),), canonical=(compile_source("request"),), selector="article", exclude=("script", "style"))
+PAGES = Site("pages", title="Pages", link="https://example.com/", description="All pages", item=ARTICLE)
+
+
+def query(sql: str | None = None):
+    def register(fn: Query) -> Query:
+        name = fn.__name__
+
+        def utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        utc.__name__, utc.__doc__ = name, fn.__doc__
+        QUERIES[name] = utc
+        if sql is not None:
+            SQL[name] = sql
+        return utc
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def at(spark: SparkSession, t: datetime):
+    return F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+
+
+def text_time(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, title, canonical, content and warnings of every page."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    out = extract.extract(table(spark, sf_dir, "pages"), PAGES)
+    return out.select("url", "title", "canonical", "content", "content_matches", F.array_join("warnings", "; ").alias("warnings"))
+
+
+# --- URLs and discovery -------------------------------------------------------------
+
+CLEANED = "CASE WHEN regexp_matches(regexp_replace(trim(url), '#.*$', ''), '^https?://[^/?#\\s]+') THEN regexp_replace(trim(url), '#.*$', '') END"
+
+
+@query(f"SELECT page_id, {CLEANED} AS clean FROM pages")
+def clean_url(spark, d):
+    return table(spark, d, "pages").select("page_id", url.clean_url(F.col("url")).alias("clean"))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '/(en|fr)/') AND NOT regexp_matches(url, 'utm_source=|#top')")
+def accept_filter(spark, d):
+    return table(spark, d, "pages").where(url.accept(F.col("url"), ["/(en|fr)/"], ["utm_source=", "#top"])).select("page_id", "url")
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, regexp_extract(url, '^https?://([^/?#]+)', 1) AS authority, regexp_extract(url, '^https?://([^/:?#]+)', 1) IN ('tionsh.example.net') AS own FROM pages")
+def url_parts(spark, d):
+    return table(spark, d, "pages").select("page_id", url.host(F.col("url")).alias("host"), url.authority(F.col("url")).alias("authority"), url.same_site(F.col("url"), ["tionsh.example.net"]).alias("own"))
+
+
+def _strategies(spark, d):
+    p = table(spark, d, "pages").withColumn("pos", F.col("page_id").cast("int"))
+    one = p.select("url", F.create_map(F.lit("title"), F.concat(F.lit("first "), F.col("page_id").cast("string"))).alias("hints"), "pos").where("page_id % 2 = 0")
+    two = p.select(F.concat("url", F.lit("#again")).alias("url"), F.create_map(F.lit("title"), F.concat(F.lit("second "), F.col("page_id").cast("string")), F.lit("author"), F.lit("a")).alias("hints"), "pos")
+    return discovery.union_dedupe([discovery.accepted(one, Discovery("feed"), 0), discovery.accepted(two, Discovery("index", exclude=("utm_source=feed",)), 1)])
+
+
+_UNION = f"""
+WITH c AS (SELECT {CLEANED} AS u, page_id, url FROM pages), r AS (
+  SELECT u AS url, 0 AS s, page_id AS pos, 'first ' || page_id AS title, NULL AS author FROM c WHERE page_id % 2 = 0
+  UNION ALL SELECT u, 1, page_id, 'second ' || page_id, 'a' FROM c WHERE NOT regexp_matches(u, 'utm_source=feed')),
+f AS (SELECT url, min((s, pos)) AS place, arg_min(title, (s, pos)) AS title, max(author) AS author FROM r GROUP BY url)
+"""
+
+
+@query(_UNION + "SELECT url, CAST(row_number() OVER (ORDER BY place, url) - 1 AS INT) AS ord FROM f")
+def discover_union_dedupe(spark, d):
+    return _strategies(spark, d).select("url", "ord")
+
+
+@query(_UNION + "SELECT url, title, author FROM f")
+def hint_merge(spark, d):
+    return _strategies(spark, d).select("url", F.element_at("hints", F.lit("title")).alias("title"), F.element_at("hints", F.lit("author")).alias("author"))
+
+
+@query(r"""
+SELECT page_id, CAST(pos - 1 AS INT) AS pos, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(link, 'href="([^"]*)"', 1) AS link, regexp_extract(link, '<a [^>]*>([^<]*)</a>', 1) AS title
+FROM (SELECT page_id, url, unnest(links) AS link, generate_subscripts(links, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<li><a [^>]*>[^<]*</a>') AS links FROM pages))
+""")
+def index_links(spark, d):
+    found = page_links(table(spark, d, "pages"), "nav li a", keep=("page_id",))
+    return found.select("page_id", "pos", F.col("url").alias("link"), F.element_at("hints", F.lit("title")).alias("title"))
+
+
+@query("SELECT event_id, 'https://example.com/e/' || event_id AS url, strftime(ts, '%Y-%m-%d') AS lastmod FROM events")
+def sitemap_parse(spark, d):
+    e = table(spark, d, "events").withColumn("x", F.concat(F.lit("<url><loc>https://example.com/e/"), F.col("event_id"), F.lit("</loc><lastmod>"), F.date_format("ts", "yyyy-MM-dd"), F.lit("</lastmod></url>")))
+    maps = e.groupBy((F.col("event_id") % 97).alias("part")).agg(F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.collect_list("x"), ""), F.lit("</urlset>")).alias("body"))
+    found = sitemap_candidates(maps.withColumn("url", F.lit("https://example.com/sitemap.xml")))
+    return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("event_id"), "url", F.element_at("hints", F.lit("lastmod")).alias("lastmod"))
+
+
+@query(r"""
+SELECT doc_id, 'https://example.com/d/' || doc_id AS url, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS title, source AS author, lang || chr(10) || source AS category FROM documents
+""")
+def feed_parse(spark, d):
+    x = lambda c: text.escape_xml(c)
+    docs = table(spark, d, "documents").withColumn("x", F.concat(F.lit("<item><title>"), x(F.substring("text", 1, 60)), F.lit("</title><guid>https://example.com/d/"), F.col("doc_id"), F.lit("</guid><dc:creator>"), x(F.col("source")), F.lit("</dc:creator><category>"), x(F.col("lang")), F.lit("</category><category>"), x(F.col("source")), F.lit("</category></item>")))
+    head = '<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>t</title>'
+    feeds = docs.groupBy((F.col("doc_id") % 31).alias("part")).agg(F.concat(F.lit(head), F.array_join(F.collect_list("x"), ""), F.lit("</channel></rss>")).alias("body"))
+    found = feed_candidates(feeds.withColumn("url", F.lit("https://example.com/feed")))
+    hint = lambda k: F.element_at("hints", F.lit(k)).alias(k)
+    return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("doc_id"), "url", hint("title"), hint("author"), hint("category"))
+
+
+# --- Extraction ---------------------------------------------------------------------
+
+_H1 = r"trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
+
+
+@query(f"SELECT page_id, {_H1} AS title, 'css:h1' AS source FROM pages")
+def extract_title(spark, d):
+    return extract.extract(table(spark, d, "pages"), PAGES, keep=("page_id",)).select("page_id", "title", F.element_at("sources", F.lit("title")).alias("source"))
+
+
+def _made(spark, d):
+    """Pages with heads made from documents."""
+    docs = table(spark, d, "documents").withColumn("t", text.clean_text(F.substring("text", 1, 50)))
+    ld = F.to_json(F.struct(F.lit("BlogPosting").alias("@type"), F.col("t").alias("headline"), F.array(F.struct(F.col("source").alias("name")), F.struct(F.lit("Desk").alias("name"))).alias("author"), F.lit("2024-01-05T10:00:00+02:00").alias("datePublished")))
+    head = F.concat(F.lit('<head><meta property="og:title" content="'), text.escape_xml(F.col("t")), F.lit('"><meta name="description" content="'), text.escape_xml(F.col("lang")), F.lit('"><link rel="canonical" href="/c/'), F.col("doc_id"), F.lit('"><script type="application/ld+json">{"@graph":['), F.replace(ld, F.lit("</"), F.lit("<\\/")), F.lit("]}</script></head>"))
+    body = F.concat(F.lit('<body><article><time datetime="2024-03-04">x</time><p>'), text.escape_text(F.col("t")), F.lit("</p></article></body>"))
+    return docs.select("doc_id", F.concat(F.lit("https://example.com/2024/01/d"), F.col("doc_id")).alias("url"), F.concat(head, body).alias("html"))
+
+
+MADE = Site("made", item=ItemConfig(
+    title=(compile_source("jsonld:BlogPosting.headline"), compile_source("meta:og:title")), summary=(compile_source("meta:description"),), author=(compile_source("jsonld:BlogPosting.author"),),
+    canonical=(compile_source("meta:og:url"), compile_source("css:link[rel=canonical]@href"), compile_source("request")), categories=(compile_source(r"url:/(\d{4})/(\d{2})/"),),
+    published=DateField((compile_source("jsonld:BlogPosting.datePublished"),)), updated=DateField((compile_source("time:article time"),)),
+))
+_T50 = r"trim(regexp_replace(substr(text, 1, 50), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {_T50} AS title, lang AS summary, 'https://example.com/c/' || doc_id AS canonical FROM documents")
+def extract_meta(spark, d):
+    out = extract.extract(_made(spark, d), MADE, keep=("doc_id",))
+    return out.select("doc_id", "title", "summary", "canonical")
+
+
+@query("SELECT doc_id, source || ' and Desk' AS author, '2024-01-05 08:00:00.000' AS published, false AS date_only, 'jsonld:BlogPosting.datePublished' AS source FROM documents")
+def extract_jsonld(spark, d):
+    out = extract.extract(_made(spark, d), MADE, keep=("doc_id",))
+    return out.select("doc_id", "author", text_time("published").alias("published"), F.col("published_date_only").alias("date_only"), F.col("published_source").alias("source"))
+
+
+@query("SELECT doc_id, '2024-03-04 00:00:00.000' AS updated, true AS date_only, '2024-01' AS month FROM documents")
+def extract_time_and_url(spark, d):
+    out = extract.extract(_made(spark, d), MADE, keep=("doc_id",))
+    return out.select("doc_id", text_time("updated").alias("updated"), F.col("updated_date_only").alias("date_only"), F.get("categories", F.lit(0)).alias("month"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m') AS month FROM events")
+def url_match(spark, d):
+    e = table(spark, d, "events").withColumn("u", F.concat(F.lit("https://example.com/"), F.date_format("ts", "yyyy/MM"), F.lit("/"), F.col("event_id")))
+    return e.select("event_id", url.url_match(F.col("u"), r"/(\d{4})/(\d{2})/").alias("month"))
+
+
+@query("SELECT page_id, CAST(1 AS INT) AS matches, length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) > 0 AS some FROM pages")
+def extract_content(spark, d):
+    out = extract.extract(table(spark, d, "pages"), PAGES, keep=("page_id",))
+    return out.select("page_id", F.col("content_matches").alias("matches"), (F.length("content") > 0).alias("some"))
+
+
+@query()
+def body_normalize(spark, d):
+    out = extract.bodies(extract.extract(table(spark, d, "pages"), PAGES, keep=("page_id",)), PAGES)
+    return out.select("page_id", "content_html", "summary", F.sha2("content_html", 256).alias("digest"))
+
+
+@query("SELECT count(*) AS pages, count(*) FILTER (WHERE html LIKE '%<h1>_%') AS with_title, CAST(0 AS BIGINT) AS with_published, count(*) FILTER (WHERE html LIKE '%<article>%') AS with_content FROM pages")
+def extraction_health(spark, d):
+    return report.extraction_health(extract.extract(table(spark, d, "pages"), PAGES))
+
+
+@query(f"SELECT 'no date' AS warning, count(*) AS n FROM pages UNION ALL SELECT 'no title', count(*) FROM pages WHERE {_H1} = '' HAVING count(*) > 0")
+def extraction_warnings(spark, d):
+    out = extract.extract(table(spark, d, "pages"), PAGES).select(F.explode("warnings").alias("warning"))
+    return out.groupBy("warning").agg(F.count("*").alias("n"))
+
+
+# --- Scalars ------------------------------------------------------------------------
+
+_CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_HEAD = f"left({_CLEAN}, 300)"
+_KEPT = f"(length({_HEAD}) - CASE WHEN strpos(reverse({_HEAD}), ' ') = 0 THEN 0 ELSE strpos(reverse({_HEAD}), ' ') END)"
+
+
+@query(f"SELECT doc_id, CASE WHEN length({_CLEAN}) <= 300 THEN {_CLEAN} WHEN strpos(reverse({_HEAD}), ' ') > 0 AND {_KEPT} > 150 THEN rtrim(left({_HEAD}, {_KEPT}), ' ,;:.-') || '…' ELSE {_HEAD} || '…' END AS excerpt FROM documents")
+def plain_text_excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.excerpt(text.clean_text(F.col("text")), 300).alias("excerpt"))
+
+
+@query(r"SELECT doc_id, substr(text, 1, 20) || substr(text, 21, 20) || CASE WHEN length(text) > 20 THEN chr(8205) ELSE '' END || 'x' AS stripped FROM documents")
+def strip_invisible(spark, d):
+    t = F.concat(F.substring("text", 1, 20), F.lit("​‍"), F.substring("text", 21, 20), F.lit("﻿"), F.lit("‍"), F.lit("x"))
+    noisy = F.regexp_replace(t, "﻿‍", "‍")
+    return table(spark, d, "documents").select("doc_id", text.strip_invisible(noisy).alias("stripped"))
+
+
+@query("SELECT doc_id, substr(text, 1, 40) || 'ab' AS valid, replace(replace(replace(substr(text, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, CASE WHEN length(text) > 10 THEN left(text, 9) || '…' ELSE text END AS short FROM documents")
+def xml_text(spark, d):
+    head = F.substring("text", 1, 40)
+    return table(spark, d, "documents").select("doc_id", text.xml_clean(F.concat(head, F.lit("a\x01\x0bb￾"))).alias("valid"), text.escape_text(head).alias("escaped"), text.shorten(F.col("text"), 10).alias("short"))
+
+
+@query("""
+SELECT n_regionkey, CASE WHEN count(*) = 1 THEN min(n_name) WHEN count(*) = 2 THEN string_agg(n_name, ' and ' ORDER BY n_name)
+  ELSE array_to_string(list_slice(list(n_name ORDER BY n_name), 1, count(*) - 1), ', ') || ', and ' || max(n_name) END AS names FROM nation GROUP BY n_regionkey
+""")
+def join_names(spark, d):
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("a")).select("n_regionkey", arrays.join_names(F.col("a")).alias("names"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+def dedupe_ci(spark, d):
+    a = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("a"))
+    return a.select("n_regionkey", F.array_join(arrays.distinct_ignoring_case(F.concat("a", F.transform("a", F.lower))), "|").alias("names"))
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.000') AS parsed, event_id % 4 = 3 AS date_only FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, strftime(ts, '%Y-%m-%d') || ' 00:00:00.000', true FROM events WHERE event_id % 4 = 3")
+def parse_dates(spark, d):
+    k, ts = F.col("event_id") % 4, F.col("ts").cast("timestamp")
+    raw = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss '+0000'")).when(k == 2, F.date_format(ts, "EEEE, dd-MMM-yy HH:mm:ss 'GMT'")).otherwise(F.date_format(ts, "MMM d, yyyy"))
+    e = table(spark, d, "events").select("event_id", dates.parse_date(raw, ["Jan 2, 2006"]).alias("p"))
+    return e.select("event_id", text_time("p.time").alias("parsed"), F.col("p.date_only").alias("date_only"))
+
+
+@query("""
+WITH e AS (SELECT event_id, ts, ts + INTERVAL 1 DAY AS seen, event_id % 3 AS k, LEAST(event_id % 1500, 999) AS o FROM events),
+z AS (SELECT *, timezone('UTC', ts) AS u FROM e),
+l AS (SELECT *, date_trunc('day', timezone('America/Los_Angeles', u)) AS day FROM z)
+SELECT event_id, strftime(CASE k WHEN 0 THEN date_trunc('millisecond', seen) WHEN 1 THEN date_trunc('millisecond', ts) ELSE timezone('UTC', timezone('America/Los_Angeles', day)) + to_milliseconds(999 - o) END, '%Y-%m-%d %H:%M:%S.%g') AS published,
+  CASE k WHEN 0 THEN 'first_seen' WHEN 1 THEN 'x' ELSE 'x (date)' END AS source FROM l
+""")
+def published_at(spark, d):
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 3
+    time = F.when(k > 0, ts)
+    p = dates.published_at(time, k == 2, F.lit("x"), ts + F.expr("INTERVAL 1 DAY"), (F.col("event_id") % 1500).cast("int"), "America/Los_Angeles")
+    return table(spark, d, "events").select("event_id", p.alias("p")).select("event_id", text_time("p.at").alias("published"), F.col("p.source").alias("source"))
+
+
+@query("SELECT event_id, strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') AS rss, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS atom, epoch_us(ts) // 1000 AS ms FROM events")
+def feed_dates(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select("event_id", dates.rss_date(ts).alias("rss"), dates.atom_date(ts).alias("atom"), dates.to_millis(ts).alias("ms"))
+
+
+@query("SELECT doc_id, sha256(source || chr(0) || lang || chr(0) || text) AS hash, '\"' || left(sha256(text), 32) || '\"' AS tag, left(sha256('author' || chr(0) || source || chr(0) || 'title' || chr(0) || lang || chr(0)), 32) AS hints FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", ids.content_hash(F.col("source"), F.col("lang"), F.col("text")).alias("hash"), ids.etag(F.col("text")).alias("tag"), ids.hints_hash({"title": F.col("lang"), "author": F.col("source")}).alias("hints"))
+
+
+@query("""
+WITH h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)
+SELECT page_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(strpos('0123456789abcdef', substr(h, 17, 1)) - 1 AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS guid FROM h
+""")
+def guid_v5(spark, d):
+    return table(spark, d, "pages").select("page_id", ids.uuid5_url(F.col("url")).alias("guid"))
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' ELSE 'image/jpeg' END AS kind FROM pages")
+def image_type(spark, d):
+    ext = F.element_at(F.array(F.lit(".PNG?w=1"), F.lit(".jpg"), F.lit(".webp#x"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", url.image_type(F.concat(F.lit("https://cdn.example/i"), ext)).alias("kind"))
+
+
+@query("SELECT p_partkey, (p_partkey % 256) NOT IN (0, 10, 127) AND (p_partkey % 256) < 224 AND NOT ((p_partkey % 256) = 100 AND (p_partkey // 256) % 256 BETWEEN 64 AND 127) AS public FROM part")
+def public_addr(spark, d):
+    k = F.col("p_partkey")
+    ip = F.concat_ws(".", (k % 256).cast("string"), (F.floor(k / 256) % 256).cast("string"), F.lit("7"), F.lit("9"))
+    return table(spark, d, "part").select("p_partkey", control.public_ipv4(ip).alias("public"))
+
+
+@query("SELECT event_id, event_id % 7 IN (1, 4) OR event_id % 5 = 0 AS again FROM events")
+def retryable(spark, d):
+    status = F.element_at(F.array(*[F.lit(s) for s in (200, 429, 404, 304, 503, 403, 301)]), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", control.retryable(status, F.when(F.col("event_id") % 5 == 0, "transport").otherwise("")).alias("again"))
+
+
+LINT = ["jsonld:BlogPosting.headline", "meta:og:title", "css:h1", "css:link[rel=canonical]@href", "time:article time", r"url:/(\d{4})/", "listing:published", "request", "jsonld:BlogPosting", "css:div[", "url:(", "listing:nope", "xpath://h1", "meta:", "h1", "request:x"]
+
+
+@query("SELECT CAST(n AS BIGINT) AS n, n < 8 AS ok FROM range(16) t(n)")
+def lint_sources(spark, d):
+    rows = []
+    for n, raw in enumerate(LINT):
+        try:
+            rows.append((n, bool(compile_source(raw))))
+        except SourceError:
+            rows.append((n, False))
+    return spark.createDataFrame(rows, "n long, ok boolean")
+
+
+# --- Planning, merging, reporting ---------------------------------------------------
+
+EVENTS = Site("events", max_items=50, refresh_window=20 * 86400.0, item=ARTICLE)
+
+
+def _event_items(spark, d):
+    """Items of events by type: id as guid and url, ts as published."""
+    ts = F.col("ts").cast("timestamp")
+    return table(spark, d, "events").select(F.col("event_type").alias("site_id"), F.col("event_id").cast("string").alias("guid"), F.concat(F.lit("https://example.com/"), F.col("event_id")).alias("url"), ts.alias("published_at"), ts.alias("first_seen_at"), ts.alias("last_fetched_at"), F.col("event_id"))
+
+
+@query("""
+WITH e AS (SELECT *, event_id % 10 = 0 AS fresh FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('second', CASE WHEN fresh THEN ts END) DESC NULLS LAST, event_id) AS x,
+        row_number() OVER (PARTITION BY event_type ORDER BY CASE WHEN fresh THEN date_trunc('second', ts) ELSE ts END DESC, CASE WHEN fresh THEN 0 ELSE 1 END, CASE WHEN fresh THEN event_id ELSE 0 END, 'https://example.com/' || event_id) AS rank FROM e)
+SELECT event_id, NOT fresh AS is_known FROM r WHERE (fresh AND rank <= 50) OR (NOT fresh AND TIMESTAMP '2024-02-01' - ts <= INTERVAL 20 DAY)
+""")
+def plan_fresh_refresh(spark, d):
+    e = _event_items(spark, d)
+    hints = F.create_map(F.lit("published"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    candidates = e.select("site_id", "url", hints.alias("hints"), F.col("event_id").cast("int").alias("ord"))
+    known = e.where("event_id % 10 <> 0")
+    out = planning.plan(candidates, known, None, EVENTS, at(spark, NOW))
+    return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("event_id"), "is_known")
+
+
+@query("SELECT event_type, event_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS rank FROM events) WHERE rank <= 50")
+def recent_items(spark, d):
+    return report.recent(_event_items(spark, d), 50).select(F.col("site_id").alias("event_type"), "event_id", "rank")
+
+
+@query("SELECT event_id FROM events ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 25")
+def top_items(spark, d):
+    return report.top(_event_items(spark, d), 25).select("event_id")
+
+
+@query("SELECT event_type, count(*) AS problems FROM (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS prev FROM events) WHERE ts > prev GROUP BY event_type")
+def feed_check_sorted(spark, d):
+    found = report.sort_problems(_event_items(spark, d), "site_id", "event_id", "published_at")
+    return found.groupBy(F.col("site_id").alias("event_type")).agg(F.count("*").alias("problems"))
+
+
+@query("SELECT event_id, first_pos FROM (SELECT event_id, min(event_id) OVER (PARTITION BY event_type, user_id) AS first_pos FROM events) WHERE event_id > first_pos")
+def feed_check_dup_guid(spark, d):
+    rows = table(spark, d, "events").withColumn("guid", F.col("user_id").cast("string"))
+    return report.duplicate_problems(rows, "event_type", "event_id").select("event_id", "first_pos")
+
+
+@query("SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS pub_date, strftime(greatest(max(ts + INTERVAL 1 HOUR), TIMESTAMP '2024-01-15'), '%Y-%m-%d %H:%M:%S') AS updated FROM events GROUP BY event_type")
+def channel_times(spark, d):
+    items = _event_items(spark, d).withColumn("updated_at", F.col("published_at") + F.expr("INTERVAL 1 HOUR"))
+    out = report.channel_times(items, F.lit("2024-01-15").cast("timestamp"))
+    return out.select(F.col("site_id").alias("event_type"), F.date_format("pub_date", "yyyy-MM-dd HH:mm:ss").alias("pub_date"), F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+
+
+def _documents(spark, d, version: int):
+    """Documents as extracted pages: version 2 edits every 7th, drops every 11th and adds every 13th."""
+    docs = table(spark, d, "documents")
+    docs = docs.where("doc_id % 13 <> 0") if version == 1 else docs.where("doc_id % 11 <> 0")
+    body = F.when((F.lit(version) == 2) & (F.col("doc_id") % 7 == 0), F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    link = F.concat(F.lit("https://example.com/d/"), F.col("doc_id"))
+    day = F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-10 12:00:00").cast("timestamp"))
+    return docs.select(
+        F.lit("docs").alias("site_id"), link.alias("url"), link.alias("canonical"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("summary"), F.col("source").alias("author"), F.lit("").alias("image"), F.array("lang").alias("categories"),
+        day.alias("published"), F.lit(False).alias("published_date_only"), F.lit("meta:date").alias("published_source"), F.lit(None).cast("timestamp").alias("updated"), body.alias("content_html"), F.col("doc_id").cast("int").alias("ord"), F.lit(False).alias("not_modified"),
+    )
+
+
+def _two_runs(spark, d):
+    empty = spark.createDataFrame([], merge.ITEM)
+    first, _ = merge.merge(empty, _documents(spark, d, 1), EVENTS, F.lit("2024-02-01").cast("timestamp"))
+    second, outcomes = merge.merge(first, _documents(spark, d, 2), EVENTS, F.lit("2024-02-02").cast("timestamp"))
+    seen = _documents(spark, d, 2).select("site_id", "url")
+    return merge.mark_missing(second, seen, F.lit("2024-02-02").cast("timestamp")), outcomes
+
+
+_MERGED = """
+WITH x AS (SELECT *, doc_id % 13 <> 0 AS old, doc_id % 11 <> 0 AS new, doc_id % 7 = 0 AS edit FROM documents)
+"""
+
+
+@query(_MERGED + """
+SELECT 'https://example.com/d/' || doc_id AS guid, CASE WHEN doc_id % 2 = 0 THEN '2024-01-10 12:00:00' WHEN old THEN '2024-02-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS published,
+  CASE WHEN old AND new AND edit THEN '2024-02-02 00:00:00' END AS updated, CASE WHEN old THEN '2024-02-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS first_seen,
+  CASE WHEN new THEN '2024-02-02 00:00:00' ELSE '2024-02-01 00:00:00' END AS last_fetched, CASE WHEN NOT new THEN '2024-02-02 00:00:00' END AS missing,
+  sha256(substr(text, 1, 40) || chr(0) || lang || chr(0) || text || CASE WHEN new AND edit THEN ' edited' ELSE '' END) AS hash, CASE WHEN doc_id % 2 = 0 THEN 'meta:date' ELSE 'first_seen' END AS source
+FROM x WHERE old OR new
+""")
+def merge_items(spark, d):
+    t = lambda c, n: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n)
+    return _two_runs(spark, d)[0].select("guid", t("published_at", "published"), t("updated_at", "updated"), t("first_seen_at", "first_seen"), t("last_fetched_at", "last_fetched"), t("missing_since", "missing"), F.col("content_hash").alias("hash"), F.col("published_source").alias("source"))
+
+
+@query(_MERGED + "SELECT count(*) FILTER (WHERE new) AS fetched, count(*) FILTER (WHERE new AND NOT old) AS new, count(*) FILTER (WHERE new AND old AND edit) AS updated, count(*) FILTER (WHERE new AND old AND NOT edit) AS unchanged, CAST(0 AS BIGINT) AS errors FROM x")
+def run_stats(spark, d):
+    return report.run_stats(_two_runs(spark, d)[1]).select("fetched", "new", "updated", "unchanged", "errors")
+
+
+@query("SELECT CASE WHEN n % 10 < 6 THEN n % 10 ELSE 0 END AS bad, 10 * CASE WHEN n % 10 < 6 THEN n % 10 ELSE 0 END > 0.5 * 10 * 4 AS warn FROM range(12) t(n)")
+def health_ratio(spark, d):
+    bad = F.when(F.col("id") % 10 < 6, F.col("id") % 10).otherwise(0)
+    rows = spark.range(12).select(bad.alias("bad"), F.lit(5).alias("fetched"), F.lit(1).alias("not_modified"), bad.alias("no_content"), F.lit(0).alias("no_date"))
+    return rows.select("bad", report.unhealthy(rows).alias("warn"))
+
+
+@query("SELECT event_type AS site_id, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS next, max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 22:00:00' AS due FROM events GROUP BY event_type UNION ALL SELECT 'never', '2024-01-30 22:00:00', true")
+def due_sites(spark, d):
+    now = F.lit("2024-01-30 22:00:00").cast("timestamp")
+    state = table(spark, d, "events").groupBy(F.col("event_type").alias("site_id")).agg(F.max("ts").cast("timestamp").alias("last_run_at"))
+    sites = state.select("site_id").unionByName(spark.createDataFrame([("never",)], "site_id string")).withColumns({"interval_s": F.lit(3600.0), "idx": F.lit(0)})
+    out = planning.due_sites(sites, state, now)
+    return out.select("site_id", F.date_format("next_at", "yyyy-MM-dd HH:mm:ss").alias("next"), "due")
+
+
+@query("SELECT bool_and(n = 2) AS ready FROM (SELECT event_type, count(DISTINCT event_id % 2) AS n FROM events GROUP BY event_type)")
+def ready_sites(spark, d):
+    e = table(spark, d, "events").withColumn("site_id", F.col("event_type"))
+    state = e.groupBy("site_id").agg(F.max("ts").cast("timestamp").alias("last_success_at"))
+    served = e.select("site_id", (F.col("event_id") % 2).alias("format")).distinct()
+    return report.ready(state.select("site_id"), state, served, 2)
+
+
+# --- Feeds --------------------------------------------------------------------------
+
+def _feed_items(spark, d):
+    link = F.concat(F.lit("https://example.com/d/"), F.col("doc_id"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.col("lang").alias("title"), link.alias("url"), link.alias("guid"), F.lit("a & <b>").alias("summary"), F.col("text").alias("content_html"), F.col("source").alias("author"), F.array(F.col("lang")).alias("categories"), F.lit("2024-01-10 12:00:00").cast("timestamp").alias("published_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit("").alias("image_url"), (F.col("doc_id") % 2 == 0).alias("permalink"))
+
+
+@query("""
+SELECT doc_id, '    <item>' || chr(10) || '      <title>' || lang || '</title>' || chr(10) || '      <link>https://example.com/d/' || doc_id || '</link>' || chr(10) ||
+ '      <description>a &amp;amp; &amp;lt;b&amp;gt;</description>' || chr(10) || '      <content:encoded><![CDATA[' || replace(text, ']]>', ']]]]><![CDATA[>') || ']]></content:encoded>' || chr(10) ||
+ '      <dc:creator>' || source || '</dc:creator>' || chr(10) || '      <category>' || lang || '</category>' || chr(10) || '      <pubDate>Wed, 10 Jan 2024 12:00:00 +0000</pubDate>' || chr(10) ||
+ '      <guid isPermaLink="' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END || '">https://example.com/d/' || doc_id || '</guid>' || chr(10) || '    </item>' || chr(10) AS item FROM documents
+""")
+def render_rss_item(spark, d):
+    return _feed_items(spark, d).select("doc_id", render.rss_item().alias("item"))
+
+
+@query("""
+SELECT doc_id, '  <entry>' || chr(10) || '    <id>' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'urn:uuid:' END || 'https://example.com/d/' || doc_id || '</id>' || chr(10) || '    <title type="text">' || lang || '</title>' || chr(10) ||
+ '    <link rel="alternate" type="text/html" href="https://example.com/d/' || doc_id || '"></link>' || chr(10) || '    <published>2024-01-10T12:00:00Z</published>' || chr(10) || '    <updated>2024-01-10T12:00:00Z</updated>' || chr(10) ||
+ '    <author>' || chr(10) || '      <name>' || source || '</name>' || chr(10) || '    </author>' || chr(10) || '    <category term="' || lang || '"></category>' || chr(10) || '    <summary type="text">a &amp; &lt;b&gt;</summary>' || chr(10) ||
+ '    <content type="html">' || replace(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;'), chr(9), '&#x9;'), chr(10), '&#xA;') || '</content>' || chr(10) || '  </entry>' || chr(10) AS entry FROM documents
+""")
+def render_atom_entry(spark, d):
+    return _feed_items(spark, d).select("doc_id", render.atom_entry().alias("entry"))
+
+
+@query("SELECT 'rss' AS format, CAST(50 AS BIGINT) AS items, CAST(0 AS BIGINT) AS problems UNION ALL SELECT 'atom', 50, 0")
+def render_feeds(spark, d):
+    site = Site("docs", title="Docs", link="https://example.com/", description="All", item=ItemConfig(guid="permalink"))
+    items = _feed_items(spark, d).withColumns({"site_id": F.lit("docs"), "first_seen_at": F.col("published_at")})
+    out = []
+    for fmt, mark in (("rss", "<item>"), ("atom", "<entry>")):
+        doc = render.render(items, site, "https://feeds.example.com", NOW, fmt)
+        out.append((fmt, doc.count(mark), len(render.FORMATS[fmt].check(doc))))
+    return spark.createDataFrame(out, "format string, items long, problems long")
+
+
+@query("SELECT doc_id, length(text) = 0 AS bad FROM documents WHERE length(text) = 0")
+def item_problems(spark, d):
+    items = _feed_items(spark, d).withColumns({"site_id": F.col("url"), "rank": F.col("doc_id")})
+    return report.item_problems(items).where("problem = 'empty content'").select(F.col("rank").alias("doc_id"), F.lit(True).alias("bad"))
+
+
+@query("SELECT o_orderkey % 100 AS k, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM orders GROUP BY 1")
+def upsert(spark, d):
+    old = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("v"))
+    out = merge.upsert(old, old.where("k % 3 = 0").withColumn("v", F.lit(1)), ("k",))
+    return out.groupBy((F.col("k") % 100).alias("k")).agg(F.count("*").alias("n"), F.sum("v").alias("replaced"))
+
+
+@query("SELECT count(*) AS items, count(*) FILTER (WHERE page_id % 5 = 0) AS updated, CAST(0 AS BIGINT) AS missing FROM pages")
+def site_runs(spark, d):
+    """Two runs of a site over a state store: every fifth page is edited in between."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-")
+    store = Store(spark, f"{root}/state-{uuid.uuid4()}")
+    site = Site("pages", item=ItemConfig(title=(compile_source("css:h1"),), canonical=(compile_source("request"),), selector="article", guid="stable-hash"))
+    pages = table(spark, d, "pages").withColumn("ord", F.col("page_id").cast("int"))
+    run_site(store, site, pages, NOW)
+    edited = pages.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("</article>"), F.lit("<p>More.</p></article>"))).otherwise(F.col("html")))
+    run_site(store, site, edited, datetime(2024, 2, 2, tzinfo=timezone.utc))
+    return store.read("items").agg(F.count("*").alias("items"), F.count_if(F.col("updated_at").isNotNull()).alias("updated"), F.count_if(F.col("missing_since").isNotNull()).alias("missing"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -7,8 +7,9 @@ becomes a selector that silently matches nothing.
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Callable
-from functools import lru_cache
 
 from .tree import Node
 
@@ -263,6 +264,9 @@ class Selector:
         return out
 
 
-@lru_cache(maxsize=1024)
 def compile_selector(raw: str) -> Selector:
-    return Selector(raw)
+    """A selector, compiled once a process; the cache isn't part of what travels to executors."""
+    known = sys.modules.setdefault("_weftline_selectors", types.ModuleType("_weftline_selectors")).__dict__
+    if raw not in known:
+        known[raw] = Selector(raw)
+    return known[raw]

@@ -100,11 +100,18 @@ def bodies(extracted: DataFrame, site: Site) -> DataFrame:
     return out.withColumn("summary", F.when(F.col("summary") == "", excerpt(F.col("content_text"), 300)).otherwise(F.col("summary")))
 
 
-def html_column(fn, returns: str = "string"):
+def html_column(fn, column: Column, returns: str = "string") -> Column:
     """A row function on HTML text as an Arrow-batched expression."""
-    return F.udf(fn, returns, useArrow=True)
+    return F.udf(fn, returns, useArrow=True)(column)
 
 
-normalized_body = html_column(lambda h: normalize(h or ""))
-text_of = html_column(plain_text)
-stats_of = html_column(lambda h: content_stats(h or ""), "map<string,int>")
+def normalized_body(c: Column, base: str = "") -> Column:
+    return html_column(lambda h: normalize(h or "", base), c)
+
+
+def text_of(c: Column) -> Column:
+    return html_column(plain_text, c)
+
+
+def stats_of(c: Column) -> Column:
+    return html_column(lambda h: content_stats(h or ""), c, "map<string,int>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import checkpoint
 from ..functions.dates import later_than, published_at, source_day
 from ..functions.ids import content_hash, uuid5_url
 from ..plans.config import Site
@@ -35,7 +36,7 @@ def merge(items: DataFrame, pages: DataFrame, site: Site, now: Column) -> tuple[
     """
     permalink = site.item.guid == "permalink"
     tz = site.timezone
-    pages = built(pages, site)
+    pages = checkpoint(built(pages, site))  # each fetched page is extracted once
     old = items.select(*[F.col(c).alias(f"old_{c}") for c in COLUMNS])
     by_url = pages.join(old, (pages["site_id"] == old["old_site_id"]) & (pages["url"] == old["old_url"]), "left")
     if permalink:
@@ -64,7 +65,7 @@ def merge(items: DataFrame, pages: DataFrame, site: Site, now: Column) -> tuple[
     for c in META:
         same &= F.col(f"new.{c}").eqNullSafe(F.col(f"old_{c}"))
     outcome = F.when(F.col("not_modified"), "not_modified").when(F.coalesce(F.col("content_html"), F.lit("")) == "", "no_content").when(~F.col("have"), "new").when(same, "unchanged").otherwise("updated")
-    rows = rows.withColumn("outcome", outcome)
+    rows = checkpoint(rows.withColumn("outcome", outcome).select("site_id", "url", "ord", "guid", "have", "outcome", "new", "old_guid"))
 
     # One row a guid: the first page makes the item, the last says what stands.
     order = Window.partitionBy("site_id", "guid")

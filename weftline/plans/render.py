@@ -123,7 +123,8 @@ def render(items: DataFrame, site: Site, base_url: str, last_build: datetime | N
     url = f"{base_url}/feeds/{site.id}{FORMATS[fmt].extension}"
     if fmt == "rss":
         return rss_document(site, url, (r["x"] for r in rows), max((r["p"] for r in rows), default=None), last_build)
-    times = [r["u"] for r in rows] + ([last_build] if last_build else [])
+    naive = last_build.astimezone(timezone.utc).replace(tzinfo=None) if last_build and last_build.tzinfo else last_build
+    times = [r["u"] for r in rows] + ([naive] if naive else [])
     return atom_document(site, url, (r["x"] for r in rows), max(times, default=None))
 
 
