@@ -7,11 +7,15 @@ agrees on one of 16 chunks of 3 symbols up to the errors allowed there: one erro
 in ONE_ERROR chunks (all keys with one symbol blanked), none in the others, for
 7 * 2 + 9 * 1 = T + 1. So all pairs within T share a key.
 
-Documents of one shingle set are one class before anything is paired. The members
-of a key are first linked to its least class only; then, among members of other
-components, every pair within T is confirmed, one closest pair per two components
-first. Members of one component are never paired, so a group of n near copies
-costs n confirmations, yet no link between components is lost.
+Documents of one shingle set are one class before anything is paired. Classes that
+share a key are joined to groups such that all pairs within T lie in one group: the
+members of a key by their distance to its least class, then members of several
+groups in one key by one pair for any two groups. A group's links are confirmed
+against a pivot near its consensus signature, which settles most of its members;
+the strays among them are compared with the whole group in blocks (dense product
+of common shingles, inverted lists of rare ones), of which only links between
+different components come out. So n near copies cost n confirmations and a little
+more for each stray, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Prefix, buffer_of, checkpoint, chunks, map_batches, mix, row_keys, signed, table, text_or_empty, words_of
 
 SYMBOLS, CHUNK_SYMBOLS, ONE_ERROR, T = 48, 3, 7, 22
-#: Members of a block in which signatures are compared.
-BLOCK = 1000
+#: Members of a block in which signatures are compared, bytes of a block of sets, members whose consensus names the pivot.
+BLOCK, BLOCK_BYTES, SAMPLE = 1000, 4 << 20, 33
 PARTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -156,35 +160,106 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ys.append(c2[j])
                 ly.append(l2[j])
                 ds.append(d)
-            x, y, d, a, b = (np.concatenate(v).astype(np.int64) for v in (xs, ys, ds, lx, ly))
-            o = x > y
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(o, y, x)), pa.array(np.where(o, x, y)), pa.array(d)], names=["x", "y", "d"])
+            x, y, d, p, q = (np.concatenate(v).astype(np.int64) for v in (xs, ys, ds, lx, ly))
+            o = np.lexsort((d, q, p))  # one pair for two groups is enough
+            head = o[np.concatenate([[True], (p[o][1:] != p[o][:-1]) | (q[o][1:] != q[o][:-1])])] if len(o) else o
+            yield pa.RecordBatch.from_arrays([pa.array(x[head]), pa.array(y[head])], names=["x", "y"])
+
+
+def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The commonest value of each symbol. Columns: g, sigs."""
+    for batch in batches:
+        out = []
+        for sigs in batch.column(1):
+            m = np.frombuffer(b"".join(sigs.as_py()), np.uint16).reshape(-1, SYMBOLS)
+            own = np.zeros(SYMBOLS, np.uint16)
+            for k in range(SYMBOLS):
+                v, n = np.unique(m[:, k], return_counts=True)
+                own[k] = v[n.argmax()]
+            out.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["g", "common"])
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sorted sets a[i], b[j]: values in most of b by a dense product, the others by inverted lists."""
+    values = np.concatenate(b)
+    owner = np.repeat(np.arange(len(b)), [len(x) for x in b])
+    o = np.argsort(values, kind="stable")
+    values, owner = values[o], owner[o]
+    head = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    distinct, n = values[head], np.diff(np.concatenate([head, [len(values)]]))
+    dense = np.flatnonzero(n > len(b) / 2)
+    column = np.full(len(distinct), -1)
+    column[dense] = np.arange(len(dense))
+    which = np.repeat(column, n)
+    has = np.zeros((len(b), len(dense)), np.float32)
+    has[owner[which >= 0], which[which >= 0]] = 1
+    wants = np.zeros((len(a), len(dense)), np.float32)
+    out = np.zeros((len(a), len(b)), np.int64)
+    for i, x in enumerate(a):
+        at = np.searchsorted(distinct, x)
+        there = at < len(distinct)
+        there[there] = distinct[at[there]] == x[there]
+        at = at[there]
+        c = column[at]
+        wants[i, c[c >= 0]] = 1
+        rare = at[c < 0]
+        span = n[rare]
+        index = np.repeat(head[rare] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        out[i] = np.bincount(owner[index], minlength=len(b))
+    return out + np.rint(wants @ has.T).astype(np.int64)
+
+
+def _across(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between two blocks of (c, l, own), one for any two components l."""
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                (c1, l1, s1), (c2, l2, s2) = ((v.field("c").to_numpy(), v.field("l").to_numpy(), [np.frombuffer(x, np.uint64) for x in v.field("own").to_pylist()]) for v in (one.values, two.values))
+                both = shared_counts(s1, s2)
+                union = np.array([len(x) for x in s1])[:, None] + np.array([len(x) for x in s2])[None, :] - both
+                i, j = np.nonzero((100 * both >= percent * union) & (l1[:, None] != l2[None, :]))
+                _, first = np.unique(np.stack([l1[i], l2[j]], axis=1), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c1[i[first]]), pa.array(c2[j[first]])], names=["x", "y"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(c, l): the least node that each node of (x, y) edges can reach, by least neighbours and pointer jumping."""
-    both = checkpoint(edges.select(F.col("x").alias("c"), F.col("y").alias("o")).unionByName(edges.select(F.col("y").alias("c"), F.col("x").alias("o"))))
-    label = checkpoint(both.groupBy("c").agg(F.min("o").alias("l")).select("c", F.least("c", "l").alias("l")))
+    """(c, l): a name l for the component of each node of (x, y) edges; every name is one of its nodes.
+
+    Nodes are merged into their least neighbour, twice by number (which settles stars),
+    then by hashes that change each time (which halves chains), until no edge is left.
+    """
+    pair = lambda a, b: edges.select(F.col(a).alias("c"), F.col(b).alias("o"))
+    rest = checkpoint(pair("x", "y").unionByName(pair("y", "x")).distinct())
+    label, level = None, 0
     while True:
-        heard = both.join(label.select(F.col("c").alias("o"), "l"), "o").groupBy("c").agg(F.min("l").alias("h"))
-        lower = label.join(heard, "c", "left").select("c", F.col("l").alias("was"), F.least("l", "h").alias("l"))
-        jump = label.select(F.col("c").alias("l"), F.col("l").alias("jl"))
-        now = checkpoint(lower.join(jump, "l", "left").select("c", "was", F.least("l", "jl").alias("l")))
-        moved = now.where("l <> was").isEmpty()
-        label = now.select("c", "l")
-        if moved:
-            return label
+        rank = (lambda c: F.col(c)) if level < 2 else (lambda c: F.xxhash64(F.col(c), F.lit(level)))
+        least = rest.groupBy("c").agg(F.min(F.struct(rank("o").alias("r"), F.col("o"))).alias("m"))
+        merged = checkpoint(least.select("c", F.when(F.col("m.r") < rank("c"), F.col("m.o")).otherwise(F.col("c")).alias("l")))
+        if label is None:
+            label = merged
+        else:
+            above = merged.select(F.col("c").alias("l"), F.col("l").alias("m")).hint("merge")
+            label = label.join(above, "l", "left").select("c", F.coalesce("m", "l").alias("l"))
+        ends = merged.hint("merge")
+        rest = rest.join(ends, "c").select(F.col("l").alias("a"), F.col("o").alias("c")).join(ends, "c").select(F.col("a").alias("c"), F.col("l").alias("o"))
+        rest = checkpoint(rest.where("c <> o").distinct())
+        level += 1
+        if rest.isEmpty():
+            return checkpoint(label) if level > 1 else label
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Component of every document under links of similarity ``percent`` / 100 or more on sets of ``words``-word shingles.
 
-    Returns doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id =
-    component_id) and links (confirmed links of its class to other classes that were
-    needed for the component). Texts with fewer words are one shingle; null, empty and
-    blank texts have none and link with nothing; null doc_ids are passed over in the
-    least one; repeated rows are all returned; an empty table gives no rows.
+    Returns doc_id, n_shingles, component_id (least doc_id reachable) and kept (doc_id =
+    component_id). Texts with fewer words are one shingle; null, empty and blank texts
+    have none and link with nothing; null doc_ids are passed over in the least one;
+    repeated rows are all returned; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", *row_keys("doc_id", "text"), "text")
     rows = checkpoint(map_batches(texts, _features(words), "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, sig binary"))
     some = rows.where("n_shingles > 0")
@@ -193,11 +268,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     keys = checkpoint(map_batches(classes.select("c", "sig"), _keys, "key long, c long"))
     heads = keys.groupBy("key").agg(F.min("c").alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p")
-    crowd = checkpoint(keys.join(heads, "key"))
+    crowd = checkpoint(keys.join(heads.hint("merge"), "key"))
     sig = classes.select("c", "sig")
     stars = crowd.where("c <> p").select("p", "c").distinct()
-    apart = F.expr(f"aggregate(sequence(0, {SYMBOLS - 1}), 0, (a, i) -> a + int(substring(s, 2 * i + 1, 2) <> substring(t, 2 * i + 1, 2)))")
-    stars = stars.join(sig.withColumnRenamed("sig", "t"), "c").join(sig.select(F.col("c").alias("p"), F.col("sig").alias("s")), "p").where(apart <= T)
+
+    def apart(s: str, t: str) -> Column:
+        return F.expr(f"aggregate(sequence(0, {SYMBOLS - 1}), 0, (a, i) -> a + int(substring({s}, 2 * i + 1, 2) <> substring({t}, 2 * i + 1, 2)))")
+
+    stars = stars.join(sig.withColumnRenamed("sig", "t").hint("merge"), "c").join(sig.select(F.col("c").alias("p"), F.col("sig").alias("s")).hint("merge"), "p").where(apart("s", "t") <= T)
     stars = checkpoint(stars.select(F.col("p").alias("x"), F.col("c").alias("y")))
 
     # Whole sets of the classes that meet others, from one of their texts.
@@ -208,46 +286,59 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("c").alias("x"), F.col("own").alias("a")), sets.select(F.col("c").alias("y"), F.col("own").alias("b"))
-        return checkpoint(map_batches(pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b"), _confirm(percent), "x long, y long"))
-
-    links = confirmed(stars)
-    label = components(links)
+        return checkpoint(map_batches(pairs.select("x", "y").join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", "y", "a", "b"), _confirm(percent), "x long, y long"))
 
-    def labelled(df: DataFrame, name: str = "c", to: str = "l") -> DataFrame:
-        return df.join(label.select(F.col("c").alias(name), F.col("l").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
+    def labelled(df: DataFrame, label: DataFrame, name: str = "c", to: str = "l") -> DataFrame:
+        return df.join(label.select(F.col("c").alias(name), F.col("l").alias(to)).hint("merge"), name, "left").withColumn(to, F.coalesce(to, name))
 
-    # Keys whose members are in several components: all pairs between components within T.
-    told = labelled(crowd)
+    # Groups: keys whose members are in several groups still may join these.
+    group = components(stars)
+    told = labelled(crowd, group)
     by_label = checkpoint(told.groupBy("key", "l").agg(F.count("*").alias("n")))
     mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "l")).alias("top")).where("labels > 1").select("key", "n", F.col("top.l").alias("major"))
-    members = told.join(mixed, "key").join(sig, "c").withColumn("minor", F.col("l") != F.col("major"))
+    members = told.join(mixed.hint("merge"), "key").join(sig.hint("merge"), "c").withColumn("minor", F.col("l") != F.col("major"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / BLOCK)))
     blocks = checkpoint(members.groupBy("key", "minor", "salt").agg(F.collect_list(F.struct("c", "l", "sig")).alias("m")))
     left = blocks.where("minor").select("key", F.col("salt").alias("sa"), F.col("m").alias("a"))
     met_blocks = left.join(blocks.select("key", "minor", "salt", F.col("m").alias("b")), "key").where("not minor or sa <= salt").select("a", "b")
-    pending = map_batches(met_blocks, _near, "x long, y long, d long").groupBy("x", "y").agg(F.min("d").alias("d"))
-    pending = checkpoint(pending.join(stars, ["x", "y"], "left_anti"))
-    for turn in range(2):
-        if pending.isEmpty():
-            break
-        across = labelled(labelled(pending, "x", "lx"), "y", "ly").where("lx <> ly")
-        if turn == 0:
-            across = across.withColumn("p", F.least("lx", "ly")).withColumn("q", F.greatest("lx", "ly")).groupBy("p", "q").agg(F.min(F.struct("d", "x", "y")).alias("m")).select("m.x", "m.y")
-        across = checkpoint(across.select("x", "y"))
-        more = confirmed(across)
-        pending = pending.join(across, ["x", "y"], "left_anti")
-        if not more.isEmpty():
-            links = checkpoint(links.unionByName(more))
-            label = components(links)
-
-    degree = links.select(F.col("x").alias("c")).unionByName(links.select(F.col("y").alias("c"))).groupBy("c").agg(F.count("*").alias("links"))
-    named = labelled(classes.select("c", "s1", "s2", "least")).join(degree, "c", "left")
+    joined = checkpoint(map_batches(met_blocks, _near, "x long, y long"))
+    if not joined.isEmpty():
+        alone = joined.select(F.col("x").alias("c")).unionByName(joined.select(F.col("y").alias("c"))).distinct().join(group, "c", "left_anti")
+        between = labelled(labelled(joined, group, "x", "lx"), group, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
+        group = labelled(group.unionByName(alone.withColumn("l", F.col("c"))), components(between), "l", "g")
+    else:
+        group = group.withColumn("g", F.col("l"))
+    group = checkpoint(group.select("c", "g"))
+
+    # Links to the pivot of each group, the member nearest to the consensus of some.
+    own = checkpoint(group.join(sig.hint("merge"), "c"))
+    some_of = own.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("c"), "c"))).where(F.col("r") <= SAMPLE)
+    common = map_batches(some_of.groupBy("g").agg(F.collect_list("sig").alias("sigs")), _consensus, "g long, common binary")
+    pivots = own.join(common.hint("merge"), "g").groupBy("g").agg(F.min(F.struct(apart("sig", "common").alias("d"), "c")).alias("m")).select("g", F.col("m.c").alias("p"))
+    pivots = checkpoint(pivots)
+    links = confirmed(own.select("c", "g").join(pivots.hint("merge"), "g").where("c <> p").select(F.col("p").alias("x"), F.col("c").alias("y")))
+    label = links.select(F.col("y").alias("c"), F.col("x").alias("l"))  # stars: a pivot is its component's name
+
+    # Members outside their pivot's component against the whole group.
+    placed = labelled(labelled(own.select("c", "g").join(pivots.hint("merge"), "g"), label), label, "p", "lp").withColumn("stray", F.col("l") != F.col("lp")).select("c", "g", "l", "stray")
+    open_ = checkpoint(placed.groupBy("g").agg(F.sum(F.col("stray").cast("long")).alias("strays"), F.count("*").alias("n")).where("strays > 0 and n > 2").select("g"))
+    full = checkpoint(placed.join(open_.hint("merge"), "g").join(sets.hint("merge"), "c").withColumn("size", F.length("own")))
+    sizes = full.groupBy("g").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("salts"))
+    full = full.join(sizes.hint("merge"), "g").withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts")))
+    packed = checkpoint(full.groupBy("g", "stray", "salt").agg(F.collect_list(F.struct("c", "l", "own")).alias("m")))
+    left = packed.where("stray").select("g", F.col("salt").alias("sa"), F.col("m").alias("a"))
+    pairs = left.join(packed.select("g", "stray", "salt", F.col("m").alias("b")), "g").where("not stray or sa <= salt").select("a", "b")
+    more = checkpoint(map_batches(pairs.repartition(max(8, spark.sparkContext.defaultParallelism)), _across(percent), "x long, y long"))
+    named = labelled(classes.select("c", "s1", "s2", "least"), label)
+    if not more.isEmpty():
+        between = labelled(labelled(more, label, "x", "lx"), label, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
+        named = labelled(named.withColumnRenamed("l", "l1"), components(between), "l1", "l")
     names = named.groupBy("l").agg(F.min("least").alias("component_id"))
-    of_class = named.join(names, "l").select("s1", "s2", "component_id", "links")
+    of_class = named.join(names, "l").select("s1", "s2", "component_id")
     out = rows.select("doc_id", "n_shingles", "s1", "s2").withColumn("some", F.col("n_shingles") > 0).join(of_class.withColumn("some", F.lit(True)), ["s1", "s2", "some"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("links")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
