@@ -218,3 +218,9 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_transcripts(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "part", "role", "rendered")
+
+
+#: For tables whose texts hold no speaker markers of their own.
+ORACLE = r"""
+SELECT conv_id, turn, CAST(0 AS INT) AS part, role, '<|' || role || '|>' || chr(10) || regexp_replace(text, '^\s+|\s+$', '', 'g') || '<|end|>' || chr(10) AS rendered FROM conversations
+"""

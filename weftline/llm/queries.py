@@ -16,7 +16,7 @@ _MODULES = {
     "op8_mix_sources": "mixing",
     "op9_chat_formatting": "chat",
 }
-_SQL = {"op3_license_scan": "licenses", "op8_mix_sources": "mixing"}
+_SQL = {"op3_license_scan": "licenses", "op9_chat_formatting": "chat", "op8_mix_sources": "mixing"}
 
 
 def queries() -> dict:
