@@ -1,7 +1,8 @@
 """Toxicity of documents: a learned lexicon, misspellings by Levenshtein automata on its trie, and the context of each hit.
 
-Fitting (labelled rows only, FIT of them at most, the first by hash): words and
-word stems whose documents are toxic beyond chance form the lexicon; words near a
+Fitting (labelled rows only, FIT of them at most, the first by hash, one of each group
+of near copies, lest the words of a copied text pass for signs of its label): words
+and word stems whose documents are toxic beyond chance form the lexicon; words near a
 lexicon term that clean rows use are cleared. Hits are weighed by a logistic model
 of four counts: exact, misspelled, quoted and aimed hits. All labelled counts that
 reach the driver are bounded: CANDIDATES terms, CLEARED near words and the cells of
@@ -26,9 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffer_of, checkpoint, chunks, map_batches, table, text_or_empty
+from .neardup import shingles_of, signatures
 
 #: Labelled rows of a fit, lexicon terms looked at and kept, cleared words kept, words known to a worker.
-FIT, CANDIDATES, TERMS, CLEARED, CACHE = 30_000, 20_000, 2_000, 20_000, 300_000
+FIT, CANDIDATES, TERMS, CLEARED, CACHE = 30_000, 20_000, 500, 20_000, 300_000
+#: Pairs of minima by which copies among the labelled rows are told.
+COPY_KEYS = 8
 THRESHOLD = 0.7
 #: Words on each side of a hit that tell abuse from quotation; caps of the counts.
 WINDOW, CAPS = 6, (6, 3, 3, 3)
@@ -46,52 +50,73 @@ def edits(term_length: int) -> int:
 
 @dataclass
 class Trie:
-    """Terms by character; ``near`` finds those within their allowed edits of a word."""
+    """Terms by character, one trie for each number of allowed edits; ``near`` finds those within their edits of a word.
 
-    root: dict = field(default_factory=dict)
+    Of a term cut into k + 1 pieces one stands unchanged in any word within k edits, at
+    most k places off; words without such a piece aren't walked.
+    """
+
+    roots: dict[int, dict] = field(default_factory=dict)
+    pieces: dict[str, set[int]] = field(default_factory=dict)
+    sizes: set[int] = field(default_factory=set)
     longest: int = 0
 
     def add(self, term: str) -> None:
-        node = self.root
+        k = edits(len(term))
+        if not k:
+            return
+        node = self.roots.setdefault(k, {})
         for ch in term:
             node = node.setdefault(ch, {})
         node[""] = term
         self.longest = max(self.longest, len(term))
+        cut = [len(term) * i // (k + 1) for i in range(k + 2)]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            self.pieces.setdefault(term[i:j], set()).update(range(i - k, i + k + 1))
+            self.sizes.add(j - i)
 
     def near(self, word: str) -> str | None:
         """The first closest term within its edits of ``word``, or None."""
         n = len(word)
-        if n > self.longest + 2 or n < 3:
+        if n > self.longest + 2 or n < 4:
+            return None
+        for z in self.sizes:
+            for i in range(n - z + 1):
+                if i in self.pieces.get(word[i : i + z], ()):
+                    break
+            else:
+                continue
+            break
+        else:
             return None
         where: dict[str, int] = {}
         for i, ch in enumerate(word):
             where[ch] = where.get(ch, 0) | 1 << i
-        last, most = 1 << n, 2
-        # states[e]: positions of the word that are reached with e edits
-        start = [1, 3, 7][: most + 1]
+        last = 1 << n
         best: tuple[int, str] | None = None
-        stack = [(self.root, start)]
-        while stack:
-            node, states = stack.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    k = edits(len(child))
-                    for e in range(k + 1):
-                        if states[e] & last:
-                            if best is None or (e, child) < best:
-                                best = (e, child)
-                            break
-                    continue
-                hit = where.get(ch, 0)
-                new, before = [], 0
-                for e, s in enumerate(states):
-                    t = (s & hit) << 1
-                    if e:
-                        t |= states[e - 1] | states[e - 1] << 1 | before << 1
-                    before = t
-                    new.append(t)
-                if new[most]:
-                    stack.append((child, new))
+        for k, root in self.roots.items():
+            # states[e]: positions of the word that are reached with e edits
+            stack = [(root, [(1 << e + 1) - 1 for e in range(k + 1)])]
+            while stack:
+                node, states = stack.pop()
+                for ch, child in node.items():
+                    if ch == "":
+                        for e in range(k + 1):
+                            if states[e] & last:
+                                if best is None or (e, child) < best:
+                                    best = (e, child)
+                                break
+                        continue
+                    hit = where.get(ch, 0)
+                    new, before = [], 0
+                    for e, s in enumerate(states):
+                        t = (s & hit) << 1
+                        if e:
+                            t |= states[e - 1] | states[e - 1] << 1 | before << 1
+                        before = t
+                        new.append(t)
+                    if new[k]:
+                        stack.append((child, new))
         return best[1] if best else None
 
 
@@ -105,6 +130,8 @@ class Model:
 
 def words_in(chunk: str) -> list[str]:
     """Letter runs of a white-space word, and the whole of it where digits or signs stand within."""
+    if chunk.isalpha():
+        return [chunk.lower()]
     low = TRIM.sub("", chunk.lower())
     runs = LETTERS.findall(low)
     return runs if runs == [low] or not low else [*runs, low]
@@ -167,44 +194,44 @@ def _sized(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, j - i)
 
 
-def _counter(toxic: bool, wanted: frozenset[str] | None):
+def _document_counts(of_chunk):
+    """(term, n): documents by term, where a white-space word has the terms ``of_chunk(word)`` (known words aren't asked again)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
         df: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen = {w for chunk in set(text.split()) for w in words_in(chunk)}
-                own = {w[:k] + "*" for w in seen for k in STEMS if len(w) > k} | seen
-                df.update(own if wanted is None else own & wanted)
-                if len(df) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(df)), pa.array(list(df.values()))], names=["term", "n"])
-                    df.clear()
-        if df:
-            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
-
-    return run
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
 
-def _near_words(trie: Trie, terms: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
-        df: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in {w for chunk in set(text.split()) for w in words_in(chunk)}:
-                    if w not in known:
+                own: set[str] = set()
+                for chunk in set(text.split()):
+                    terms = known.get(chunk)
+                    if terms is None:
                         if len(known) > CACHE:
                             known.clear()
-                        known[w] = w not in terms and trie.near(w) is not None
-                    if known[w]:
-                        df[w] += 1
-        if df:
-            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["term", "n"])
+                        terms = known[chunk] = tuple(of_chunk(chunk))
+                    if terms:
+                        own.update(terms)
+                df.update(own)
+                if len(df) > 200_000:
+                    yield out()
+                    df.clear()
+        yield out()
 
     return run
 
 
+def terms_of(chunk: str) -> set[str]:
+    """Words and, marked by a star, word stems of a white-space word."""
+    words = set(words_in(chunk))
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+
+
 def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[frozenset[str], frozenset[str]]:
-    """Words, and stems that cover more than any of their words, with a likelihood ratio over 20 and 95 % of their documents toxic (by rate)."""
+    """Words, and stems that cover more than any of their words, in 1 % of the toxic rows at least, with a likelihood ratio over 20 and 20 times the rate of clean rows."""
 
     def strength(t: str) -> float:
         x, y = a[t], b.get(t, 0)
@@ -213,7 +240,8 @@ def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[fro
             return 0.0
         return 2 * (x * math.log(x / (na * p)) + (y * math.log(y / (nb * p)) if y else 0))
 
-    strong = {t: s for t in a if (s := strength(t)) > 20}
+    least = max(3, na // 100)
+    strong = {t: s for t in a if a[t] >= least and (s := strength(t)) > 20}
     words = {t for t in strong if t[-1] != "*"}
     most: Counter[str] = Counter()
     for w in (t for t in a if t[-1] != "*"):
@@ -229,11 +257,21 @@ def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[fro
     return frozenset(top), frozenset(sorted(stems, key=lambda s: (-strong[s + "*"], s))[:TERMS])
 
 
+def signals(counts: np.ndarray) -> np.ndarray:
+    """One hit says most; more of them add a little."""
+    return (counts > 0) + 0.1 * np.log1p(counts)
+
+
 def fit_weights(cells: list[tuple[tuple[int, ...], int, int]]) -> tuple[float, ...]:
-    """Logistic weights (bias first, others not below 0) of the capped counts by ridge-penalised Newton steps."""
+    """Logistic weights (bias first, others not below 0) of the capped counts by ridge-penalised Newton steps.
+
+    Kinds of hits that no labelled row has get a share of the weight of exact ones:
+    0.8 for misspelled, 0.2 for quoted, 0.1 for aimed hits.
+    """
     if not cells:
         return Model.weights
-    x = np.array([[1.0, *(math.log1p(v) for v in c)] for c, _, _ in cells])
+    counts = np.array([c for c, _, _ in cells])
+    x = np.concatenate([np.ones((len(cells), 1)), signals(counts)], axis=1)
     pos, all_ = np.array([p for _, p, _ in cells], float), np.array([n for _, _, n in cells], float)
     w = np.zeros(x.shape[1])
     ridge = np.array([1e-6, *[0.05] * (x.shape[1] - 1)])
@@ -245,13 +283,38 @@ def fit_weights(cells: list[tuple[tuple[int, ...], int, int]]) -> tuple[float, .
         w = w + step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-7:
             break
-    return tuple(float(v) for v in (w[0], *(max(0.0, v) for v in w[1:])))
+    w[1:] = np.maximum(w[1:], 0)
+    for kind, share in ((1, 0.8), (2, 0.2), (3, 0.1)):
+        if not counts[:, kind].any():
+            w[1 + kind] = share * w[1]
+    return tuple(float(v) for v in w)
+
+
+def _pairs_of_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _sized(batch, 1):
+            data, offsets = buffer_of(part.column(1))
+            pairs = signatures(*shingles_of(data, offsets, 3)).view(np.uint32)[:, :COPY_KEYS]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tolist() for x in pairs], pa.list_(pa.int64()))], names=["id", "keys"])
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Ids of rows (at most FIT of them) that share no pair of minima with an earlier row; texts without words stay."""
+    seen: list[set[int]] = [set() for _ in range(COPY_KEYS)]
+    kept = []
+    for r in map_batches(rows.select("id", "text"), _pairs_of_minima, "id long, keys array<long>").orderBy("id").collect():
+        if not any(r["keys"]) or not any(k in own for k, own in zip(r["keys"], seen, strict=True)):
+            kept.append((r["id"],))
+        for k, own in zip(r["keys"], seen, strict=True):
+            own.add(k)
+    return rows.sparkSession.createDataFrame(kept, "id long")
 
 
 def fit(labelled: DataFrame, most: int = FIT) -> Model:
     """A model from (text, toxic) rows, of which the first ``most`` by hash are used. Null labels are left out; with no rows every score is the same low one."""
     rows = labelled.where(F.col("toxic").isNotNull()).select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"), "order").orderBy("order", F.xxhash64("text")).limit(most)
-    rows = checkpoint(rows.select("text", "toxic").repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)))
+    rows = checkpoint(rows.select("text", "toxic").repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)).withColumn("id", F.monotonically_increasing_id()))
+    rows = rows.join(F.broadcast(without_copies(rows)), "id").select("text", "toxic")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     na, nb = counts.get(1, 0), counts.get(0, 0)
     toxic, clean = (rows.where(F.col("toxic") == v).select("text") for v in (1, 0))
@@ -259,13 +322,14 @@ def fit(labelled: DataFrame, most: int = FIT) -> Model:
     def tally(df: DataFrame, fn) -> DataFrame:
         return map_batches(df, fn, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    a = {r["term"]: r["n"] for r in tally(toxic, _counter(True, None)).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    b = {r["term"]: r["n"] for r in tally(clean, _counter(False, frozenset(a))).collect()}
+    a = {r["term"]: r["n"] for r in tally(toxic, _document_counts(terms_of)).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    wanted = frozenset(a)
+    b = {r["term"]: r["n"] for r in tally(clean, _document_counts(lambda chunk: terms_of(chunk) & wanted)).collect()}
     terms, stems = lexicon(a, b, na, nb)
     trie = Trie()
     for t in sorted(terms):
         trie.add(t)
-    cleared = [r["term"] for r in tally(clean, _near_words(trie, terms)).orderBy(F.desc("n"), "term").limit(CLEARED).collect()]
+    cleared = [r["term"] for r in tally(clean, _document_counts(lambda chunk: [w for w in words_in(chunk) if w not in terms and trie.near(w)])).orderBy(F.desc("n"), "term").limit(CLEARED).collect()]
     model = Model(terms, stems, frozenset(cleared))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +352,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         w = np.array(model.weights)
         for batch in batches:
             for part in _sized(batch, 0):
-                x = np.log1p(np.minimum(matcher.counts(part.column(0)), CAPS))
+                x = signals(np.minimum(matcher.counts(part.column(0)), CAPS))
                 s = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s)], names=[*keep, "score"])
 
