@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..html.tree import Node, parse
-from .common import map_batches, table
+from .common import checkpoint, map_batches, table
 
 #: A node is boilerplate below LOW importance, if PAGES pages or more and SHARE of the host's have it.
 LOW, PAGES, SHARE = 0.2, 5, 0.5
@@ -181,6 +181,7 @@ def importance(pages: DataFrame) -> DataFrame:
     """(host, path, n, pages, importance): importance of each node outside articles, 0 the same everywhere to 1 different on each page."""
     slim = pages.select(F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     counted = map_batches(slim, _styles, "host string, path long, content long, n long").groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
+    counted = checkpoint(counted)  # both sums below read it: pages are parsed once for it
     site = counted.where("path = 0").select("host", F.col("n").alias("pages"))
     node = counted.where("path <> 0").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.log("n") - F.col("nlogn") / F.col("n")
