@@ -195,7 +195,7 @@ def extract(pages: DataFrame, low: float = LOW, least: int = PAGES, share: float
     repeated rows are all returned; an empty table gives no rows.
     """
     drop = importance(pages).where((F.col("importance") < low) & (F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
-    drop = drop.groupBy("host").agg(F.collect_list("path").alias("low"))
+    drop = checkpoint(drop.groupBy("host").agg(F.collect_list("path").alias("low")))  # an exchange on either side of the join lets it split a hot host
     host = F.udf(host_of, "string", useArrow=True)
     full = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host("url"))
     full = full.join(drop, "host", "left").select("html", "low", "page_id", "url")
