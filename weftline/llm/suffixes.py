@@ -303,6 +303,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     """(k1, k2, lo, hi): runs of starts of strings that occur elsewhere, of texts (k1, k2, text)."""
     anchors = map_batches(texts.select("k1", "k2", "text").where(F.octet_length("text") >= LENGTH), _anchors, ANCHOR)
     grams = anchors.groupBy("key").agg(F.count("*").alias("seen"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("seen > 1")
+    grams = checkpoint(grams)  # with an exchange of its own on either side, the join below splits hot K-grams
     again = checkpoint(anchors.join(grams, "key").select("key", "ctx", "k1", "k2", "a", "dlo", "dhi", (F.col("c0") == F.col("c1")).alias("whole")))
     run = [F.col("k1"), F.col("k2"), (F.col("a") - F.col("dlo")).alias("lo"), (F.col("a") - F.col("dhi")).alias("hi")]
 
