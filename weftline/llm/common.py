@@ -7,8 +7,10 @@ of any substring as (S[j] - S[i]) * B^-i, one multiplication a substring.
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
+import time
 import types
 from collections.abc import Callable, Iterator
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 #: Texts are hashed in chunks of about this many bytes (a longer text is a chunk of its own).
 CHUNK = 2 << 20
 BATCH_BYTES = 8 << 20
+_COLLECTED = [0.0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if time.monotonic() - _COLLECTED[0] > 2:  # shuffle files, broadcasts and checkpoints of finished steps go once their plans are collected
+        gc.collect()
+        sc._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
+    return out
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
