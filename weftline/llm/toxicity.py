@@ -31,6 +31,8 @@ from .neardup import shingles_of, signatures
 
 #: Labelled rows of a fit, lexicon terms looked at and kept, cleared words kept, words known to a worker.
 FIT, CANDIDATES, TERMS, CLEARED, CACHE = 30_000, 20_000, 500, 20_000, 300_000
+#: Clean near words that bar a term from matching misspelled ones.
+CROWD = 3
 #: Pairs of minima by which copies among the labelled rows are told.
 COPY_KEYS = 8
 THRESHOLD = 0.7
@@ -125,6 +127,7 @@ class Model:
     terms: frozenset[str] = frozenset()
     stems: frozenset[str] = frozenset()
     cleared: frozenset[str] = frozenset()
+    crowded: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0, 0.0)
 
 
@@ -142,7 +145,7 @@ class Matcher:
 
     def __init__(self, model: Model):
         self.model, self.trie, self.known = model, Trie(), {}
-        for t in sorted(model.terms):
+        for t in sorted(model.terms - model.crowded):
             self.trie.add(t)
         self.lengths = sorted({len(s) for s in model.stems})
 
@@ -310,10 +313,10 @@ def without_copies(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(kept, "id long")
 
 
-def fit(labelled: DataFrame, most: int = FIT) -> Model:
-    """A model from (text, toxic) rows, of which the first ``most`` by hash are used. Null labels are left out; with no rows every score is the same low one."""
-    rows = labelled.where(F.col("toxic").isNotNull()).select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"), "order").orderBy("order", F.xxhash64("text")).limit(most)
-    rows = checkpoint(rows.select("text", "toxic").repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)).withColumn("id", F.monotonically_increasing_id()))
+def fit(labelled: DataFrame) -> Model:
+    """A model from (text, toxic) rows, as many as the caller has chosen (FIT at most in :func:`model_of`). Null labels are left out; with no rows every score is the same low one."""
+    rows = labelled.where(F.col("toxic").isNotNull()).select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    rows = checkpoint(rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)).withColumn("id", F.monotonically_increasing_id()))
     rows = rows.join(F.broadcast(without_copies(rows)), "id").select("text", "toxic")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     na, nb = counts.get(1, 0), counts.get(0, 0)
@@ -330,7 +333,9 @@ def fit(labelled: DataFrame, most: int = FIT) -> Model:
     for t in sorted(terms):
         trie.add(t)
     cleared = [r["term"] for r in tally(clean, _document_counts(lambda chunk: [w for w in words_in(chunk) if w not in terms and trie.near(w)])).orderBy(F.desc("n"), "term").limit(CLEARED).collect()]
-    model = Model(terms, stems, frozenset(cleared))
+    # A term with several clean words near it says nothing of further near words.
+    near = Counter(trie.near(w) for w in cleared)
+    model = Model(terms, stems, frozenset(cleared), frozenset(t for t, n in near.items() if n >= CROWD))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
@@ -365,13 +370,14 @@ def held_out(doc_id="doc_id"):
 
 
 def model_of(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Model:
-    """Fit on labelled documents outside the held-out third. Of repeated labels of a doc_id the largest counts; ids are never features.
+    """Fit on labelled documents outside the held-out third. Of repeated labels of a doc_id the largest counts, of repeated documents the least text; ids are never features.
 
     At most ``most`` labelled ids are broadcast (8 bytes each).
     """
     ids = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = checkpoint(ids.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most))
-    return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "order"), most)
+    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
+    return fit(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
