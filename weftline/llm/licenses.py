@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_keys, table
+from .common import checkpoint, row_keys, table
 
 # Equivalent spellings (from, to), as whole words.
 SPELLINGS = [
@@ -63,22 +63,20 @@ KNOWN = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("Unlicense", UNLICENSE), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
-COPYRIGHT = r"^[^a-z0-9©]*(?:copyright|©|\(c\) *(?:copyright|[0-9]{4}))"
-SIGNS = r"[^0-9a-zà-ɏ]+"
+COPYRIGHT = r"^[^a-z0-9©\n]*(?:copyright|©|\(c\) *(?:copyright|[0-9]{4}))"
+SIGNS = r"[^0-9a-zà-ɏ\n]+"
 
 
-def canonical(line: Column) -> Column:
-    """A line in canonical words: '' for copyright lines and lines without any."""
-    low = F.lower(line)
-    words = F.concat(F.lit(" "), F.regexp_replace(low, SIGNS, " "), F.lit(" "))
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text in canonical words, without copyright lines and lines without any words."""
+    low = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    owned = low.contains("copyright") | low.contains("©") | low.contains("(c)")
+    words = F.when(owned, F.regexp_replace(low, f"(?m){COPYRIGHT}.*$", "")).otherwise(low)
+    words = F.concat(F.lit(" "), F.replace(F.regexp_replace(words, SIGNS, " "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for a, b in SPELLINGS:
         if a != b:
             words = F.replace(words, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.when(F.regexp_like(low, F.lit(COPYRIGHT)), F.lit("")).otherwise(F.trim(F.regexp_replace(words, " +", " ")))
-
-
-def canonical_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), canonical), lambda x: x != "")
+    return F.array_remove(F.split(F.trim(F.regexp_replace(words, " *\n[ \n]*", "\n")), "\n"), "")
 
 
 def digest(words: Column) -> Column:
@@ -97,13 +95,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts, and those of copyright lines alone, have the digest of ''
     and no licence; repeated rows are all returned; an empty table gives no rows.
     """
-    known = F.broadcast(known_digests(docs.sparkSession))
+    table_ = checkpoint(known_digests(docs.sparkSession))
+    known = F.broadcast(table_)
+    fixed = F.array(*[F.lit(d) for d in sorted({r["digest"] for r in table_.collect()})])
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
-    rows = rows.select("doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.transform("lines", digest).alias("lines"))
-    keyed = rows.select("doc_id", "digest", "lines", *row_keys("doc_id", "lines"))
-    hits = keyed.select("k1", "k2", F.explode("lines").alias("line")).join(known.withColumnRenamed("digest", "line"), "line")
+    rows = rows.select("doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.array_intersect(F.transform("lines", digest), fixed).alias("hits"))
+    keyed = checkpoint(rows.select("doc_id", "digest", "hits", *row_keys("doc_id", "digest", "hits")))  # texts are normalised once
+    hits = keyed.select("k1", "k2", F.explode("hits").alias("line")).join(known.withColumnRenamed("digest", "line"), "line")
     notices = hits.groupBy("k1", "k2").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    out = keyed.drop("lines").join(notices, ["k1", "k2"], "left").join(known, "digest", "left")
+    out = keyed.drop("hits").join(notices, ["k1", "k2"], "left").join(known, "digest", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
