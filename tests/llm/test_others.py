@@ -95,6 +95,27 @@ def test_importance_separates_repeated_boxes(spark):
     assert low and all(r["n"] == 10 for r in low)
 
 
+BOXED = """<html><body><nav><a href=/>Home</a></nav><{tag}><h1>Title {n}</h1><p>Text {n} is long enough to be the larger part of all this.</p><div class="k3"><p>Read more of our best texts</p></div><p>End {n}</p></{tag}></body></html>"""
+
+
+def test_repeated_box_inside_an_article_goes(spark):
+    schema = "page_id long, url string, html string"
+    for tag in ("article", "main"):
+        rows = [(n, f"https://box.example/{n}", BOXED.format(tag=tag, n=n)) for n in range(12)]
+        rows += [(100 + n, f"https://copy.example/{n}", BOXED.format(tag=tag, n=7)) for n in range(12)]  # copies of one article: nothing of it is told apart
+        got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, schema)).collect()}
+        text = "Title {n}\nText {n} is long enough to be the larger part of all this.\n{box}End {n}"
+        assert all(got[n] == text.format(n=n, box="") for n in range(12))
+        assert all(got[100 + n] == text.format(n=7, box="Read more of our best texts\n") for n in range(12))
+
+
+def test_box_of_some_pages_is_measured_by_its_parent(spark):
+    box = '<div class="s1"><div class="k4">Only in this part of the site</div><p>News {n}</p></div>'
+    rows = [(n, f"https://part.example/{n}", f"<html><body>{box.format(n=n) if n < 6 else ''}<p>Text {n}</p></body></html>") for n in range(30)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == (f"News {n}\nText {n}" if n < 6 else f"Text {n}") for n in range(30))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 16)).astype(np.float32)

@@ -8,9 +8,11 @@ combining, so a host of any size is merged without gathering its pages; only nod
 of low importance go back to the pages of their host.
 
 A branch is removed if its kind is boilerplate by role (menus, headers and footers of
-the page, forms, adverts, notices, reader comments) or if its node is common on the
-site and of low importance; what a page marks as its article is never removed for
-being the same on other pages, since copies of an article are articles.
+the page, forms, adverts, notices, reader comments) or if its node is common below its
+parent node and of low importance. That goes for blocks inside an article too. A whole
+article is never removed for being the same on other pages, since copies of an article
+are articles: inside one, contents are counted over different articles instead of
+pages, and an article whose common blocks hold half of its text or more keeps them.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ..html.tree import Node, parse
 from .common import checkpoint, map_batches, table
 
-#: A node is boilerplate below LOW importance, if PAGES pages or more and SHARE of the host's have it.
+#: A node is boilerplate below LOW importance, if PAGES pages (inside articles: different articles) or more and SHARE of those with its parent node have it.
 LOW, PAGES, SHARE = 0.2, 5, 0.5
 DROPPED = frozenset("script style noscript template nav aside form footer iframe object embed svg canvas button select textarea input dialog menu audio video map head title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
@@ -71,16 +73,41 @@ def is_main(node: Node) -> bool:
     return node.tag in ("article", "main") or node.get("role").lower() in ("main", "article") or node.get("itemprop").lower() == "articlebody"
 
 
-def nodes(root: Node) -> Iterator[tuple[Node, int]]:
-    """Block elements of the body outside articles, with the hash of their presentation path."""
-    stack = [(c, xxhash.xxh64_intdigest("html")) for c in reversed(root.children) if c.tag == "body"]
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def nodes(root: Node) -> Iterator[tuple[Node, int, int, Node | None]]:
+    """Block elements of the body: node, hash of its presentation path, path of the nearest block above it (0: none), innermost article or main around it."""
+    stack = [(c, xxhash.xxh64_intdigest("html"), 0, None) for c in reversed(root.children) if c.tag == "body"]
     while stack:
-        n, up = stack.pop()
+        n, up, above, article = stack.pop()
         own = xxhash.xxh64_intdigest(f"{up}/{presentation(n)}")
-        if n.tag in BLOCK or n.tag == "span":
-            yield n, own - (1 << 64) if own >= 1 << 63 else own
-        if not is_main(n):
-            stack.extend((c, own) for c in reversed(n.children) if c.tag is not None)
+        if n.tag in BLOCK or n.tag == "span" or is_main(n):
+            yield n, signed(own), above, article
+            above = signed(own)
+        if is_main(n):
+            article = n
+        stack.extend((c, own, above, article) for c in reversed(n.children) if c.tag is not None and c.tag not in DROPPED)
+
+
+def contents(root: Node) -> tuple[str, dict[int, tuple[int, int]]]:
+    """The text of a tree and, by id, the place of each element's own in it."""
+    parts: list[str] = []
+    spans: dict[int, tuple[int, int]] = {}
+    at = 0
+    stack: list[tuple[Node, int]] = [(root, -1)]
+    while stack:
+        n, start = stack.pop()
+        if n.tag is None:
+            parts.append(n.text)
+            at += len(n.text)
+        elif start >= 0:
+            spans[id(n)] = start, at
+        else:
+            stack.append((n, at))
+            stack.extend((c, -1) for c in reversed(n.children))
+    return "".join(parts), spans
 
 
 def blocks_of(root: Node) -> list[str]:
@@ -121,9 +148,18 @@ def link_share(node: Node) -> float:
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """The article of a page; ``low``: presentation paths of low importance on its site. An empty string if there is none."""
     root = parse(html)
-    doomed = [n for n, path in nodes(root) if path in low and not any(is_main(x) for x in n.elements()) and n.tag not in ("html", "body")]
-    for n in doomed:
-        n.remove()
+    if low:
+        doomed = [(n, article) for n, path, _, article in nodes(root) if path in low and not any(is_main(x) for x in n.elements()) and n.tag not in ("html", "body")]
+        gone = {id(n) for n, _ in doomed}
+        lost: Counter[int] = Counter()
+        size: dict[int, int] = {}
+        for n, article in doomed:
+            if article is not None and not any(id(x) in gone for x in n.path()):
+                size.setdefault(id(article), len("".join(article.content().split())))
+                lost[id(article)] += len("".join(n.content().split()))
+        for n, article in doomed:
+            if article is None or 2 * lost[id(article)] < size.get(id(article), 0):
+                n.remove()
     stack = [(c, False) for c in root.children]
     while stack:
         n, inside = stack.pop()
@@ -156,19 +192,39 @@ def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
 
 
 def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, content, n) of the nodes outside articles, counted within a batch; a page counts a node's content once. Path 0 counts the pages."""
+    """(host, path, up, content, article, n, has) of the block nodes, counted within a batch; a page counts a node's content once and ``has`` once for all its contents.
+
+    ``up`` is the path of the parent, ``article`` the hash of the article around the node, 0 outside articles.
+    """
+    names = ["host", "path", "up", "content", "article"]
     for batch in batches:
-        seen: Counter[tuple[str, int, int]] = Counter()
+        seen: Counter[tuple[str, int, int, int, int]] = Counter()
+        has: Counter[tuple[str, int, int, int, int]] = Counter()
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             host = host_of(url)
-            own = {(host, 0, 0)}
-            for n, path in nodes(parse(html)):
-                if not is_main(n):
-                    own.add((host, path, xxhash.xxh64_intdigest(SPACE.sub(" ", n.content()).strip()) - (1 << 63)))
+            root = parse(html)
+            text, spans = contents(root)
+
+            def hashed(n: Node, text=text, spans=spans) -> int:
+                a, b = spans[id(n)]
+                return xxhash.xxh64_intdigest(" ".join(text[a:b].split())) - (1 << 63)
+
+            own: set[tuple[str, int, int, int, int]] = set()
+            first: dict[tuple[int, int], tuple[str, int, int, int, int]] = {}
+            known: dict[int, int] = {}
+            for n, path, up, article in nodes(root):
+                content = hashed(n)
+                if is_main(n):
+                    known[id(n)] = around = content  # one content an article: never of low importance
+                else:
+                    around = 0 if article is None else known[id(article)]
+                key = (host, path, up, content, around)
+                own.add(key)
+                first.setdefault((path, around), key)
             seen.update(own)
+            has.update(first.values())
         if seen:
-            hosts, paths, contents = zip(*seen, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths, pa.int64()), pa.array(contents, pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "path", "content", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*seen, strict=True), (pa.string(), *[pa.int64()] * 4), strict=True)), pa.array(list(seen.values()), pa.int64()), pa.array([has[k] for k in seen], pa.int64())], names=[*names, "n", "has"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +234,22 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, n, pages, importance): importance of each node outside articles, 0 the same everywhere to 1 different on each page."""
+    """(host, path, n, has, pages, importance) of each block node: 0 the same everywhere to 1 different on each page.
+
+    n counts contents, ``has`` the pages with the node and ``pages`` those with its parent; inside articles
+    different articles take the place of pages, so that copies of one count once.
+    """
     slim = pages.select(F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    counted = map_batches(slim, _styles, "host string, path long, content long, n long").groupBy("host", "path", "content").agg(F.sum("n").alias("n"))
-    counted = checkpoint(counted)  # both sums below read it: pages are parsed once for it
-    site = counted.where("path = 0").select("host", F.col("n").alias("pages"))
-    node = counted.where("path <> 0").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    counted = map_batches(slim, _styles, "host string, path long, up long, content long, article long, n long, has long")
+    counted = counted.groupBy("host", "path", "up", "content", "article").agg(F.sum("n").alias("n"), F.sum("has").alias("has"))
+    once = [F.when(F.col("article") == 0, F.col(c)).otherwise(F.least(F.col(c), F.lit(1))) for c in ("n", "has")]
+    counted = counted.groupBy("host", "path", "up", "content").agg(F.sum(once[0]).alias("n"), F.sum(once[1]).alias("has"))
     entropy = F.log("n") - F.col("nlogn") / F.col("n")
-    return node.join(site, "host").select("host", "path", "n", "pages", F.when(F.col("n") > 1, entropy / F.log("n")).otherwise(1.0).alias("importance"))
+    node = counted.groupBy("host", "path", "up").agg(F.sum("n").alias("n"), F.sum("has").alias("has"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    node = checkpoint(node)  # the join reads it twice: pages are parsed once for it
+    above = node.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.sum("has").alias("pages"))
+    joined = node.join(above, (F.col("host") == F.col("h")) & (F.col("up") == F.col("p")))
+    return joined.select("host", "path", "n", "has", "pages", F.when(F.col("n") > 1, entropy / F.log("n")).otherwise(1.0).alias("importance"))
 
 
 def extract(pages: DataFrame, low: float = LOW, least: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -194,7 +258,7 @@ def extract(pages: DataFrame, low: float = LOW, least: int = PAGES, share: float
     Null and empty html gives an empty text; null urls form a host of their own;
     repeated rows are all returned; an empty table gives no rows.
     """
-    drop = importance(pages).where((F.col("importance") < low) & (F.col("n") >= least) & (F.col("n") >= share * F.col("pages")))
+    drop = importance(pages).where((F.col("importance") < low) & (F.col("has") >= least) & (F.col("has") >= share * F.col("pages")))
     drop = checkpoint(drop.groupBy("host").agg(F.collect_list("path").alias("low")))  # an exchange on either side of the join lets it split a hot host
     host = F.udf(host_of, "string", useArrow=True)
     full = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host("url"))
