@@ -69,6 +69,25 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_misspellings_of_short_terms_and_of_stems():
+    m = toxicity.Matcher(toxicity.Model(frozenset({"scum", "idiot"}), frozenset({"grumbl"}), frozenset({"grumblefish"})))
+    for w in ("scuum", "sc0m", "csum", "idoit", "gruumblings", "gr0mblers", "grubmled", "grumpblefish"):
+        assert m.mark(w) == 2, w
+    for w in ("scum", "grumbles"):
+        assert m.mark(w) == 1, w
+    for w in ("scamx", "scu", "gamble", "humbled", "plain"):
+        assert m.mark(w) == 0, w
+
+
+def test_near_words_are_judged_by_rates():
+    find = {"crown": "clown", "cloun": "clown", "moran": "moron", "noron": "moron", **{f"m{i}ron": "moron" for i in range(4)}}.get
+    cleared, barred = toxicity.judged({"crown": 40, "cloun": 1}, {"crown": 4, "cloun": 5}, find, {"clown": 100}, 400, 3200)
+    assert cleared == {"crown"} and not barred, "a misspelling quoted once stays one"
+    clean = {f"m{i}ron": 1 for i in range(4)}
+    assert toxicity.judged(clean, {}, find, {"moron": 100}, 400, 3200) == (frozenset(clean), frozenset({"moron"}))
+    assert toxicity.judged(clean, {"moran": 1, "noron": 1}, find, {"moron": 200}, 400, 32_000)[1] == frozenset(), "few for so many clean rows"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header><a href=/>Site</a></header><nav><ul><li><a href="/a">Menu</a></ul></nav>
 <div class="box"><p>Follow our news each day</p></div><div class="ad">Buy now</div><div class="cookie-notice">We use cookies</div>
 <{tag}><h1>Title {n} &amp; more</h1><p><b>First {n}.<br><p>Second  line &copy; {n}<form><input></form><p>Third<ul><li>one {n}</li><li>two</li></ul></{close}>

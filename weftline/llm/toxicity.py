@@ -3,7 +3,7 @@
 Fitting (labelled rows only, FIT of them at most, the first by hash, one of each group
 of near copies, lest the words of a copied text pass for signs of its label): words
 and word stems whose documents are toxic beyond chance form the lexicon; words near a
-lexicon term that clean rows use are cleared. Hits are weighed by a logistic model
+lexicon term whose rate in toxic rows is below RATIO times that in clean rows are cleared. Hits are weighed by a logistic model
 of four counts: exact, misspelled, quoted and aimed hits. All labelled counts that
 reach the driver are bounded: CANDIDATES terms, CLEARED near words and the cells of
 the capped counts.
@@ -31,8 +31,8 @@ from .neardup import shingles_of, signatures
 
 #: Labelled rows of a fit, lexicon terms looked at and kept, cleared words kept, words known to a worker.
 FIT, CANDIDATES, TERMS, CLEARED, CACHE = 30_000, 20_000, 500, 20_000, 300_000
-#: Clean near words that bar a term from matching misspelled ones.
-CROWD = 3
+#: Likelihood ratio of toxic to clean rows below which a near word is cleared, or the near words of a term are; share of a term's rows that is taken to be misspelled before any are seen.
+RATIO, MISSPELLED = 4, 0.01
 #: Pairs of minima by which copies among the labelled rows are told.
 COPY_KEYS = 8
 THRESHOLD = 0.7
@@ -47,56 +47,84 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def edits(term_length: int) -> int:
-    return 0 if term_length < 5 else 1 if term_length < 8 else 2
+    return 0 if term_length < 4 else 1 if term_length < 8 else 2
+
+
+def swaps(term: str) -> set[str]:
+    """The term with two neighbouring letters in each other's place."""
+    return {term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)} - {term}
 
 
 @dataclass
 class Trie:
-    """Terms by character, one trie for each number of allowed edits; ``near`` finds those within their edits of a word.
+    """Terms by character, one trie for each length; ``near`` finds those within their edits of a word.
+
+    Stems, given with a star, are within their edits of a word if they are of the beginning
+    of it. ``find`` also knows neighbouring letters swapped, which are two edits, in terms of one.
 
     Of a term cut into k + 1 pieces one stands unchanged in any word within k edits, at
-    most k places off; words without such a piece aren't walked.
+    most k places off; only the tries that have such a piece of a word are walked for it.
     """
 
-    roots: dict[int, dict] = field(default_factory=dict)
-    pieces: dict[str, set[int]] = field(default_factory=dict)
+    roots: dict[tuple[int, bool], dict] = field(default_factory=dict)
+    swapped: dict[str, str] = field(default_factory=dict)
+    heads: dict[str, str] = field(default_factory=dict)
+    head_sizes: set[int] = field(default_factory=set)
+    pieces: dict[str, dict[int, set[tuple[int, bool]]]] = field(default_factory=dict)
     sizes: set[int] = field(default_factory=set)
     longest: int = 0
 
-    def add(self, term: str) -> None:
+    def add(self, name: str) -> None:
+        stem = name.endswith("*")
+        term = name[:-1] if stem else name
         k = edits(len(term))
         if not k:
             return
-        node = self.roots.setdefault(k, {})
+        key = (len(term), stem)
+        node = self.roots.setdefault(key, {})
         for ch in term:
             node = node.setdefault(ch, {})
-        node[""] = term
-        self.longest = max(self.longest, len(term))
+        node[""] = name
+        self.longest = max(self.longest, 1 << 30 if stem else len(term))
+        if k == 1:
+            for w in sorted(swaps(term)):
+                (self.heads if stem else self.swapped).setdefault(w, name)
+            if stem:
+                self.head_sizes.add(len(term))
         cut = [len(term) * i // (k + 1) for i in range(k + 2)]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
-            self.pieces.setdefault(term[i:j], set()).update(range(i - k, i + k + 1))
+            places = self.pieces.setdefault(term[i:j], {})
+            for at in range(i - k, i + k + 1):
+                places.setdefault(at, set()).add(key)
             self.sizes.add(j - i)
 
+    def find(self, word: str) -> str | None:
+        """The term that a word misspells, or None."""
+        got = self.near(word) or self.swapped.get(word)
+        if got is None and self.heads:
+            got = next((self.heads[h] for k in sorted(self.head_sizes) if (h := word[:k]) in self.heads), None)
+        return got
+
     def near(self, word: str) -> str | None:
         """The first closest term within its edits of ``word``, or None."""
         n = len(word)
         if n > self.longest + 2 or n < 4:
             return None
+        keys: set[tuple[int, bool]] = set()
         for z in self.sizes:
             for i in range(n - z + 1):
-                if i in self.pieces.get(word[i : i + z], ()):
-                    break
-            else:
-                continue
-            break
-        else:
+                if (places := self.pieces.get(word[i : i + z])) and i in places:
+                    keys |= places[i]
+        keys = {(size, stem) for size, stem in keys if (n >= size if stem else abs(n - size) <= edits(size))}
+        if not keys:
             return None
         where: dict[str, int] = {}
         for i, ch in enumerate(word):
             where[ch] = where.get(ch, 0) | 1 << i
         last = 1 << n
         best: tuple[int, str] | None = None
-        for k, root in self.roots.items():
+        for size, stem in keys:
+            k, root = edits(size), self.roots[size, stem]
             # states[e]: positions of the word that are reached with e edits
             stack = [(root, [(1 << e + 1) - 1 for e in range(k + 1)])]
             while stack:
@@ -104,7 +132,7 @@ class Trie:
                 for ch, child in node.items():
                     if ch == "":
                         for e in range(k + 1):
-                            if states[e] & last:
+                            if states[e] & last or (stem and states[e]):
                                 if best is None or (e, child) < best:
                                     best = (e, child)
                                 break
@@ -126,6 +154,7 @@ class Trie:
 class Model:
     terms: frozenset[str] = frozenset()
     stems: frozenset[str] = frozenset()
+    family: frozenset[str] = frozenset()
     cleared: frozenset[str] = frozenset()
     crowded: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0, 0.0)
@@ -140,12 +169,17 @@ def words_in(chunk: str) -> list[str]:
     return runs if runs == [low] or not low else [*runs, low]
 
 
+def targets_of(model: Model) -> list[str]:
+    """What misspellings are looked for of: terms, words of the stems, and the stems, starred; without those barred from it."""
+    return sorted((model.terms | model.family | {s + "*" for s in model.stems}) - model.crowded)
+
+
 class Matcher:
     """Marks of white-space words: 1 exact hit, 2 misspelled hit, 4 quotation mark, 8 address, 16 report; cached."""
 
     def __init__(self, model: Model):
         self.model, self.trie, self.known = model, Trie(), {}
-        for t in sorted(model.terms - model.crowded):
+        for t in targets_of(model):
             self.trie.add(t)
         self.lengths = sorted({len(s) for s in model.stems})
 
@@ -167,7 +201,7 @@ class Matcher:
                 out |= 16
             if w in m.terms or any(w[:k] in m.stems for k in self.lengths):
                 out |= 1
-            elif w not in m.cleared and self.trie.near(w):
+            elif w not in m.cleared and self.trie.find(w):
                 out |= 2
         return out
 
@@ -233,8 +267,8 @@ def terms_of(chunk: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[frozenset[str], frozenset[str]]:
-    """Words, and stems that cover more than any of their words, in 1 % of the toxic rows at least, with a likelihood ratio over 20 and 20 times the rate of clean rows."""
+def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Words, stems that cover more than any of their words, and the words of these stems, in 1 % of the toxic rows at least, with a likelihood ratio over 20 and 20 times the rate of clean rows."""
 
     def strength(t: str) -> float:
         x, y = a[t], b.get(t, 0)
@@ -255,9 +289,22 @@ def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[fro
     # Of nested stems with about the same documents the longest, which is the most specific.
     stems = {s for s in stems if not any(o != s and o.startswith(s) and a[o + "*"] >= 0.9 * a[s + "*"] for o in stems)}
     stems = {s for s in stems if not any(o != s and s.startswith(o) for o in stems)}
-    words = {w for w in words if not any(w.startswith(s) for s in stems)}
-    top = sorted(words, key=lambda t: (-strong[t], t))[:TERMS]
-    return frozenset(top), frozenset(sorted(stems, key=lambda s: (-strong[s + "*"], s))[:TERMS])
+    kept = frozenset(sorted(stems, key=lambda s: (-strong[s + "*"], s))[:TERMS])
+    family = {w for w in words if any(w.startswith(s) for s in stems)}
+    top, more = (sorted(x, key=lambda t: (-strong[t], t))[:TERMS] for x in (words - family, family))
+    return frozenset(top), kept, frozenset(more)
+
+
+def judged(clean: dict[str, int], toxic: dict[str, int], find, a: dict[str, int], na: int, nb: int) -> tuple[frozenset[str], frozenset[str]]:
+    """Cleared near words and barred terms, by rows of near words; ``find`` gives the term of a word.
+
+    A near word of clean rows is cleared if its likelihood ratio is below RATIO. What stands in
+    one row foretells the words not seen yet: a term is barred if the ratio of these is below RATIO.
+    """
+    cleared = frozenset(w for w, y in clean.items() if toxic.get(w, 0) * nb < RATIO * y * na)
+    ordinary = Counter(find(w) for w in cleared if clean[w] == 1)
+    meant = Counter(find(w) for w, x in toxic.items() if x == 1 and w not in cleared)
+    return cleared, frozenset(t for t, y in ordinary.items() if (meant[t] + MISSPELLED * a.get(t, 0)) * nb < RATIO * (y + 0.5) * na)
 
 
 def signals(counts: np.ndarray) -> np.ndarray:
@@ -328,14 +375,17 @@ def fit(labelled: DataFrame) -> Model:
     a = {r["term"]: r["n"] for r in tally(toxic, _document_counts(terms_of)).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
     wanted = frozenset(a)
     b = {r["term"]: r["n"] for r in tally(clean, _document_counts(lambda chunk: terms_of(chunk) & wanted)).collect()}
-    terms, stems = lexicon(a, b, na, nb)
+    model = Model(*lexicon(a, b, na, nb))
     trie = Trie()
-    for t in sorted(terms):
+    for t in targets_of(model):
         trie.add(t)
-    cleared = [r["term"] for r in tally(clean, _document_counts(lambda chunk: [w for w in words_in(chunk) if w not in terms and trie.near(w)])).orderBy(F.desc("n"), "term").limit(CLEARED).collect()]
-    # A term with several clean words near it says nothing of further near words.
-    near = Counter(trie.near(w) for w in cleared)
-    model = Model(terms, stems, frozenset(cleared), frozenset(t for t, n in near.items() if n >= CROWD))
+    sizes = sorted({len(s) for s in model.stems})
+
+    def misspelled(chunk: str) -> list[str]:
+        return [w for w in words_in(chunk) if w not in model.terms and not any(w[:k] in model.stems for k in sizes) and trie.find(w)]
+
+    near = [{r["term"]: r["n"] for r in tally(df, _document_counts(misspelled)).orderBy(F.desc("n"), "term").limit(CLEARED).collect()} for df in (clean, toxic)]
+    model.cleared, model.crowded = judged(*near, trie.find, a, na, nb)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
