@@ -178,6 +178,13 @@ def test_transcripts(spark):
     assert sum(r[0] == 4 for r in got) == 2 and (None, 0, 0, "user", "lost") in got and any(r[0] == 3 for r in got)
 
 
+def test_whole_lines_are_observed():
+    question, statement = "plain words " * 25 + "so?", "y" * 199 + "?" + "y" * 150
+    asked, plain = chat.emission(None, "so?"), chat.emission(None, "plain")
+    assert len(question) > 300 and (chat.emission(None, question) == asked).all()
+    assert statement[:200].endswith("?") and (chat.emission(None, statement) == plain).all()
+
+
 def test_blocks_decode_as_the_whole(spark, monkeypatch):
     r = random.Random(8)
     rows = [(c, t, r.choice([None, "user", "assistant"]), r.choice(["Sure, fine.", "What now?", "plain", "User: x\nAI: y"])) for c in range(6) for t in range(40)]

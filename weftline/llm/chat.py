@@ -58,9 +58,8 @@ def lines_of(text: str | None, hint: str | None) -> list[tuple[int | None, str]]
 
 def emission(role: int | None, line: str) -> np.ndarray:
     e = MARKED[:, role].copy() if role is not None else np.zeros(3)
-    head = line[:200] if len(line) < 400 else line[:200] + line[-200:]
     for pattern, p in FEATURES:
-        e += np.log(p) if pattern.search(head) else np.log1p(-np.array(p))
+        e += np.log(p) if pattern.search(line) else np.log1p(-np.array(p))
     return e
 
 
