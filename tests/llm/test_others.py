@@ -185,6 +185,14 @@ def test_whole_lines_are_observed():
     assert statement[:200].endswith("?") and (chat.emission(None, statement) == plain).all()
 
 
+def test_long_turns_keep_their_role(spark):
+    for n in (25, 200, 5_000):
+        plain = "\n".join(f"plain line {i}" for i in range(n))
+        rows = [(1, 0, "user", "one"), (1, 1, "assistant", plain), (1, 2, "user", plain), (2, 0, None, f"User: one\nAssistant: {plain}")]
+        got = sorted((r["conv_id"], r["turn"], r["part"], r["role"], r["content"]) for r in chat.parse_transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect())
+        assert got == [(1, 0, 0, "user", "one"), (1, 1, 0, "assistant", plain), (1, 2, 0, "user", plain), (2, 0, 0, "user", "one"), (2, 0, 1, "assistant", plain)]
+
+
 def test_blocks_decode_as_the_whole(spark, monkeypatch):
     r = random.Random(8)
     rows = [(c, t, r.choice([None, "user", "assistant"]), r.choice(["Sure, fine.", "What now?", "plain", "User: x\nAI: y"])) for c in range(6) for t in range(40)]

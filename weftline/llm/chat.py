@@ -66,7 +66,11 @@ def emission(role: int | None, line: str) -> np.ndarray:
 def observed(rows: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int | None, str]]]:
     """Emissions and transition kinds (1: a row or a marked line begins) of all lines, and (row, mark, line) of each."""
     flat = [(r, role, line, i == 0) for r, (hint, text) in enumerate(rows) for i, (role, line) in enumerate(lines_of(text, hint))]
-    e = np.stack([emission(role, line) for _, role, line, _ in flat])
+    held, e = None, []
+    for _, role, line, first in flat:
+        held = role if first or role is not None else held  # up to the next marker of the row
+        e.append(emission(held, line))
+    e = np.stack(e)
     return e, np.array([first or role is not None for _, role, _, first in flat]), [(r, role, line) for r, role, line, _ in flat]
 
 
@@ -153,7 +157,7 @@ def parse_transcripts(conversations: DataFrame, use_roles: bool = True) -> DataF
     """(conv_id, turn, part, role, content, rendered): canonical turns of every row.
 
     A row may hold several speakers (parts). A row's role column, if it names one, marks
-    its first line; unknown and null roles leave it to the model. Null and empty texts
+    its lines up to the first marker, and a marker those up to the next one; unknown and null roles leave it to the model. Null and empty texts
     are turns of empty content; null conv_ids form one conversation; rows of equal turn
     follow by hash of their content; an empty table gives no rows.
     """
