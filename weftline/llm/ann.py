@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import stored, table
 
 SHARD, QUERY_BLOCK = 5_000, 2_000
 DEGREE, BUILD_BEAM, BEAM, ALPHA, BATCH = 32, 64, 96, 1.2, 256
@@ -129,7 +129,7 @@ def index(vectors: DataFrame, k: int = 10, shard: int = SHARD, id_col: str = "ve
     """
     own = Window.partitionBy("vector").orderBy("vec_id")
     rows = valid(vectors, id_col, vector_col).withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1)
-    distinct = checkpoint(rows.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    distinct = stored(rows.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     shards = max(1, -(-distinct.count() // shard))
     placed = distinct.withColumn("part", F.pmod(F.xxhash64("vector", F.lit(17)), F.lit(shards)).cast("int")).withColumn("size", F.size("vector"))
     placed = placed.withColumn("shard", F.col("part") + F.col("size") * shards)
@@ -141,12 +141,12 @@ def index(vectors: DataFrame, k: int = 10, shard: int = SHARD, id_col: str = "ve
         edges = [g[g >= 0].tolist() for g in graph]
         return pa.table({"shard": rows["shard"], "node": pa.array(range(n), pa.int32()), "ids": rows["ids"].cast(pa.list_(pa.int64())), "vector": rows["vector"].cast(pa.list_(pa.float32())), "edges": pa.array(edges, pa.list_(pa.int32())), "entry": pa.array([entry] * n, pa.int32())})
 
-    return checkpoint(placed.select("shard", "ids", "vector").groupBy("shard").applyInArrow(grow, INDEX))
+    return stored(placed.select("shard", "ids", "vector").groupBy("shard").applyInArrow(grow, INDEX))
 
 
 def search(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query (query_id, vector), by double-precision distance, ties to the smaller id; a query's own id never counts."""
-    queries = checkpoint(queries.select("query_id", "vector"))
+    queries = stored(queries.select("query_id", "vector"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("size", F.size("vector"))
     shards = graph.groupBy("shard").agg(F.first(F.size("vector")).alias("size"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, table
+from .common import stored, map_batches, table
 
 ROLES = ("system", "user", "assistant")
 #: Rows of a conversation that are decoded in one piece, turns of a block, parts of a block by hash.
@@ -163,7 +163,7 @@ def parse_transcripts(conversations: DataFrame, use_roles: bool = True) -> DataF
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), (F.col("role") if use_roles else F.lit(None)).cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("role", "text"))
-    long = checkpoint(rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("conv_id"))
+    long = stored(rows.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("conv_id"))
     some = not long.isEmpty()
     short = rows.join(long, rows["conv_id"].eqNullSafe(long["conv_id"]), "left_anti") if some else rows
     parts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -176,7 +176,7 @@ def parse_transcripts(conversations: DataFrame, use_roles: bool = True) -> DataF
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """Long conversations, by blocks of BLOCK_TURNS turns; blocks of more than LONG rows are split by turn and hash, in the order of both."""
     rows = rows.withColumn("b", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(1 << 40))))
-    full = checkpoint(rows.groupBy("conv_id", "b").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("conv_id", "b", F.lit(True).alias("split")))
+    full = stored(rows.groupBy("conv_id", "b").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("conv_id", "b", F.lit(True).alias("split")))
     rows = rows.alias("r").join(F.broadcast(full.alias("f")) if full.count() < 10_000 else full.alias("f"), F.expr("r.conv_id <=> f.conv_id and r.b = f.b"), "left").select("r.*", "split")
     rows = rows.withColumn("sub", F.when(F.col("split"), F.coalesce("turn", F.lit(0)) * PARTS + F.floor((F.col("h") / 2.0**64 + 0.5) * (PARTS - 1)).cast("long")).otherwise(F.lit(0)))
 
@@ -215,7 +215,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     keys = ["conv_id", "b", "sub"]
     rows = rows.select(*keys, "turn", "role", "text", "h")
     m = rows.groupBy(*keys).applyInArrow(matrices, "conv_id long, b long, sub long, m array<double>")
-    fixed = checkpoint(m.groupBy("conv_id").applyInArrow(ends, "conv_id long, b long, sub long, before array<double>, end int"))
+    fixed = stored(m.groupBy("conv_id").applyInArrow(ends, "conv_id long, b long, sub long, before array<double>, end int"))
     return rows.groupBy(*keys).cogroup(fixed.groupBy(*keys)).applyInArrow(decode, OUT)
 
 

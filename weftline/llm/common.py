@@ -1,4 +1,4 @@
-"""What the operators share: table reading, Arrow batches, durable lineage cuts and vectorised byte hashing.
+"""What the operators share: table reading, Arrow batches, stored intermediate tables and vectorised byte hashing.
 
 Hashing works on the concatenated UTF-8 bytes of a chunk of texts. ``Prefix``
 keeps the prefix sums S[i] = sum(T[byte_j] * B^j) mod 2^64 and answers the hash
@@ -7,11 +7,10 @@ of any substring as (S[j] - S[i]) * B^-i, one multiplication a substring.
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
-import time
 import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,28 +19,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are hashed in chunks of about this many bytes (a longer text is a chunk of its own).
-CHUNK = 2 << 20
-BATCH_BYTES = 8 << 20
-_COLLECTED = [0.0]
+CHUNK = 1 << 20
+BATCH_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of the session (a local one where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
-    out = df.checkpoint(eager=True)
-    if time.monotonic() - _COLLECTED[0] > 2:  # shuffle files, broadcasts and checkpoints of finished steps go once their plans are collected
-        gc.collect()
-        sc._jvm.System.gc()
-        _COLLECTED[0] = time.monotonic()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset, a local one on a local master only."""
+    sc = spark.sparkContext
+    if (found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")) is None:
+        if (known := sc._jsc.sc().getCheckpointDir()).isDefined():
+            return known.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+        found = sc._jsc.sc().getCheckpointDir().get()
+    return found
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: written as a table to the shared folder and read again. The shuffle files of the step go as soon as it is written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from :func:`stored` that nothing reads any more."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.__dict__["stored_at"]
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches bounded by bytes, so that long texts can't swell a worker."""
     conf = df.sparkSession.conf

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, row_keys, table
+from .common import row_keys, stored, table
 
 # Equivalent spellings (from, to), as whole words.
 SPELLINGS = [
@@ -95,12 +95,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null and empty texts, and those of copyright lines alone, have the digest of ''
     and no licence; repeated rows are all returned; an empty table gives no rows.
     """
-    table_ = checkpoint(known_digests(docs.sparkSession))
+    table_ = stored(known_digests(docs.sparkSession))
     known = F.broadcast(table_)
     fixed = F.array(*[F.lit(d) for d in sorted({r["digest"] for r in table_.collect()})])
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
     rows = rows.select("doc_id", digest(F.array_join("lines", " ")).alias("digest"), F.array_intersect(F.transform("lines", digest), fixed).alias("hits"))
-    keyed = checkpoint(rows.select("doc_id", "digest", "hits", *row_keys("doc_id", "digest", "hits")))  # texts are normalised once
+    keyed = stored(rows.select("doc_id", "digest", "hits", *row_keys("doc_id", "digest", "hits")))  # texts are normalised once
     hits = keyed.select("k1", "k2", F.explode("hits").alias("line")).join(known.withColumnRenamed("digest", "line"), "line")
     notices = hits.groupBy("k1", "k2").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     out = keyed.drop("hits").join(notices, ["k1", "k2"], "left").join(known, "digest", "left")

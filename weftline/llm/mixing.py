@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import stored, table
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
@@ -90,8 +90,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))).alias("shuffled"),
         *extra,
     )
-    slim = checkpoint(slim)
-    sums = checkpoint(targets(slim.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn("goal", F.floor("target").cast("long")).withColumn("src_id", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())).cast("long")))
+    slim = stored(slim)
+    sums = stored(targets(slim.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn("goal", F.floor("target").cast("long")).withColumn("src_id", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())).cast("long")))
     slots = sums.agg(F.coalesce(F.sum(F.ceil(F.col("goal") / block)), F.lit(0)).cast("long")).first()[0]
     plan = schedule(sums.select("src_id", F.ceil(F.col("goal") / block).cast("long").alias("need")), slots)
 
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     heads = heads.select("src_id", "bucket", (F.sum("n").over(Window.partitionBy("src_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("head"))
     inside = Window.partitionBy("src_id", "bucket").orderBy("shuffled", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = base.join(heads, ["src_id", "bucket"]).withColumn("at", F.col("head") + F.sum("size").over(inside) - F.col("size"))
-    placed = checkpoint(placed.select("doc_id", "src_id", "size", "source_size", "target", "goal", "at", *keep))
+    placed = stored(placed.select("doc_id", "src_id", "size", "source_size", "target", "goal", "at", *keep))
 
     epochs = F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), (F.col("at") + e * F.col("source_size")).alias("lo")) for e in range(most)]))
     spans = placed.where("size > 0").select("src_id", "at", "size", "goal", epochs.alias("e")).select("src_id", "at", "e.epoch", "e.lo", F.least(F.col("e.lo") + F.col("size"), F.col("goal")).alias("hi")).where("lo < hi")

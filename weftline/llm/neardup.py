@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Prefix, buffer_of, checkpoint, chunks, map_batches, mix, row_keys, signed, table, text_or_empty, words_of
+from .common import Prefix, buffer_of, stored, chunks, map_batches, mix, row_keys, signed, table, text_or_empty, words_of
 
 SYMBOLS, CHUNK_SYMBOLS, ONE_ERROR, T = 48, 3, 7, 22
 #: Members of a block in which signatures are compared, bytes of a block of sets, members whose consensus names the pivot.
@@ -232,12 +232,12 @@ def components(edges: DataFrame) -> DataFrame:
     then by hashes that change each time (which halves chains), until no edge is left.
     """
     pair = lambda a, b: edges.select(F.col(a).alias("c"), F.col(b).alias("o"))
-    rest = checkpoint(pair("x", "y").unionByName(pair("y", "x")).distinct())
+    rest = stored(pair("x", "y").unionByName(pair("y", "x")).distinct())
     label, level = None, 0
     while True:
         rank = (lambda c: F.col(c)) if level < 2 else (lambda c: F.xxhash64(F.col(c), F.lit(level)))
         least = rest.groupBy("c").agg(F.min(F.struct(rank("o").alias("r"), F.col("o"))).alias("m"))
-        merged = checkpoint(least.select("c", F.when(F.col("m.r") < rank("c"), F.col("m.o")).otherwise(F.col("c")).alias("l")))
+        merged = stored(least.select("c", F.when(F.col("m.r") < rank("c"), F.col("m.o")).otherwise(F.col("c")).alias("l")))
         if label is None:
             label = merged
         else:
@@ -245,10 +245,10 @@ def components(edges: DataFrame) -> DataFrame:
             label = label.join(above, "l", "left").select("c", F.coalesce("m", "l").alias("l"))
         ends = merged.hint("merge")
         rest = rest.join(ends, "c").select(F.col("l").alias("a"), F.col("o").alias("c")).join(ends, "c").select(F.col("a").alias("c"), F.col("l").alias("o"))
-        rest = checkpoint(rest.where("c <> o").distinct())
+        rest = stored(rest.where("c <> o").distinct())
         level += 1
         if rest.isEmpty():
-            return checkpoint(label) if level > 1 else label
+            return stored(label) if level > 1 else label
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,14 +261,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", *row_keys("doc_id", "text"), "text")
-    rows = checkpoint(map_batches(texts, _features(words), "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, sig binary"))
+    rows = stored(map_batches(texts, _features(words), "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, sig binary"))
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("k1").alias("k1"), F.min("sig").alias("sig"))
-    classes = checkpoint(classes.withColumn("c", F.monotonically_increasing_id()))
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()))
 
-    keys = checkpoint(map_batches(classes.select("c", "sig"), _keys, "key long, c long"))
+    keys = stored(map_batches(classes.select("c", "sig"), _keys, "key long, c long"))
     heads = keys.groupBy("key").agg(F.min("c").alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p")
-    crowd = checkpoint(keys.join(heads.hint("merge"), "key"))
+    crowd = stored(keys.join(heads.hint("merge"), "key"))
     sig = classes.select("c", "sig")
     stars = crowd.where("c <> p").select("p", "c").distinct()
 
@@ -276,17 +276,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         return F.expr(f"aggregate(sequence(0, {SYMBOLS - 1}), 0, (a, i) -> a + int(substring({s}, 2 * i + 1, 2) <> substring({t}, 2 * i + 1, 2)))")
 
     stars = stars.join(sig.withColumnRenamed("sig", "t").hint("merge"), "c").join(sig.select(F.col("c").alias("p"), F.col("sig").alias("s")).hint("merge"), "p").where(apart("s", "t") <= T)
-    stars = checkpoint(stars.select(F.col("p").alias("x"), F.col("c").alias("y")))
+    stars = stored(stars.select(F.col("p").alias("x"), F.col("c").alias("y")))
 
     # Whole sets of the classes that meet others, from one of their texts.
     met = crowd.select("c").distinct().join(classes.select("c", "s1", "s2", "k1"), "c")
     chosen = some.select("k1", "k2", "s1", "s2").join(met, ["s1", "s2", "k1"]).groupBy("c").agg(F.min("k2").alias("k2"), F.first("k1").alias("k1"))
     owners = texts.join(chosen, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("c").alias("c"), F.first("text").alias("text")).select("c", "text")
-    sets = checkpoint(map_batches(owners, _sets(words), "c long, own binary"))
+    sets = stored(map_batches(owners, _sets(words), "c long, own binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("c").alias("x"), F.col("own").alias("a")), sets.select(F.col("c").alias("y"), F.col("own").alias("b"))
-        return checkpoint(map_batches(pairs.select("x", "y").join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", "y", "a", "b"), _confirm(percent), "x long, y long"))
+        return stored(map_batches(pairs.select("x", "y").join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", "y", "a", "b"), _confirm(percent), "x long, y long"))
 
     def labelled(df: DataFrame, label: DataFrame, name: str = "c", to: str = "l") -> DataFrame:
         return df.join(label.select(F.col("c").alias(name), F.col("l").alias(to)).hint("merge"), name, "left").withColumn(to, F.coalesce(to, name))
@@ -294,41 +294,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Groups: keys whose members are in several groups still may join these.
     group = components(stars)
     told = labelled(crowd, group)
-    by_label = checkpoint(told.groupBy("key", "l").agg(F.count("*").alias("n")))
+    by_label = stored(told.groupBy("key", "l").agg(F.count("*").alias("n")))
     mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "l")).alias("top")).where("labels > 1").select("key", "n", F.col("top.l").alias("major"))
     members = told.join(mixed.hint("merge"), "key").join(sig.hint("merge"), "c").withColumn("minor", F.col("l") != F.col("major"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / BLOCK)))
-    blocks = checkpoint(members.groupBy("key", "minor", "salt").agg(F.collect_list(F.struct("c", "l", "sig")).alias("m")))
+    blocks = stored(members.groupBy("key", "minor", "salt").agg(F.collect_list(F.struct("c", "l", "sig")).alias("m")))
     left = blocks.where("minor").select("key", F.col("salt").alias("sa"), F.col("m").alias("a"))
     met_blocks = left.join(blocks.select("key", "minor", "salt", F.col("m").alias("b")), "key").where("not minor or sa <= salt").select("a", "b")
-    joined = checkpoint(map_batches(met_blocks, _near, "x long, y long"))
+    joined = stored(map_batches(met_blocks, _near, "x long, y long"))
     if not joined.isEmpty():
         alone = joined.select(F.col("x").alias("c")).unionByName(joined.select(F.col("y").alias("c"))).distinct().join(group, "c", "left_anti")
         between = labelled(labelled(joined, group, "x", "lx"), group, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
         group = labelled(group.unionByName(alone.withColumn("l", F.col("c"))), components(between), "l", "g")
     else:
         group = group.withColumn("g", F.col("l"))
-    group = checkpoint(group.select("c", "g"))
+    group = stored(group.select("c", "g"))
 
     # Links to the pivot of each group, the member nearest to the consensus of some.
-    own = checkpoint(group.join(sig.hint("merge"), "c"))
+    own = stored(group.join(sig.hint("merge"), "c"))
     some_of = own.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("c"), "c"))).where(F.col("r") <= SAMPLE)
     common = map_batches(some_of.groupBy("g").agg(F.collect_list("sig").alias("sigs")), _consensus, "g long, common binary")
     pivots = own.join(common.hint("merge"), "g").groupBy("g").agg(F.min(F.struct(apart("sig", "common").alias("d"), "c")).alias("m")).select("g", F.col("m.c").alias("p"))
-    pivots = checkpoint(pivots)
+    pivots = stored(pivots)
     links = confirmed(own.select("c", "g").join(pivots.hint("merge"), "g").where("c <> p").select(F.col("p").alias("x"), F.col("c").alias("y")))
     label = links.select(F.col("y").alias("c"), F.col("x").alias("l"))  # stars: a pivot is its component's name
 
     # Members outside their pivot's component against the whole group.
     placed = labelled(labelled(own.select("c", "g").join(pivots.hint("merge"), "g"), label), label, "p", "lp").withColumn("stray", F.col("l") != F.col("lp")).select("c", "g", "l", "stray")
-    open_ = checkpoint(placed.groupBy("g").agg(F.sum(F.col("stray").cast("long")).alias("strays"), F.count("*").alias("n")).where("strays > 0 and n > 2").select("g"))
-    full = checkpoint(placed.join(open_.hint("merge"), "g").join(sets.hint("merge"), "c").withColumn("size", F.length("own")))
+    open_ = stored(placed.groupBy("g").agg(F.sum(F.col("stray").cast("long")).alias("strays"), F.count("*").alias("n")).where("strays > 0 and n > 2").select("g"))
+    full = stored(placed.join(open_.hint("merge"), "g").join(sets.hint("merge"), "c").withColumn("size", F.length("own")))
     sizes = full.groupBy("g").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("salts"))
     full = full.join(sizes.hint("merge"), "g").withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts")))
-    packed = checkpoint(full.groupBy("g", "stray", "salt").agg(F.collect_list(F.struct("c", "l", "own")).alias("m")))
+    packed = stored(full.groupBy("g", "stray", "salt").agg(F.collect_list(F.struct("c", "l", "own")).alias("m")))
     left = packed.where("stray").select("g", F.col("salt").alias("sa"), F.col("m").alias("a"))
     pairs = left.join(packed.select("g", "stray", "salt", F.col("m").alias("b")), "g").where("not stray or sa <= salt").select("a", "b")
-    more = checkpoint(map_batches(pairs.repartition(max(8, spark.sparkContext.defaultParallelism)), _across(percent), "x long, y long"))
+    more = stored(map_batches(pairs.repartition(max(8, spark.sparkContext.defaultParallelism)), _across(percent), "x long, y long"))
     named = labelled(classes.select("c", "s1", "s2", "least"), label)
     if not more.isEmpty():
         between = labelled(labelled(more, label, "x", "lx"), label, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, checkpoint, chunks, map_batches, of_worker, table, text_or_empty
+from .common import buffer_of, chunks, map_batches, of_worker, stored, table, text_or_empty
 
 LENGTH = 4096
 VOCABULARY = "word_bpe_49k.json"
@@ -219,7 +219,7 @@ def pack(cut: DataFrame, capacity: int = LENGTH, per_partition: int = PER_PARTIT
     parts = max(1, total // per_partition)
     for turn in range(rounds):
         dealt = rest.repartition(parts, F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn)))
-        packed = checkpoint(map_batches(dealt, packer(turn), schema))
+        packed = stored(map_batches(dealt, packer(turn), schema))
         keep, again = packed.where("not again"), packed.where("again")
         left = again.count() if parts > 1 and turn + 1 < rounds else 0
         done = (packed if not left else keep) if done is None else done.unionByName(packed if not left else keep)
@@ -230,4 +230,4 @@ def pack(cut: DataFrame, capacity: int = LENGTH, per_partition: int = PER_PARTIT
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(checkpoint(pieces(table(spark, sf_dir, "documents"))))
+    return pack(stored(pieces(table(spark, sf_dir, "documents"))))

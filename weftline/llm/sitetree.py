@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..html.tree import Node, parse
-from .common import checkpoint, map_batches, table
+from .common import map_batches, stored, table
 
 #: A node is boilerplate below LOW importance, if PAGES pages (inside articles: different articles) or more and SHARE of those with its parent node have it.
 LOW, PAGES, SHARE = 0.2, 5, 0.5
@@ -246,7 +246,7 @@ def importance(pages: DataFrame) -> DataFrame:
     counted = counted.groupBy("host", "path", "up", "content").agg(F.sum(once[0]).alias("n"), F.sum(once[1]).alias("has"))
     entropy = F.log("n") - F.col("nlogn") / F.col("n")
     node = counted.groupBy("host", "path", "up").agg(F.sum("n").alias("n"), F.sum("has").alias("has"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    node = checkpoint(node)  # the join reads it twice: pages are parsed once for it
+    node = stored(node)  # the join reads it twice: pages are parsed once for it
     above = node.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.sum("has").alias("pages"))
     joined = node.join(above, (F.col("host") == F.col("h")) & (F.col("up") == F.col("p")))
     return joined.select("host", "path", "n", "has", "pages", F.when(F.col("n") > 1, entropy / F.log("n")).otherwise(1.0).alias("importance"))
@@ -259,7 +259,7 @@ def extract(pages: DataFrame, low: float = LOW, least: int = PAGES, share: float
     repeated rows are all returned; an empty table gives no rows.
     """
     drop = importance(pages).where((F.col("importance") < low) & (F.col("has") >= least) & (F.col("has") >= share * F.col("pages")))
-    drop = checkpoint(drop.groupBy("host").agg(F.collect_list("path").alias("low")))  # an exchange on either side of the join lets it split a hot host
+    drop = stored(drop.groupBy("host").agg(F.collect_list("path").alias("low")))  # an exchange on either side of the join lets it split a hot host
     host = F.udf(host_of, "string", useArrow=True)
     full = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", host("url"))
     full = full.join(drop, "host", "left").select("html", "low", "page_id", "url")

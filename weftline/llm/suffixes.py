@@ -5,20 +5,21 @@ hash (leftmost of equals). Equal strings have equal anchors at equal distance,
 so strings are compared only where their anchors' K-grams agree. Per anchor:
 
 1. A K-gram seen once can't repeat: its strings are done. One aggregate with
-   map-side combining settles these, and those seen in one context only (the
-   bytes of all strings of the anchor; 64 bits of an independent hash besides
-   the K-gram's): all of their strings repeat.
-2. K-grams with several contexts: contexts seen twice or more repeat whole. Of
-   the others, and of one occurrence of each former, the bytes are fetched and
-   suffixes are sorted per K-gram: a merge sort that ranks by binary search and
-   compares two suffixes in O(log n) by searching the longest common extension
-   with prefix polynomial hashes; the extensions of neighbours in sorted order
-   are then verified byte by byte.
-3. K-grams with over MOST contexts take a counted path instead: their strings
-   are counted by 128 bits of hash, again with map-side combining.
-
-No task gathers an unbounded group, and nothing but bytes of step 2 leaves the
-text scan.
+   map-side combining settles these.
+2. Anchors of the others are grouped by context (a hash of the bytes of all of
+   their strings). Of each context the first occurrence has its bytes fetched if the
+   K-gram has several contexts, and its suffixes are sorted per K-gram: a merge sort
+   that ranks by binary search and compares two suffixes in O(log n) by searching
+   the longest common extension with prefix polynomial hashes; the extensions of
+   neighbours in sorted order are then verified byte by byte.
+3. Every further occurrence of a context claims to equal the first one, its witness.
+   Claims are joined to runs, the witness's bytes are sent to the claimant and
+   compared there: what differs is not removed. So no byte goes on a hash alone.
+4. K-grams with over MOST contexts have their strings grouped one by one instead of
+   sorted in one task, and claim against witnesses as in 3: the same strings are found.
+
+No task gathers an unbounded group: groups are aggregates with map-side combining,
+sorted groups are bounded by MOST, and claims are gathered by claimant.
 """
 
 from __future__ import annotations
@@ -28,15 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefix, buffer_of, checkpoint, chunks, map_batches, mix, row_keys, signed, table, text_or_empty
+from .common import Prefix, buffer_of, chunks, discard, map_batches, mix, row_keys, signed, stored, table, text_or_empty
 
 LENGTH, K = 200, 64
 #: Contexts of one K-gram that are sorted in one task; bytes sorted at once.
 MOST, SORTED = 20_000, 4 << 20
-ANCHOR = "key long, ctx long, k1 long, k2 long, a int, dlo int, dhi int"
+#: Last start of a run that covers any text.
+WHOLE = 1 << 40
+#: ``place`` packs the anchor's byte and the distances of its first and last string: a << 16 | dlo << 8 | dhi.
+ANCHOR = "key long, ctx long, k1 long, k2 long, place long"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,7 +90,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = buffer_of(part.column(2))
             row, a, lo, hi, key, ctx = anchors_of(data, offsets)
             k1, k2 = (part.column(c).to_numpy()[row] for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(ctx)), pa.array(k1), pa.array(k2), *(pa.array(x.astype(np.int32)) for x in (a - offsets[row], a - lo, a - hi))], names=["key", "ctx", "k1", "k2", "a", "dlo", "dhi"])
+            place = (a - offsets[row]) << 16 | (a - lo) << 8 | (a - hi)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(ctx)), pa.array(k1), pa.array(k2), pa.array(place)], names=["key", "ctx", "k1", "k2", "place"])
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor byte and the distances to it of the first and last string."""
+    return place >> 16, place >> 8 & 255, place & 255
 
 
 def common_extension(prefix: Prefix, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -209,32 +220,38 @@ def repeated(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, dlo: np.nd
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of wanted anchors, from whole texts. Columns: text, k1, k2, wanted."""
+    """The bytes of wanted anchors, from whole texts. Columns: text, k1, k2, keys, places."""
     for batch in batches:
-        for text, k1, k2, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode()
-            out = [(w["key"], w["ctx"], k1, k2, w["a"], w["dlo"], w["dhi"], raw[w["a"] - w["dlo"] : w["a"] - w["dhi"] + LENGTH]) for w in wanted]
-            for i in range(0, len(out), 20_000):
-                cols = list(zip(*out[i : i + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:7]), pa.array(cols[7], pa.binary())], names=["key", "ctx", "k1", "k2", "a", "dlo", "dhi", "bytes"])
+        data, offsets = buffer_of(batch.column(0))
+        n = pc.list_value_length(batch.column(3)).to_numpy()
+        keys, places = (np.asarray(batch.column(c).flatten()) for c in (3, 4))
+        row = np.repeat(np.arange(len(batch)), n)
+        a, dlo, dhi = unpacked(places)
+        first, many = offsets[row] + a - dlo, dlo - dhi + LENGTH
+        k1, k2 = (batch.column(c).to_numpy()[row] for c in (1, 2))
+        for i, j in chunks(np.concatenate([[0], np.cumsum(many)]), 1 << 20):
+            upto = np.concatenate([[0], np.cumsum(many[i:j])])
+            at = np.repeat(first[i:j] - upto[:-1], many[i:j]) + np.arange(upto[-1])
+            own = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data[at]))])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i:j]), pa.array(k1[i:j]), pa.array(k2[i:j]), pa.array(places[i:j]), own], names=["key", "k1", "k2", "place", "bytes"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128 bits of hash for every string of the anchors."""
     for batch in batches:
-        _, all_offsets = buffer_of(batch.column(7))
+        _, all_offsets = buffer_of(batch.column(4))
         for i, j in chunks(all_offsets, 1 << 18):
             part = batch.slice(i, j - i)
-            data, offsets = buffer_of(part.column(7))
-            dlo, dhi, a = (part.column(c).to_numpy().astype(np.int64) for c in (5, 6, 4))
+            data, offsets = buffer_of(part.column(4))
+            a, dlo, dhi = unpacked(part.column(3).to_numpy())
             many = dlo - dhi + 1
             item = np.repeat(np.arange(len(many)), many)
             skip = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
             s = offsets[item] + skip
             h1, h2 = (signed(mix(Prefix(data, b).of(s, s + LENGTH))) for b in (0, 1))
-            k1, k2 = (part.column(c).to_numpy()[item] for c in (2, 3))
+            k1, k2 = (part.column(c).to_numpy()[item] for c in (1, 2))
             start = (a - dlo)[item] + skip
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(k1), pa.array(k2), pa.array(start.astype(np.int32))], names=["h1", "h2", "k1", "k2", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(k1), pa.array(k2), pa.array(start)], names=["h1", "h2", "k1", "k2", "start"])
 
 
 def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +261,14 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     def solve(rows: pa.Table) -> pa.RecordBatch:
         keys = rows["key"].to_numpy()
         data, offsets = buffer_of(rows["bytes"])
-        dlo, dhi, a = (rows[c].to_numpy().astype(np.int64) for c in ("dlo", "dhi", "a"))
+        a, dlo, dhi = unpacked(rows["place"].to_numpy())
         item, d = repeated(keys, data, offsets, dlo, dhi)
         o = np.lexsort((-d, item))
         item, d = item[o], d[o]
         head = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (d[1:] != d[:-1] - 1)])) if len(item) else np.zeros(0, np.int64)
         last = np.concatenate([head[1:] - 1, [len(item) - 1]]) if len(item) else head
         who = item[head]
-        return pa.RecordBatch.from_arrays([pa.array(rows["k1"].to_numpy()[who]), pa.array(rows["k2"].to_numpy()[who]), pa.array((a[who] - d[head]).astype(np.int32)), pa.array((a[who] - d[last]).astype(np.int32))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(rows["k1"].to_numpy()[who]), pa.array(rows["k2"].to_numpy()[who]), pa.array(a[who] - d[head]), pa.array(a[who] - d[last])], names=names)
 
     kept: list[pa.RecordBatch] = []
     have = 0
@@ -272,15 +289,47 @@ def _sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield solve(pa.Table.from_batches(kept))
 
 
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claims of a document (k1, k2, list of (w1, w2, shift, lo, hi)) joined to runs of one witness and shift."""
+    names = ["k1", "k2", "w1", "w2", "wlo", "lo", "hi"]
+    for batch in batches:
+        lists = batch.column(2)
+        row = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+        flat = lists.flatten()
+        w1, w2, shift, lo, hi = (np.asarray(flat.field(i)) for i in range(5))
+        o = np.lexsort((hi, lo, shift, w2, w1, row))
+        row, w1, w2, shift, lo, hi = (x[o] for x in (row, w1, w2, shift, lo, hi))
+        if not len(o):
+            continue
+        same = np.concatenate([[False], (row[1:] == row[:-1]) & (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]) & (shift[1:] == shift[:-1])])
+        begin = ~same
+        begin[1:] |= lo[1:] > hi[:-1] + LENGTH  # bytes that touch are sent together; ends of one witness and shift rise with their starts
+        head = np.flatnonzero(begin)
+        far = np.maximum.reduceat(hi, head)
+        k1, k2 = (batch.column(c).to_numpy()[row[head]] for c in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, w1[head], w2[head], lo[head] + shift[head], lo[head], far)], names=names)
+
+
+def agreed(raw: bytes, lo: int, said: bytes) -> list[tuple[int, int]]:
+    """Spans of raw, LENGTH bytes long or more, that equal ``said`` put at lo."""
+    if raw[lo : lo + len(said)] == said:
+        return [(lo, lo + len(said))]
+    n = min(len(said), len(raw) - lo)
+    bad = np.flatnonzero(np.frombuffer(raw, np.uint8, n, lo) != np.frombuffer(said, np.uint8, n))
+    edge = np.concatenate([[-1], bad, [n]])
+    return [(lo + int(a) + 1, lo + int(b)) for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a - 1 >= LENGTH]
+
+
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Apply the runs to the texts. Columns: doc_id, text, runs, others."""
+    """Apply the runs to the texts. Columns: doc_id, text, runs (lo, hi, bytes of the witness or null), others."""
     for batch in batches:
         out = []
         texts = []
         for doc, text, runs in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
             raw = (text or "").encode()
             spans: list[list[int]] = []
-            for r in sorted((x["lo"], x["hi"] + LENGTH) for x in runs or ()):
+            found = [s for x in runs or () for s in ([(x["lo"], x["hi"] + LENGTH)] if x["said"] is None else agreed(raw, x["lo"], x["said"]))]
+            for r in sorted(found):
                 if spans and r[0] <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], r[1])
                 else:
@@ -300,33 +349,51 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """(k1, k2, lo, hi): runs of starts of strings that occur elsewhere, of texts (k1, k2, text)."""
-    anchors = map_batches(texts.select("k1", "k2", "text").where(F.octet_length("text") >= LENGTH), _anchors, ANCHOR)
-    grams = anchors.groupBy("key").agg(F.count("*").alias("seen"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("seen > 1")
-    grams = checkpoint(grams)  # with an exchange of its own on either side, the join below splits hot K-grams
-    again = checkpoint(anchors.join(grams, "key").select("key", "ctx", "k1", "k2", "a", "dlo", "dhi", (F.col("c0") == F.col("c1")).alias("whole")))
-    run = [F.col("k1"), F.col("k2"), (F.col("a") - F.col("dlo")).alias("lo"), (F.col("a") - F.col("dhi")).alias("hi")]
-
-    mixed = again.where("not whole").withColumn("r", F.xxhash64("k1", "k2", "a"))
-    contexts = checkpoint(mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min("r").alias("rep")))
-    counted = contexts.groupBy("key").agg(F.count("*").alias("m"))
-    hot = counted.where(F.col("m") > MOST)
-    joined = mixed.join(contexts, ["key", "ctx"])
-    fetched = checkpoint(joined.where("n = 1 or r = rep").select("key", "ctx", "k1", "k2", "a", "dlo", "dhi").join(hot.select("key", F.lit(True).alias("wide")), "key", "left"))
-    wanted = fetched.groupBy("k1", "k2", "wide").agg(F.collect_list(F.struct("key", "ctx", "a", "dlo", "dhi")).alias("wanted"))
+    """(k1, k2, runs): by document the runs (lo, hi, said) of starts of strings that occur elsewhere, of texts (k1, k2, text) without repeated rows.
+
+    ``said`` is null where the bytes were compared in the sort, else the witness's bytes, to be compared with those at lo.
+    """
+    texts = texts.select("k1", "k2", "text").where(F.octet_length("text") >= LENGTH)
+    anchors = map_batches(texts, _anchors, ANCHOR)
+    # Stored, the K-grams have an exchange of their own in the join, which splits hot ones.
+    grams = stored(anchors.groupBy("key").agg(F.count("*").alias("seen"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("seen > 1").select("key", (F.col("c0") == F.col("c1")).alias("whole")))
+    again = stored(anchors.join(grams, "key").select(*[c.split()[0] for c in ANCHOR.split(", ")], "whole"))
+    discard(grams)
+
+    who = F.struct("k1", "k2", "place")
+    contexts = stored(again.groupBy("key", "ctx", "whole").agg(F.count("*").alias("n"), F.min(who).alias("w"), F.max(who).alias("v")).where("n > 1 or not whole"))
+    joined = stored(again.join(contexts.drop("whole"), ["key", "ctx"]).select("key", "k1", "k2", "place", "whole", "n", (F.col("w") == who).alias("rep"), F.when(F.col("w") == who, F.col("v")).otherwise(F.col("w")).alias("w")))
+    a, dlo, dhi = (F.expr(e) for e in ("shiftright(place, 16)", "shiftright(place, 8) & 255", "place & 255"))
+    claimed = joined.where("n > 1").select("k1", "k2", F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2"), (F.expr("shiftright(w.place, 16)") - a).alias("shift"), (a - dlo).alias("lo"), (a - dhi).alias("hi"))
+
+    hot = contexts.where("not whole").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > MOST).select("key")
+    items = joined.where("rep and not whole").select("key", "k1", "k2", "place")
+    crowded = stored(hot)
+    wide = not crowded.isEmpty()
 
     def bytes_of(which: DataFrame) -> DataFrame:
-        return map_batches(texts.join(which, ["k1", "k2"]).select("text", "k1", "k2", "wanted"), _slices, ANCHOR + ", bytes binary")
+        wanted = which.groupBy("k1", "k2").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"))
+        return map_batches(texts.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "keys", "places"), _slices, "key long, k1 long, k2 long, place long, bytes binary")
 
     parts = max(8, texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    narrow = bytes_of(wanted.where("wide is null")).repartition(parts, "key").sortWithinPartitions("key")
-    found = map_batches(narrow, _sorted_repeats, "k1 long, k2 long, lo int, hi int")
-    out = again.where("whole").select(run).unionByName(joined.where("n > 1").select(run)).unionByName(found)
-    if not hot.isEmpty():
-        strings = map_batches(bytes_of(wanted.where("wide")), _strings, "h1 long, h2 long, k1 long, k2 long, start int")
-        twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-        out = out.unionByName(strings.join(twice, ["h1", "h2"]).select("k1", "k2", F.col("start").alias("lo"), F.col("start").alias("hi")))
-    return out
+    narrow = bytes_of(items.join(crowded, "key", "left_anti") if wide else items)
+    found = stored(map_batches(narrow.repartition(parts, "key").sortWithinPartitions("key"), _sorted_repeats, "k1 long, k2 long, lo long, hi long"))
+    strings = None
+    if wide:
+        strings = stored(map_batches(bytes_of(items.join(crowded, "key")), _strings, "h1 long, h2 long, k1 long, k2 long, start long"))
+        where = F.struct("k1", "k2", "start")
+        twice = strings.groupBy("h1", "h2").agg(F.min(where).alias("w"), F.max(where).alias("v")).where("w <> v")
+        more = strings.join(twice, ["h1", "h2"]).withColumn("w", F.when(F.col("w") == where, F.col("v")).otherwise(F.col("w")))
+        claimed = claimed.unionByName(more.select("k1", "k2", F.col("w.k1").alias("w1"), F.col("w.k2").alias("w2"), (F.col("w.start") - F.col("start")).alias("shift"), F.col("start").alias("lo"), F.col("start").alias("hi")))
+
+    gathered = claimed.groupBy("k1", "k2").agg(F.collect_list(F.struct("w1", "w2", "shift", "lo", "hi")).alias("claims"))
+    runs = stored(map_batches(gathered, _claims, "k1 long, k2 long, w1 long, w2 long, wlo long, lo long, hi long"))
+    discard(again, contexts, joined, *filter(None, [strings]))
+    told = runs.join(texts.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "text"), ["w1", "w2"])
+    told = told.select("k1", "k2", "lo", "hi", F.substring(F.col("text").cast("binary"), F.col("wlo") + 1, F.col("hi") - F.col("lo") + LENGTH).alias("said"))
+    every = stored(told.unionByName(found.withColumn("said", F.lit(None).cast("binary"))))
+    discard(runs, found)
+    return every.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi", "said")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -334,22 +401,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the
     remaining bytes as text; bytes of a split character are left out), and columns
-    ``extra`` of docs. Null texts count as
+    ``extra`` of docs; other columns, whatever their names, aren't read. Null texts count as
     empty; repeated rows are documents of their own, so copies of LENGTH bytes or
-    more go whole; an empty table gives no rows.
+    more go whole, ties included: no copy stays for being the first; texts of any length are
+    read whole; an empty table gives no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *extra)
     texts = texts.select("doc_id", "text", *extra, *row_keys("doc_id", "text"))
-    found = repeated_runs(texts)
-    # Runs that touch are joined before they are gathered by document.
-    by_doc = Window.partitionBy("k1", "k2").orderBy("lo", "hi")
-    step = found.withColumn("far", F.max("hi").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
-    step = step.withColumn("run", F.sum(F.when(F.col("far").isNull() | (F.col("lo") > F.col("far") + LENGTH), 1).otherwise(0)).over(by_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = step.groupBy("k1", "k2", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    full = texts.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs", *extra)
+    # Rows that are repeated, id and all, go whole; one of each stays for the others to be compared with.
+    same = stored(texts.where(F.octet_length("text") >= LENGTH).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
+    once = texts
+    if not same.isEmpty():
+        single = texts.select("k1", "k2", "text").join(same, ["k1", "k2"], "left_anti")
+        once = single.unionByName(texts.select("k1", "k2", "text").join(same, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    runs = repeated_runs(once)
+    if once is not texts:
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).cast("long").alias("hi"), F.lit(None).cast("binary").alias("said")))
+        runs = runs.join(same, ["k1", "k2"], "left_anti").unionByName(same.withColumn("runs", whole))
+    full = texts.join(stored(runs), ["k1", "k2"], "left").select("doc_id", "text", "runs", *extra)
     types = dict(full.dtypes)
     return map_batches(full, lambda it: _cut(it, with_text), "".join(f"`{c}` {types[c]}, " for c in extra) + "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`remove_repeats` over all of documents, one row a row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)

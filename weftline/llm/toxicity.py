@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, checkpoint, chunks, map_batches, table, text_or_empty
+from .common import buffer_of, chunks, map_batches, stored, table, text_or_empty
 from .neardup import shingles_of, signatures
 
 #: Labelled rows of a fit, lexicon terms looked at and kept, cleared words kept, words known to a worker.
@@ -363,7 +363,7 @@ def without_copies(rows: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame) -> Model:
     """A model from (text, toxic) rows, as many as the caller has chosen (FIT at most in :func:`model_of`). Null labels are left out; with no rows every score is the same low one."""
     rows = labelled.where(F.col("toxic").isNotNull()).select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    rows = checkpoint(rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)).withColumn("id", F.monotonically_increasing_id()))
+    rows = stored(rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)).withColumn("id", F.monotonically_increasing_id()))
     rows = rows.join(F.broadcast(without_copies(rows)), "id").select("text", "toxic")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     na, nb = counts.get(1, 0), counts.get(0, 0)
@@ -425,7 +425,7 @@ def model_of(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Model:
     At most ``most`` labelled ids are broadcast (8 bytes each).
     """
     ids = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = checkpoint(ids.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most))
+    ids = stored(ids.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most))
     chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
     return fit(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
