@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing, neardup, packing, suffixes, toxicity
-from weftline.llm.common import checkpoint, table
+from weftline.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a piece of a sequence of 4096 tokens (columns of packing.pack)."""
-    return packing.pack(checkpoint(packing.pieces(clean(docs))))
+    return packing.pack(stored(packing.pieces(clean(docs))))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -73,10 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each one's rows written to the checkpoint folder before the next."""
+    """All stages on documents, each one's rows written to the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = checkpoint(docs)
+            docs = stored(docs)
     return docs
