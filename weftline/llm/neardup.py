@@ -11,7 +11,7 @@ Documents of one shingle set are one class before anything is paired. Classes th
 share a key are joined to groups such that all pairs within T lie in one group: the
 members of a key by their distance to its least class, then members of several
 groups in one key by one pair for any two groups. A group's links are confirmed
-against a pivot near its consensus signature, which settles most of its members;
+against a pivot, the member that shares keys with most others, which settles most of its members;
 the strays among them are compared with the whole group in blocks (dense product
 of common shingles, inverted lists of rare ones), of which only links between
 different components come out. So n near copies cost n confirmations and a little
@@ -24,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Prefix, buffer_of, stored, chunks, map_batches, mix, row_keys, signed, table, text_or_empty, words_of
+from .common import Prefix, buffer_of, chunks, discard, map_batches, mix, row_keys, signed, stored, table, text_or_empty, words_of
 
 SYMBOLS, CHUNK_SYMBOLS, ONE_ERROR, T = 48, 3, 7, 22
-#: Members of a block in which signatures are compared, bytes of a block of sets, members whose consensus names the pivot.
-BLOCK, BLOCK_BYTES, SAMPLE = 1000, 4 << 20, 33
+#: Members of a block in which signatures are compared, bytes of a block of sets.
+BLOCK, BLOCK_BYTES = 1000, 4 << 20
 PARTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -166,20 +166,6 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[head]), pa.array(y[head])], names=["x", "y"])
 
 
-def _consensus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The commonest value of each symbol. Columns: g, sigs."""
-    for batch in batches:
-        out = []
-        for sigs in batch.column(1):
-            m = np.frombuffer(b"".join(sigs.as_py()), np.uint16).reshape(-1, SYMBOLS)
-            own = np.zeros(SYMBOLS, np.uint16)
-            for k in range(SYMBOLS):
-                v, n = np.unique(m[:, k], return_counts=True)
-                own[k] = v[n.argmax()]
-            out.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["g", "common"])
-
-
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of the sorted sets a[i], b[j]: values in most of b by a dense product, the others by inverted lists."""
     values = np.concatenate(b)
@@ -235,17 +221,22 @@ def components(edges: DataFrame) -> DataFrame:
     rest = stored(pair("x", "y").unionByName(pair("y", "x")).distinct())
     label, level = None, 0
     while True:
-        rank = (lambda c: F.col(c)) if level < 2 else (lambda c: F.xxhash64(F.col(c), F.lit(level)))
-        least = rest.groupBy("c").agg(F.min(F.struct(rank("o").alias("r"), F.col("o"))).alias("m"))
-        merged = stored(least.select("c", F.when(F.col("m.r") < rank("c"), F.col("m.o")).otherwise(F.col("c")).alias("l")))
+        if level < 2:
+            merged = rest.groupBy("c").agg(F.least("c", F.min("o")).alias("l"))
+        else:
+            rank = lambda c: F.xxhash64(F.col(c), F.lit(level))  # noqa: B023, E731
+            least = rest.groupBy("c").agg(F.min(F.struct(rank("o").alias("r"), F.col("o"))).alias("m"))
+            merged = least.select("c", F.when(F.col("m.r") < rank("c"), F.col("m.o")).otherwise(F.col("c")).alias("l"))
+        merged = stored(merged)
         if label is None:
             label = merged
         else:
-            above = merged.select(F.col("c").alias("l"), F.col("l").alias("m")).hint("merge")
+            above = merged.select(F.col("c").alias("l"), F.col("l").alias("m"))
             label = label.join(above, "l", "left").select("c", F.coalesce("m", "l").alias("l"))
-        ends = merged.hint("merge")
-        rest = rest.join(ends, "c").select(F.col("l").alias("a"), F.col("o").alias("c")).join(ends, "c").select(F.col("a").alias("c"), F.col("l").alias("o"))
-        rest = stored(rest.where("c <> o").distinct())
+        met = rest.join(merged, "c").select(F.col("l").alias("a"), F.col("o").alias("c")).join(merged, "c").select(F.col("a").alias("c"), F.col("l").alias("o"))
+        left = stored(met.where("c <> o").distinct())
+        discard(rest)
+        rest = left
         level += 1
         if rest.isEmpty():
             return stored(label) if level > 1 else label
@@ -257,88 +248,89 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Returns doc_id, n_shingles, component_id (least doc_id reachable) and kept (doc_id =
     component_id). Texts with fewer words are one shingle; null, empty and blank texts
     have none and link with nothing; null doc_ids are passed over in the least one;
-    repeated rows are all returned; an empty table gives no rows.
+    repeated rows are all returned, and rows that tie for the least doc_id are all kept;
+    other columns, whatever their names, aren't read; texts of any length are read whole;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", *row_keys("doc_id", "text"), "text")
     rows = stored(map_batches(texts, _features(words), "doc_id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, sig binary"))
-    some = rows.where("n_shingles > 0")
-    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("k1").alias("k1"), F.min("sig").alias("sig"))
-    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()))
+    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("k"), F.min("sig").alias("sig"))
+    classes = stored(classes.select("s1", "s2", "least", "k.*", "sig").withColumn("c", F.monotonically_increasing_id()))
 
     keys = stored(map_batches(classes.select("c", "sig"), _keys, "key long, c long"))
-    heads = keys.groupBy("key").agg(F.min("c").alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p")
-    crowd = stored(keys.join(heads.hint("merge"), "key"))
+    heads = keys.groupBy("key").agg(F.min("c").alias("p"), F.count("*").alias("n")).where("n > 1")
+    crowd = stored(keys.join(heads, "key"))
+    discard(keys)
     sig = classes.select("c", "sig")
-    stars = crowd.where("c <> p").select("p", "c").distinct()
 
     def apart(s: str, t: str) -> Column:
         return F.expr(f"aggregate(sequence(0, {SYMBOLS - 1}), 0, (a, i) -> a + int(substring({s}, 2 * i + 1, 2) <> substring({t}, 2 * i + 1, 2)))")
 
-    stars = stars.join(sig.withColumnRenamed("sig", "t").hint("merge"), "c").join(sig.select(F.col("c").alias("p"), F.col("sig").alias("s")).hint("merge"), "p").where(apart("s", "t") <= T)
-    stars = stored(stars.select(F.col("p").alias("x"), F.col("c").alias("y")))
-
-    # Whole sets of the classes that meet others, from one of their texts.
-    met = crowd.select("c").distinct().join(classes.select("c", "s1", "s2", "k1"), "c")
-    chosen = some.select("k1", "k2", "s1", "s2").join(met, ["s1", "s2", "k1"]).groupBy("c").agg(F.min("k2").alias("k2"), F.first("k1").alias("k1"))
-    owners = texts.join(chosen, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("c").alias("c"), F.first("text").alias("text")).select("c", "text")
-    sets = stored(map_batches(owners, _sets(words), "c long, own binary"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("c").alias("x"), F.col("own").alias("a")), sets.select(F.col("c").alias("y"), F.col("own").alias("b"))
-        return stored(map_batches(pairs.select("x", "y").join(a.hint("merge"), "x").join(b.hint("merge"), "y").select("x", "y", "a", "b"), _confirm(percent), "x long, y long"))
+    stars = crowd.where("c <> p").select("p", "c").distinct()
+    stars = stars.join(sig.withColumnRenamed("sig", "t"), "c").join(sig.select(F.col("c").alias("p"), F.col("sig").alias("s")), "p").where(apart("s", "t") <= T)
+    group = components(stored(stars.select(F.col("p").alias("x"), F.col("c").alias("y"))))
 
     def labelled(df: DataFrame, label: DataFrame, name: str = "c", to: str = "l") -> DataFrame:
-        return df.join(label.select(F.col("c").alias(name), F.col("l").alias(to)).hint("merge"), name, "left").withColumn(to, F.coalesce(to, name))
+        return df.join(label.select(F.col("c").alias(name), F.col("l").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
 
     # Groups: keys whose members are in several groups still may join these.
-    group = components(stars)
-    told = labelled(crowd, group)
-    by_label = stored(told.groupBy("key", "l").agg(F.count("*").alias("n")))
-    mixed = by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "l")).alias("top")).where("labels > 1").select("key", "n", F.col("top.l").alias("major"))
-    members = told.join(mixed.hint("merge"), "key").join(sig.hint("merge"), "c").withColumn("minor", F.col("l") != F.col("major"))
+    told = labelled(crowd.select("key", "c"), group)
+    by_label = told.groupBy("key", "l").agg(F.count("*").alias("n"))
+    mixed = stored(by_label.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "l")).alias("top")).where("labels > 1").select("key", "n", F.col("top.l").alias("major")))
+    members = told.join(mixed, "key").join(sig, "c").withColumn("minor", F.col("l") != F.col("major"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / BLOCK)))
     blocks = stored(members.groupBy("key", "minor", "salt").agg(F.collect_list(F.struct("c", "l", "sig")).alias("m")))
     left = blocks.where("minor").select("key", F.col("salt").alias("sa"), F.col("m").alias("a"))
     met_blocks = left.join(blocks.select("key", "minor", "salt", F.col("m").alias("b")), "key").where("not minor or sa <= salt").select("a", "b")
     joined = stored(map_batches(met_blocks, _near, "x long, y long"))
+    discard(blocks, mixed)
     if not joined.isEmpty():
         alone = joined.select(F.col("x").alias("c")).unionByName(joined.select(F.col("y").alias("c"))).distinct().join(group, "c", "left_anti")
         between = labelled(labelled(joined, group, "x", "lx"), group, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
         group = labelled(group.unionByName(alone.withColumn("l", F.col("c"))), components(between), "l", "g")
     else:
         group = group.withColumn("g", F.col("l"))
-    group = stored(group.select("c", "g"))
+    # The pivot of a group: the member that meets most others under its keys.
+    known = crowd.groupBy("c").agg(F.sum("n").alias("meets"))
+    group = stored(group.select("c", "g").join(known, "c"))
+    pivots = stored(group.groupBy("g").agg(F.max(F.struct("meets", "c")).alias("m")).select("g", F.col("m.c").alias("p")))
+    discard(crowd)
+
+    # Whole sets of the classes in groups, from one of their texts. Repeated rows are one before they are shuffled.
+    chosen = group.select("c").join(classes.select("c", "k1", "k2"), "c")
+    owners = texts.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(chosen, ["k1", "k2"]).select("c", "text")
+    sets = stored(map_batches(owners, _sets(words), "c long, own binary"))
 
-    # Links to the pivot of each group, the member nearest to the consensus of some.
-    own = stored(group.join(sig.hint("merge"), "c"))
-    some_of = own.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("c"), "c"))).where(F.col("r") <= SAMPLE)
-    common = map_batches(some_of.groupBy("g").agg(F.collect_list("sig").alias("sigs")), _consensus, "g long, common binary")
-    pivots = own.join(common.hint("merge"), "g").groupBy("g").agg(F.min(F.struct(apart("sig", "common").alias("d"), "c")).alias("m")).select("g", F.col("m.c").alias("p"))
-    pivots = stored(pivots)
-    links = confirmed(own.select("c", "g").join(pivots.hint("merge"), "g").where("c <> p").select(F.col("p").alias("x"), F.col("c").alias("y")))
-    label = links.select(F.col("y").alias("c"), F.col("x").alias("l"))  # stars: a pivot is its component's name
+    # Links to the pivot: they are stars, so a pivot is its component's name.
+    spokes = group.join(pivots, "g").where("c <> p").select(F.col("p").alias("x"), F.col("c").alias("y"))
+    a, b = sets.select(F.col("c").alias("x"), F.col("own").alias("a")), sets.select(F.col("c").alias("y"), F.col("own").alias("b"))
+    links = stored(map_batches(spokes.join(a, "x").join(b, "y").select("x", "y", "a", "b"), _confirm(percent), "x long, y long"))
+    label = links.select(F.col("y").alias("c"), F.col("x").alias("l"))
 
     # Members outside their pivot's component against the whole group.
-    placed = labelled(labelled(own.select("c", "g").join(pivots.hint("merge"), "g"), label), label, "p", "lp").withColumn("stray", F.col("l") != F.col("lp")).select("c", "g", "l", "stray")
+    placed = labelled(group.select("c", "g").join(pivots, "g"), label).select("c", "g", "l", (F.col("l") != F.col("p")).alias("stray"))
     open_ = stored(placed.groupBy("g").agg(F.sum(F.col("stray").cast("long")).alias("strays"), F.count("*").alias("n")).where("strays > 0 and n > 2").select("g"))
-    full = stored(placed.join(open_.hint("merge"), "g").join(sets.hint("merge"), "c").withColumn("size", F.length("own")))
-    sizes = full.groupBy("g").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("salts"))
-    full = full.join(sizes.hint("merge"), "g").withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts")))
-    packed = stored(full.groupBy("g", "stray", "salt").agg(F.collect_list(F.struct("c", "l", "own")).alias("m")))
+    full = stored(placed.join(open_, "g").join(sets, "c").withColumn("size", F.length("own").cast("long")))
+    sizes = stored(full.groupBy("g").agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("salts")))
+    salted = full.join(sizes, "g").withColumn("salt", F.pmod(F.xxhash64("c"), F.col("salts"))).drop("size", "salts")
+    packed = stored(salted.repartition("g", "stray", "salt").groupBy("g", "stray", "salt").agg(F.collect_list(F.struct("c", "l", "own")).alias("m")))
+    discard(full, sets)
     left = packed.where("stray").select("g", F.col("salt").alias("sa"), F.col("m").alias("a"))
     pairs = left.join(packed.select("g", "stray", "salt", F.col("m").alias("b")), "g").where("not stray or sa <= salt").select("a", "b")
     more = stored(map_batches(pairs.repartition(max(8, spark.sparkContext.defaultParallelism)), _across(percent), "x long, y long"))
+    discard(packed)
     named = labelled(classes.select("c", "s1", "s2", "least"), label)
     if not more.isEmpty():
         between = labelled(labelled(more, label, "x", "lx"), label, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
         named = labelled(named.withColumnRenamed("l", "l1"), components(between), "l1", "l")
-    names = named.groupBy("l").agg(F.min("least").alias("component_id"))
-    of_class = named.join(names, "l").select("s1", "s2", "component_id")
+    named = stored(named.select("s1", "s2", "least", "l"))
+    of_class = named.join(named.groupBy("l").agg(F.min("least").alias("component_id")), "l").select("s1", "s2", "component_id")
     out = rows.select("doc_id", "n_shingles", "s1", "s2").withColumn("some", F.col("n_shingles") > 0).join(of_class.withColumn("some", F.lit(True)), ["s1", "s2", "some"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`near_duplicates` with four-word shingles over all of documents, one row a row: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4)
