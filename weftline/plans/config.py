@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from pathlib import Path
-from typing import Any
+from typing import Any, NamedTuple
 from urllib.parse import urlsplit
 from zoneinfo import ZoneInfo
 
@@ -19,7 +20,6 @@ from ..html.css import SelectorError, compile_selector
 LISTING_FIELDS = ("published", "updated", "title", "description", "author", "category", "lastmod")
 SUPPLIES = {"feed": ("published", "updated", "title", "description", "author", "category"), "sitemap": ("lastmod",), "index": ("title",), "links": ()}
 CANONICAL = ("meta:og:url", "css:link[rel=canonical]@href", "request")
-KINDS = ("jsonld", "meta", "css", "time", "url", "listing", "request")
 OWN_HEADERS = frozenset("host user-agent accept-encoding if-none-match if-modified-since connection content-length transfer-encoding".split())
 _ATTR = re.compile(r"@([A-Za-z_:][-A-Za-z0-9_:.]*)$")
 
@@ -39,47 +39,109 @@ class Source:
     path: tuple[str, ...] = ()
 
 
+# Readers turn a raw value into its compiled form, or raise ValueError with what is amiss.
+
+
+def _regex(raw: str) -> str:
+    try:
+        re.compile(raw)
+    except re.error as e:
+        raise ValueError(f"the pattern doesn't compile: {e}") from e
+    return raw
+
+
+def _selector(raw: str) -> str:
+    try:
+        compile_selector(raw)
+    except SelectorError as e:
+        raise ValueError(f"the selector doesn't parse: {e}") from e
+    return raw
+
+
+def _layout(raw: str) -> str:
+    try:
+        compile_layout(raw)
+    except LayoutError as e:
+        raise ValueError(str(e)) from e
+    return raw
+
+
+def _url(raw: str) -> str:
+    parts = urlsplit(raw)
+    if parts.scheme not in ("http", "https") or not parts.netloc:
+        raise ValueError(f"{raw!r} has no http(s) scheme and host")
+    return raw
+
+
+def _matching(pattern: str, what: str) -> Callable[[str], str]:
+    def read(raw: str) -> str:
+        if not re.fullmatch(pattern, raw):
+            raise ValueError(f"{raw!r} is not {what}")
+        return raw
+
+    return read
+
+
+def _any_of(*names: str) -> Callable[[str], str]:
+    return _matching("|".join(map(re.escape, names)), f"one of {', '.join(names)}")
+
+
+def _from(least: int) -> Callable[[int], int]:
+    def read(n: int) -> int:
+        if n < least:
+            raise ValueError(f"{n} is below {least}")
+        return n
+
+    return read
+
+
+def _zone(raw: str) -> str:
+    try:
+        ZoneInfo(raw)
+    except (KeyError, ValueError, OSError) as e:
+        raise ValueError(f"no time zone goes by {raw!r}") from e
+    return raw
+
+
+def _steps(expr: str) -> Source:
+    path = tuple(expr.split("."))
+    if len(path) < 2 or not all(path):
+        raise ValueError("a type and its properties are needed, parted by single dots")
+    return Source("", "jsonld", expr, path=path)
+
+
+def _element(kind: str, attr: str) -> Callable[[str], Source]:
+    def read(expr: str) -> Source:
+        at = _ATTR.search(expr)
+        return Source("", kind, _selector(expr[: at.start()].strip() if at else expr), at[1] if at else attr)
+
+    return read
+
+
+#: How each kind of source reads what follows its colon.
+READERS: dict[str, Callable[[str], Source]] = {
+    "jsonld": _steps,
+    "meta": lambda expr: Source("", "meta", expr),
+    "css": _element("css", ""),
+    "time": _element("time", "datetime"),
+    "url": lambda expr: Source("", "url", _regex(expr)),
+    "listing": lambda expr: Source("", "listing", _any_of(*LISTING_FIELDS)(expr)),
+}
+
+
 def compile_source(raw: str) -> Source:
-    text = raw.strip()
-    if text == "request":
+    """The source that a text names; SourceError says why it names none."""
+    kind, _, expr = (part.strip() for part in raw.strip().partition(":"))
+    if raw.strip() == "request":
         return Source(raw, "request")
-    kind, colon, expr = text.partition(":")
-    expr = expr.strip()
-    if not colon:
-        raise SourceError(f"source {raw!r}: want kind:expr (kinds: {', '.join(KINDS)})")
-    if not expr:
-        raise SourceError(f"source {raw!r}: empty expression")
-    if kind == "jsonld":
-        steps = expr.split(".")
-        if "" in steps:
-            raise SourceError(f"source {raw!r}: empty path segment")
-        if len(steps) < 2:
-            raise SourceError(f"source {raw!r}: want jsonld:Type.property")
-        return Source(raw, kind, expr, path=tuple(steps))
-    if kind == "meta":
-        return Source(raw, kind, expr)
-    if kind in ("css", "time"):
-        m = _ATTR.search(expr)
-        attr = m[1] if m else "datetime" if kind == "time" else ""
-        selector = expr[: m.start()].strip() if m else expr
-        try:
-            compile_selector(selector)
-        except SelectorError as e:
-            raise SourceError(f"source {raw!r}: invalid CSS selector: {e}") from e
-        return Source(raw, kind, selector, attr)
-    if kind == "url":
-        try:
-            re.compile(expr)
-        except re.error as e:
-            raise SourceError(f"source {raw!r}: invalid regex: {e}") from e
-        return Source(raw, kind, expr)
-    if kind == "listing":
-        if expr not in LISTING_FIELDS:
-            raise SourceError(f"source {raw!r}: unknown listing field {expr!r} (have: {', '.join(LISTING_FIELDS)})")
-        return Source(raw, kind, expr)
-    if kind == "request":
-        raise SourceError(f"source {raw!r}: request takes no expression")
-    raise SourceError(f"source {raw!r}: unknown kind {kind!r} (kinds: {', '.join(KINDS)})")
+    try:
+        if kind not in READERS:
+            raise ValueError(f"{kind!r} is no kind of source with an expression ({', '.join(READERS)})")
+        if not expr:
+            raise ValueError(f"{kind} needs an expression")
+        return replace(READERS[kind](expr), raw=raw)
+    except ValueError as e:
+        raise SourceError(f"{raw!r}: {e}") from e
 
 
 @dataclass(frozen=True)
@@ -213,13 +275,13 @@ class Document:
             documents = list(yaml.compose_all(text, yaml.SafeLoader))
         except yaml.YAMLError as e:
             mark = getattr(e, "problem_mark", None)
-            self.error_at(mark.line + 1 if mark else 1, "", f"invalid YAML: {getattr(e, 'problem', e)}")
+            self.error_at(mark.line + 1 if mark else 1, "", f"is no YAML: {getattr(e, 'problem', e)}")
             return
         if not documents or documents[0] is None:
-            self.error_at(1, "", "the file is empty")
+            self.error_at(1, "", "holds no document")
             return
         if len(documents) > 1:
-            self.error_at(documents[1].start_mark.line + 1 if documents[1] is not None else 1, "", "more than one document")
+            self.error_at(documents[1].start_mark.line + 1 if documents[1] is not None else 1, "", "holds a second document")
         got = self._read(documents[0], keys, "")
         self.data = got if isinstance(got, dict) else {}
 
@@ -238,7 +300,7 @@ class Document:
         self.lines.setdefault(path, line)
         if isinstance(want, dict) or want == "map":
             if not isinstance(node, yaml.MappingNode):
-                self.error_at(line, path, "want a mapping")
+                self.error_at(line, path, "should be a mapping")
                 return None
             out = {}
             for k, v in node.value:
@@ -247,19 +309,19 @@ class Document:
                 if want == "map":
                     out[k.value] = v.value
                 elif k.value not in want:
-                    self.error_at(k.start_mark.line + 1, path, f"unknown key {k.value!r}".replace("'", '"'))
+                    self.error_at(k.start_mark.line + 1, path, f"{k.value!r} is not a key here")
                 elif k.value in out:
-                    self.error_at(k.start_mark.line + 1, own, "key is set twice")
+                    self.error_at(k.start_mark.line + 1, own, "stands twice")
                 else:
                     out[k.value] = self._read(v, want[k.value], own)
             return out
         if isinstance(want, list):
             if not isinstance(node, yaml.SequenceNode):
-                self.error_at(line, path, "want a list")
+                self.error_at(line, path, "should be a list")
                 return None
             return [self._read(v, want[0], f"{path}[{i}]") for i, v in enumerate(node.value)]
         if not isinstance(node, yaml.ScalarNode):
-            self.error_at(line, path, "want a single value")
+            self.error_at(line, path, "should be a single value")
             return None
         if node.tag == "tag:yaml.org,2002:null":
             return None
@@ -267,216 +329,162 @@ class Document:
             return node.value
         value = yaml.SafeLoader("").construct_object(yaml.ScalarNode(node.tag, node.value)) if want in (int, bool) else node.value
         if type(value) is not want:
-            self.error_at(line, path, f"want {'a number' if want is int else 'true or false'}, got {node.value!r}")
+            self.error_at(line, path, f"{node.value!r} is neither true nor false" if want is bool else f"{node.value!r} is not a whole number")
             return None
         return value
 
     def get(self, path: str, default: Any = None) -> Any:
         v: Any = self.data
-        for key in path.split("."):
-            v = v.get(key) if isinstance(v, dict) else None
+        for key in re.findall(r"[^.\[\]]+", path):
+            v = v.get(key) if isinstance(v, dict) else v[int(key)] if isinstance(v, list) else None
         return default if v is None or v == "" else v
 
-    def compiled(self, path: str, default: Any, fn) -> Any:
-        raw = self.get(path)
-        if raw is None:
-            return default
+    def attempt(self, path: str, read: Callable[[Any], Any], raw: Any, default: Any = None) -> Any:
         try:
-            return fn(raw)
-        except (ValueError, re.error) as e:
+            return read(raw)
+        except ValueError as e:
             self.error(path, str(e))
             return default
 
-    def url(self, path: str, value: str | None, required: bool) -> str:
-        parts = urlsplit(value or "")
-        if not value:
-            if required:
-                self.error(path, "is required")
-        elif parts.scheme not in ("http", "https") or not parts.netloc:
-            self.error(path, f"must be an absolute http(s) URL, got {value!r}")
-        return value or ""
+    def value_of(self, f: Field, at: str = "") -> Any:
+        """The value that a field has below ``at``: read, or its default."""
+        path = f"{at}.{f.path}" if at else f.path
+        raw = self.get(path)
+        if raw in (None, [], {}):
+            if f.needed:
+                self.error(path, "is missing")
+            return f.default
+        if not f.each:
+            return self.attempt(path, f.read, raw, f.default)
+        read = [self.attempt(f"{path}[{i}]", f.read, v or "") for i, v in enumerate(raw)]
+        return tuple(v for v in read if v is not None) or f.default
 
 
-def _regex(raw: str) -> str:
-    try:
-        re.compile(raw)
-    except re.error as e:
-        raise ValueError(f"invalid regex: {e}") from e
-    return raw
+class Field(NamedTuple):
+    """One key: how it is read (each value of it, if it is a list), what stands for it if it is absent, and whether it may be."""
 
+    path: str
+    read: Callable[[Any], Any] = lambda v: v
+    default: Any = ""
+    needed: bool = False
+    each: bool = False
 
-def _selector(raw: str) -> str:
-    try:
-        compile_selector(raw)
-    except SelectorError as e:
-        raise ValueError(f"invalid CSS selector: {e}") from e
-    return raw
 
+def _list(path: str, read: Callable[[str], Any] = lambda v: v, needed: bool = False, default: Any = ()) -> Field:
+    return Field(path, read, default, needed, True)
 
-def _layout(raw: str) -> str:
-    try:
-        compile_layout(raw)
-    except LayoutError as e:
-        raise ValueError(str(e)) from e
-    return raw
+
+#: Fields of Site by attribute.
+SITE_FIELDS = {
+    "id": Field("id", _matching("[a-z0-9-]+", "made of lower-case letters, digits and hyphens"), needed=True),
+    "title": Field("channel.title", needed=True), "link": Field("channel.link", _url, needed=True), "description": Field("channel.description", needed=True),
+    "language": Field("channel.language"), "image": Field("channel.image", _url), "author": Field("channel.author"), "ttl": Field("channel.ttl", _from(0), 0),
+    "interval": Field("schedule.interval", parse_duration, 3600.0), "refresh_window": Field("schedule.refresh_window", parse_duration, 14 * 86400.0),
+    "max_items": Field("schedule.max_items", lambda n: _from(0)(n) or 50, 50), "timezone": Field("schedule.timezone", _zone, "UTC"),
+    "rate": Field("fetch.rate", parse_rate, None), "timeout": Field("fetch.timeout", parse_duration, None), "respect_robots": Field("fetch.respect_robots", default=True),
+    "header_hosts": _list("fetch.header_hosts", _matching(r"(?:[A-Za-z0-9_.-]+|\[[0-9a-fA-F:]+\])(?::\d+)?", "a host with or without a port")),
+}
+ITEM_FIELDS = {
+    "canonical": _list("item.canonical", compile_source, default=ItemConfig.canonical), "title": _list("item.title", compile_source, needed=True),
+    **{k: _list(f"item.{k}", compile_source) for k in ("summary", "author", "image", "categories")},
+    "selector": Field("item.content.selector", _selector, "article", True), "exclude": _list("item.content.exclude", _selector),
+    "keep_first_image": Field("item.content.keep_first_image", default=True), "keep_video": Field("item.content.keep_video", default=False),
+    "guid": Field("item.guid", _any_of("permalink", "stable-hash"), "permalink"), "enclosure": Field("item.enclosure", default=False),
+}
+DATE_FIELDS = {"sources": _list("sources", compile_source), "layouts": _list("layouts", _layout)}
+_FILTERS = {"include": _list("include", _regex), "exclude": _list("exclude", _regex)}
+_ADDRESS = {"url": Field("url", _url, needed=True)}
+#: The keys that each way of discovery knows.
+DISCOVERY_FIELDS = {
+    "feed": _ADDRESS | _FILTERS,
+    "sitemap": _ADDRESS | _FILTERS | {"trust_lastmod": Field("trust_lastmod", default=False)},
+    "index": _ADDRESS | _FILTERS | {"link_selector": Field("link_selector", _selector, needed=True), "next_selector": Field("next_selector", _selector), "max_pages": Field("max_pages", lambda n: _from(0)(n) or 5, 5)},
+    "links": _FILTERS | {"urls": _list("urls", _url, needed=True)},
+}
+GLOBAL_FIELDS = {
+    "sites_dir": Field("sites_dir", default="sites"), "store_path": Field("store_path", default="state"), "out_dir": Field("out_dir", default="public"),
+    "listen": Field("listen", _matching(r"[^:]*:\d+|\[[^\]]*\]:\d+", "a port with or without a host, parted by a colon"), ":8080"),
+    "contact_url": Field("contact_url", _url), "user_agent": Field("user_agent"), "log_format": Field("log.format", _any_of("json", "text"), "json"),
+    "log_level": Field("log.level", _any_of("debug", "info", "warn", "error"), "info"), "rate": Field("fetch.rate", parse_rate, 1.0), "timeout": Field("fetch.timeout", parse_duration, 20.0),
+    "max_body_bytes": Field("fetch.max_body_bytes", lambda n: _from(0)(n) or 10 << 20, 10 << 20), "allow_private": Field("fetch.allow_private", default=False),
+}
 
 
-def _each(doc: Document, path: str, values: list | None, fn) -> tuple:
-    out = []
-    for i, v in enumerate(values or []):
-        try:
-            out.append(fn(v or ""))
-        except (ValueError, re.error) as e:
-            doc.error(f"{path}[{i}]", str(e))
-    return tuple(out)
-
-
-def _discovery(doc: Document, d: dict, i: int, hints: set[str]) -> Discovery | None:
-    at = f"discovery[{i}]"
-    kind = d.get("type") or ""
-    if kind not in SUPPLIES:
-        doc.error(f"{at}.type", f"must be one of {', '.join(SUPPLIES)}, got {kind!r}")
-        return None
-    hints.update(SUPPLIES[kind])
-    for key, only in (("trust_lastmod", "sitemap"), ("link_selector", "index"), ("next_selector", "index"), ("max_pages", "index"), ("urls", "links")):
-        if d.get(key) and kind != only:
-            doc.error(f"{at}.{key}", f"only applies to {only} discovery")
-    urls = tuple(d.get("urls") or ()) if kind == "links" else ()
-    if kind == "links":
-        if d.get("url"):
-            doc.error(f"{at}.url", "links discovery takes urls, not url")
-        if not urls:
-            doc.error(f"{at}.urls", "at least one URL is required")
-        for j, u in enumerate(urls):
-            doc.url(f"{at}.urls[{j}]", u, True)
-    else:
-        doc.url(f"{at}.url", d.get("url"), True)
-    selectors = {}
-    if kind == "index":
-        if not d.get("link_selector"):
-            doc.error(f"{at}.link_selector", "is required for index discovery")
-        for key in ("link_selector", "next_selector"):
-            if d.get(key):
-                selectors[key] = d[key]
-                try:
-                    _selector(d[key])
-                except ValueError as e:
-                    doc.error(f"{at}.{key}", str(e))
-        if (d.get("max_pages") or 0) < 0:
-            doc.error(f"{at}.max_pages", "must be positive")
-    return Discovery(kind, d.get("url") or "", _each(doc, f"{at}.include", d.get("include"), _regex), _each(doc, f"{at}.exclude", d.get("exclude"), _regex), bool(d.get("trust_lastmod")), selectors.get("link_selector", ""), selectors.get("next_selector", ""), d.get("max_pages") or 5, urls)
+def _discoveries(doc: Document) -> Iterator[Discovery]:
+    entries = doc.get("discovery", [])
+    if not entries:
+        doc.error("discovery", "names no way to find pages")
+    for i, entry in enumerate(entries):
+        at, kind = f"discovery[{i}]", (entry or {}).get("type") or ""
+        if kind not in DISCOVERY_FIELDS:
+            doc.error(f"{at}.type", f"{kind!r} is not one of {', '.join(DISCOVERY_FIELDS)}")
+            continue
+        known = DISCOVERY_FIELDS[kind]
+        for key in entry.keys() - known.keys() - {"type"}:
+            if entry[key]:
+                doc.error(f"{at}.{key}", f"has no meaning for {kind} discovery")
+        yield Discovery(kind, **{name: doc.value_of(f, at) for name, f in known.items()})
+
+
+def _headers(doc: Document) -> Iterator[tuple[str, str]]:
+    for name, value in sorted(doc.get("fetch.headers", {}).items()):
+        why = (
+            "is no header name" if not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", name)
+            else "is left to the fetcher" if name.lower() in OWN_HEADERS
+            else "has control characters in its value" if re.search(r"[\x00-\x08\x0a-\x1f\x7f]", value)
+            else ""
+        )
+        if why:
+            doc.error(f"fetch.headers.{name}", why)
+        yield name, value
+
+
+def _across(doc: Document, site: Site, file: str) -> None:
+    """What can only be told from several keys."""
+    if re.fullmatch("[a-z0-9-]+", site.id) and re.sub(r"\.ya?ml$", "", Path(file).name) != site.id:
+        doc.error("id", f"{site.id!r} differs from the file's name, {Path(file).name}")
+    if doc.get("version") != 1:
+        doc.error("version", "must be 1, the schema that this engine reads")
+    supplied = {hint for d in site.discovery for hint in SUPPLIES[d.type]}
+    used = [(f"item.{k}", v) for k, v in vars(site.item).items() if isinstance(v, tuple)] + [(f"item.{k}.sources", getattr(site.item, k).sources) for k in ("published", "updated")]
+    for path, found in used:
+        for s in found:
+            if isinstance(s, Source) and s.kind == "listing" and s.expr not in supplied:
+                doc.error(f"{path}[{doc.get(path).index(s.raw)}]", f"no way of discovery gives {s.raw}")
+    for name in ("published", "updated"):
+        if doc.get(f"item.{name}.layouts") and not doc.get(f"item.{name}.sources"):
+            doc.error(f"item.{name}.layouts", "are of no use without sources")
 
 
 def load_site(text: str, file: str = "site.yaml", defaults: Global | None = None) -> tuple[Site | None, list[ConfigError]]:
     """A site and its errors by line; the site is None if there are any."""
-    g = defaults or Global()
     doc = Document(file, text, SITE_KEYS)
     if not doc.data:
         return None, doc.errors
-    site_id = doc.get("id", "")
-    if not site_id:
-        doc.error("id", "is required")
-    elif not re.fullmatch("[a-z0-9-]+", site_id):
-        doc.error("id", f"must match [a-z0-9-]+, got {site_id!r}")
-    elif re.sub(r"\.ya?ml$", "", Path(file).name) != site_id:
-        doc.error("id", f"is {site_id!r} but the file is named {Path(file).name}")
-    version = doc.get("version")
-    if version is None:
-        doc.error("version", "is required (the schema version is 1)")
-    elif version != 1:
-        doc.error("version", f"unsupported schema version {version}")
-    for key in ("title", "description"):
-        if not doc.get(f"channel.{key}"):
-            doc.error(f"channel.{key}", "is required")
-    link, image = doc.url("channel.link", doc.get("channel.link"), True), doc.url("channel.image", doc.get("channel.image"), False)
-    for key in ("channel.ttl", "schedule.max_items"):
-        if (doc.get(key) or 0) < 0:
-            doc.error(key, "must not be negative" if key.endswith("ttl") else "must be positive")
-    zone = doc.get("schedule.timezone", "UTC")
-    try:
-        ZoneInfo(zone)
-    except (KeyError, ValueError, OSError):
-        doc.error("schedule.timezone", f"unknown timezone {zone!r}")
-    headers = doc.get("fetch.headers", {})
-    for k, v in headers.items():
-        if not re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+", k):
-            doc.error("fetch.headers", f"invalid header name {k!r}")
-        elif k.lower() in OWN_HEADERS:
-            doc.error(f"fetch.headers.{k}", "is set by the fetcher itself")
-        elif re.search(r"[\x00-\x08\x0a-\x1f\x7f]", v):
-            doc.error(f"fetch.headers.{k}", "invalid header value")
-    for i, h in enumerate(doc.get("fetch.header_hosts", [])):
-        if not re.fullmatch(r"(?:[A-Za-z0-9_.-]+|\[[0-9a-fA-F:]+\])(?::\d+)?", h or ""):
-            doc.error(f"fetch.header_hosts[{i}]", f"must be a host or host:port, got {h!r}")
-    hints: set[str] = set()
-    found = [x for i, d in enumerate(doc.get("discovery", [])) if d and (x := _discovery(doc, d, i, hints))]
-    if not doc.get("discovery"):
-        doc.error("discovery", "at least one discovery strategy is required")
-
-    def sources(path: str, default: tuple = ()) -> tuple[Source, ...]:
-        out = _each(doc, path, doc.get(path), compile_source)
-        for i, raw in enumerate(doc.get(path, [])):
-            field_ = (raw or "").strip().removeprefix("listing:")
-            if (raw or "").strip().startswith("listing:") and field_ in LISTING_FIELDS and field_ not in hints:
-                doc.error(f"{path}[{i}]", f"no discovery strategy supplies listing:{field_}")
-        return out or default
-
-    if not doc.get("item.title"):
-        doc.error("item.title", "at least one source is required")
-    dates = {}
-    for name in ("published", "updated"):
-        dates[name] = DateField(sources(f"item.{name}.sources"), _each(doc, f"item.{name}.layouts", doc.get(f"item.{name}.layouts"), _layout))
-        if doc.get(f"item.{name}.layouts") and not doc.get(f"item.{name}.sources"):
-            doc.error(f"item.{name}.layouts", "layouts are set but there are no sources to parse")
-    if not doc.get("item.content.selector"):
-        doc.error("item.content.selector", "is required")
-    guid = doc.get("item.guid", "permalink")
-    if guid not in ("permalink", "stable-hash"):
-        doc.error("item.guid", f"must be permalink or stable-hash, got {guid!r}")
-    fields = {k: sources(f"item.{k}") for k in ("title", "summary", "author", "image", "categories")}
-    keep = doc.get("item.content.keep_first_image")
-    item = ItemConfig(
-        canonical=sources("item.canonical", ItemConfig().canonical), **fields, published=dates["published"], updated=dates["updated"],
-        selector=doc.compiled("item.content.selector", "article", _selector), exclude=_each(doc, "item.content.exclude", doc.get("item.content.exclude"), _selector),
-        keep_first_image=True if keep is None else keep, keep_video=bool(doc.get("item.content.keep_video")), guid=guid, enclosure=bool(doc.get("item.enclosure")),
-    )
-    respect = doc.get("fetch.respect_robots")
-    site = Site(
-        site_id, doc.get("channel.title", ""), link, doc.get("channel.description", ""), doc.get("channel.language", ""), image, doc.get("channel.author", ""), doc.get("channel.ttl", 0),
-        doc.compiled("schedule.interval", 3600.0, parse_duration), doc.compiled("schedule.refresh_window", 14 * 86400.0, parse_duration), doc.get("schedule.max_items", 50) or 50, zone,
-        doc.compiled("fetch.rate", g.rate, parse_rate), doc.compiled("fetch.timeout", g.timeout, parse_duration), tuple(sorted(headers.items())), tuple(doc.get("fetch.header_hosts", [])), True if respect is None else respect, tuple(found), item,
-    )
+    g = defaults or Global()
+    own = {name: doc.value_of(f) for name, f in SITE_FIELDS.items()}
+    own |= {name: getattr(g, name) for name in ("rate", "timeout") if own[name] is None}
+    dated = {k: DateField(**{name: doc.value_of(f, f"item.{k}") for name, f in DATE_FIELDS.items()}) for k in ("published", "updated")}
+    item = ItemConfig(**{name: doc.value_of(f) for name, f in ITEM_FIELDS.items()}, **dated)
+    site = Site(**own, headers=tuple(_headers(doc)), discovery=tuple(_discoveries(doc)), item=item)
+    _across(doc, site, file)
     errors = sorted(doc.errors, key=lambda e: e.line)
     return (None if errors else site), errors
 
 
 def load_global(text: str, file: str = "global.yaml", environment: dict[str, str] | None = None) -> tuple[Global | None, list[ConfigError]]:
+    """The engine's own file; folders are relative to it, and the environment may name the public address."""
     doc = Document(file, text, GLOBAL_KEYS)
     if not doc.data and doc.errors:
         return None, doc.errors
-    here = Path(file).parent
     env = os.environ if environment is None else environment
-    base = (env.get("WEFTLINE_PUBLIC_BASE_URL") or doc.get("public_base_url", "")).rstrip("/")
-    doc.url("public_base_url", base, True)
-    path = doc.get("base_path", "/")
-    if not path.startswith("/"):
-        doc.error("base_path", f"must start with /, got {path!r}")
-    path = path if path.endswith("/") else path + "/"
-    if path.startswith("/") and (not re.fullmatch("/(?:[A-Za-z0-9._~-]+/)*", path) or "/./" in path or "/../" in path):
-        doc.error("base_path", f"must be / or plain path segments, got {path!r}")
-    if not re.fullmatch(r"[^:]*:\d+|\[[^\]]*\]:\d+", doc.get("listen", ":8080")):
-        doc.error("listen", "must be host:port or :port")
-    doc.url("contact_url", doc.get("contact_url"), False)
-    for key, allowed in (("log.format", ("json", "text")), ("log.level", ("debug", "info", "warn", "error"))):
-        if doc.get(key) and doc.get(key) not in allowed:
-            doc.error(key, f"must be one of {', '.join(allowed)}, got {doc.get(key)!r}")
-    size = doc.get("fetch.max_body_bytes", 10 << 20)
-    if size < 0:
-        doc.error("fetch.max_body_bytes", "must be positive")
-    under = lambda key, default: str(here / doc.get(key, default))
-    g = Global(under("sites_dir", "sites"), under("store_path", "state"), under("out_dir", "public"), doc.get("listen", ":8080"), base, path, doc.get("contact_url", ""), doc.get("user_agent", ""), doc.get("log.format", "json"), doc.get("log.level", "info"), doc.compiled("fetch.rate", 1.0, parse_rate), doc.compiled("fetch.timeout", 20.0, parse_duration), size or 10 << 20, bool(doc.get("fetch.allow_private")))
+    public = env.get("WEFTLINE_PUBLIC_BASE_URL") or doc.get("public_base_url", "")
+    own = {name: doc.value_of(f) for name, f in GLOBAL_FIELDS.items()}
+    own |= {name: str(Path(file).parent / own[name]) for name in ("sites_dir", "store_path", "out_dir")}
+    own["public_base_url"] = doc.attempt("public_base_url", lambda v: _url(v.rstrip("/")), public, "")
+    own["base_path"] = doc.attempt("base_path", _matching(r"/(?:(?!\.{1,2}/)[A-Za-z0-9._~-]+/)*", "a path of plain segments from /"), doc.get("base_path", "/").rstrip("/") + "/", "/")
     errors = sorted(doc.errors, key=lambda e: e.line)
-    return (None if errors else g), errors
+    return (None if errors else Global(**own)), errors
 
 
 def load(path: str) -> tuple[Global | None, list[Site], list[ConfigError]]:
