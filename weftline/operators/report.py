@@ -10,11 +10,14 @@ from ..functions.url import is_absolute
 OUTCOMES = ("new", "updated", "unchanged", "not_modified", "no_content")
 
 
-def run_stats(outcomes: DataFrame, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
-    """Counters of a run by site; ``no_date`` counts pages whose column of that name is true, if there is one."""
-    aggs = [F.count("*").alias("fetched"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES]]
-    aggs.append((F.count_if(F.col("no_date")) if "no_date" in outcomes.columns else F.lit(0).cast("long")).alias("no_date"))
-    return outcomes.groupBy(*keys).agg(*aggs).withColumn("errors", F.col("no_content"))
+def run_stats(outcomes: DataFrame, keys: tuple[str, ...] = ("site_id",), discovered: DataFrame | None = None) -> DataFrame:
+    """Counters of a run by site; ``no_date`` counts responses without a date, ``discovered`` the rows of that table, if it is given."""
+    aggs = [F.count("*").alias("fetched"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES], F.count_if(F.col("no_date")).alias("no_date")]
+    out = outcomes.groupBy(*keys).agg(*aggs).withColumn("errors", F.col("no_content"))
+    if discovered is None:
+        return out
+    found = discovered.groupBy(*keys).agg(F.count("*").alias("discovered"))
+    return found.join(out, list(keys), "left").na.fill(0, [c for c in out.columns if c not in keys])
 
 
 def unhealthy(stats: DataFrame) -> Column:
@@ -66,13 +69,13 @@ def duplicate_problems(items: DataFrame, key: str, pos: str, guid: str = "guid")
 def item_problems(items: DataFrame, key: str = "site_id", pos: str = "rank") -> DataFrame:
     """(key, pos, problem) of feed items before they are written: what a feed checker would say of them."""
     say = F.array_compact(F.array(
-        F.when((F.coalesce("title", F.lit("")) == "") & (F.coalesce("summary", F.lit("")) == ""), F.lit("needs a title or description")),
-        F.when(~is_absolute(F.col("url")), F.lit("link is not an absolute http(s) URL")),
-        F.when(F.coalesce("content_html", F.lit("")) == "", F.lit("empty content")),
-        F.when(F.coalesce("guid", F.lit("")) == "", F.lit("missing guid")),
-        F.when(F.col("published_at").isNull(), F.lit("missing date")),
+        F.when((F.coalesce("title", F.lit("")) == "") & (F.coalesce("summary", F.lit("")) == ""), F.lit("has neither title nor description")),
+        F.when(~is_absolute(F.col("url")), F.lit("link is no http(s) address")),
+        F.when(F.coalesce("content_html", F.lit("")) == "", F.lit("content is empty")),
+        F.when(F.coalesce("guid", F.lit("")) == "", F.lit("has no guid")),
+        F.when(F.col("published_at").isNull(), F.lit("has no date")),
     ))
     own = items.select(key, pos, F.explode(say).alias("problem"))
-    order = sort_problems(items, key, pos, "published_at").select(key, pos, F.lit("not sorted newest first").alias("problem"))
-    twice = duplicate_problems(items, key, pos).select(key, pos, F.concat(F.lit("duplicate guid (also item "), F.col("first_pos"), F.lit(")")).alias("problem"))
+    order = sort_problems(items, key, pos, "published_at").select(key, pos, F.lit("is newer than the item before it").alias("problem"))
+    twice = duplicate_problems(items, key, pos).select(key, pos, F.concat(F.lit("guid stands at item "), F.col("first_pos"), F.lit(" too")).alias("problem"))
     return own.unionByName(order).unionByName(twice)

@@ -6,10 +6,11 @@ import hashlib
 import os
 import re
 import tempfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
+from typing import NamedTuple
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -143,7 +144,7 @@ def well_formed(data: bytes) -> list[str]:
     try:
         ElementTree.fromstring(data)
     except ElementTree.ParseError as e:
-        return [f"not well-formed XML: {e}"]
+        return [f"is no well-formed XML: {e}"]
     return []
 
 
@@ -151,126 +152,132 @@ def _absolute(u: str) -> bool:
     return bool(re.match(r"https?://[^/?#\s]+", u))
 
 
-class _Order:
-    """Ids and dates met so far."""
-
-    def __init__(self, say: Callable[[str], None]):
-        self.say, self.ids, self.last = say, {}, None
-
-    def item(self, where: str, n: int, value: str, name: str, kind: str) -> None:
-        if not value:
-            self.say(f"{where}: missing <{name}>")
-        elif value in self.ids:
-            self.say(f"{where}: duplicate {name} {value!r} (also {kind} {self.ids[value]})")
-        else:
-            self.ids[value] = n
-
-    def date(self, where: str, t: datetime | None) -> None:
-        if t is not None:
-            if self.last is not None and t > self.last:
-                self.say(f"{where}: not sorted newest first")
-            self.last = t
-
-
-def check_rss(data: bytes | str) -> list[str]:
-    """Problems of an RSS document; none means it may be served."""
-    raw = data.encode() if isinstance(data, str) else data
-    if bad := well_formed(raw):
-        return bad
-    root, out = ElementTree.fromstring(raw), []
-    if root.tag != "rss":
-        return [f"not an RSS document: <{root.tag}>"]
-    if root.get("version") != "2.0":
-        out.append(f"rss version is {root.get('version')!r}, want 2.0")
-    ch = root.find("channel")
-    text = lambda n, name: (n.findtext(name) or "") if n is not None else ""
-    for name in ("title", "link", "description"):
-        if not text(ch, name):
-            out.append(f"channel: missing <{name}>")
-    if not _absolute(text(ch, "link")):
-        out.append(f"channel link: {text(ch, 'link')!r} is not an absolute http(s) URL")
-    own = [x.get("href", "") for x in (ch.findall(f"{{{ATOM_NS}}}link") if ch is not None else []) if x.get("rel") == "self"]
-    out += [f"atom:link rel=self: {u!r} is not an absolute http(s) URL" for u in own if not _absolute(u)]
-    if not own:
-        out.append('channel: missing <atom:link rel="self">')
-
-    def date(where: str, v: str, required: bool) -> datetime | None:
-        if not v:
-            if required:
-                out.append(f"{where}: missing <pubDate>")
-            return None
-        if not re.fullmatch(r"[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}", v):
-            out.append(f"{where}: date {v!r} is not RFC 822 with a 4-digit year and numeric zone")
-            return None
-        return parsedate_to_datetime(v)
-
-    date("channel pubDate", text(ch, "pubDate"), False)
-    date("channel lastBuildDate", text(ch, "lastBuildDate"), False)
-    order = _Order(out.append)
-    for n, it in enumerate(ch.findall("item") if ch is not None else [], 1):
-        where = f"item {n} ({text(it, 'link')})"
-        if not text(it, "title") and not text(it, "description"):
-            out.append(f"{where}: needs a <title> or <description>")
-        if not _absolute(text(it, "link")):
-            out.append(f"{where} link: {text(it, 'link')!r} is not an absolute http(s) URL")
-        if not text(it, f"{{{CONTENT_NS}}}encoded"):
-            out.append(f"{where}: empty <content:encoded>")
-        guid = it.find("guid")
-        order.item(where, n, text(it, "guid"), "guid", "item")
-        if (guid is None or guid.get("isPermaLink") != "false") and not _absolute(text(it, "guid")):
-            out.append(f"{where} guid: {text(it, 'guid')!r} is not an absolute http(s) URL")
-        order.date(where, date(where, text(it, "pubDate"), True))
-    return out
-
-
-def check_atom(data: bytes | str) -> list[str]:
-    raw = data.encode() if isinstance(data, str) else data
-    if bad := well_formed(raw):
-        return bad
-    root, out, ns = ElementTree.fromstring(raw), [], f"{{{ATOM_NS}}}"
-    if root.tag != f"{ns}feed":
-        return [f"not an Atom document: <{root.tag}>"]
-    text = lambda n, name: n.findtext(ns + name) or ""
-
-    def date(where: str, name: str, v: str) -> datetime | None:
-        if not v:
-            out.append(f"{where}: missing <{name}>")
-            return None
-        if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)", v):
-            out.append(f"{where}: <{name}> {v!r} is not RFC 3339")
+# What a document must satisfy before it is served is told by tables of rules. A rule reads a text of
+# a node and lists the tests it must pass; the first that fails says what is wrong with it.
+
+Test = Callable[[str], str]
+
+
+def _given(v: str) -> str:
+    return "" if v else "is absent or empty"
+
+
+def _address(v: str) -> str:
+    return "" if _absolute(v) else f"is no http(s) address: {v!r}"
+
+
+def _written_as(pattern: str, what: str) -> Test:
+    return lambda v: "" if re.fullmatch(pattern, v) else f"is not {what}: {v!r}"
+
+
+def _if_given(test: Test) -> Test:
+    return lambda v: test(v) if v else ""
+
+
+_RSS_DATE = _written_as(r"[A-Z][a-z]{2}, \d{2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}", "a date of RFC 822 with four digits of year and a numeric zone")
+_ATOM_DATE = _written_as(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)", "a date of RFC 3339")
+
+
+class Rule(NamedTuple):
+    """``name`` of a part of a node, how its texts are read (each is tested; none counts as one empty text), and its tests."""
+
+    name: str
+    read: Callable[[ElementTree.Element], list[str]]
+    tests: tuple[Test, ...]
+
+    def problems(self, node: ElementTree.Element) -> Iterator[str]:
+        for value in self.read(node) or [""]:
+            if why := next((w for t in self.tests if (w := t(value))), ""):
+                yield f"{self.name} {why}"
+
+
+def _child(path: str) -> Callable[[ElementTree.Element], list[str]]:
+    return lambda n: [n.findtext(path) or ""]
+
+
+def _hrefs(tag: str, *rels: str | None) -> Callable[[ElementTree.Element], list[str]]:
+    return lambda n: [x.get("href", "") for x in n.findall(tag) if x.get("rel") in rels]
+
+
+def _permalinks(n: ElementTree.Element) -> list[str]:
+    return [x.text or "" for x in n.findall("guid") if x.get("isPermaLink") != "false"]
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """The rules of a format: of its root, its head and its items, which must have ids of their own and fall in date."""
+
+    root: str
+    head: str
+    items: str
+    of_root: tuple[Rule, ...]
+    of_head: tuple[Rule, ...]
+    of_item: tuple[Rule, ...]
+    ident: Callable[[ElementTree.Element], list[str]]
+    date: Callable[[ElementTree.Element], list[str]]
+    when: Callable[[str], datetime]
+
+    def check(self, data: bytes | str) -> list[str]:
+        """Problems of a document; none means that it may be served."""
+        raw = data.encode() if isinstance(data, str) else data
+        if bad := well_formed(raw):
+            return bad
+        root = ElementTree.fromstring(raw)
+        if root.tag != self.root:
+            return [f"the root is {root.tag!r} instead of {self.root!r}"]
+        head = root if self.head == "." else root.find(self.head)
+        if head is None:
+            return [f"there is no {self.head}"]
+        said = [p for rules, node in ((self.of_root, root), (self.of_head, head)) for r in rules for p in r.problems(node)]
+        seen: dict[str, int] = {}
+        before: datetime | None = None
+        for n, item in enumerate(head.findall(self.items), 1):
+            own = [p for r in self.of_item for p in r.problems(item)]
+            (ident,), (date,) = self.ident(item), self.date(item)
+            if ident and seen.setdefault(ident, n) != n:
+                own.append(f"has the id of number {seen[ident]}: {ident!r}")
+            if at := self._time(date):
+                if before is not None and at > before:
+                    own.append("is newer than the one before it")
+                before = at
+            said += [f"number {n}: {p}" for p in own]
+        return said
+
+    def _time(self, date: str) -> datetime | None:
+        try:
+            return self.when(date)
+        except (TypeError, ValueError):
             return None
-        return datetime.fromisoformat(v.replace("Z", "+00:00"))
-
-    def alternate(where: str, n: ElementTree.Element) -> None:
-        link = next((x for x in n.findall(f"{ns}link") if x.get("rel", "") in ("", "alternate")), None)
-        if link is None:
-            out.append(f'{where}: missing <link rel="alternate">')
-        elif not _absolute(link.get("href", "")):
-            out.append(f"{where} alternate link: {link.get('href', '')!r} is not an absolute http(s) URL")
-
-    for name in ("id", "title"):
-        if not text(root, name):
-            out.append(f"feed: missing <{name}>")
-    date("feed", "updated", text(root, "updated"))
-    if not (root.findtext(f"{ns}author/{ns}name") or ""):
-        out.append("feed: missing <author><name>")
-    own = [x.get("href", "") for x in root.findall(f"{ns}link") if x.get("rel") == "self"]
-    out += [f"link rel=self: {u!r} is not an absolute http(s) URL" for u in own if not _absolute(u)]
-    if not own:
-        out.append('feed: missing <link rel="self">')
-    alternate("feed", root)
-    order = _Order(out.append)
-    for n, e in enumerate(root.findall(f"{ns}entry"), 1):
-        where = f"entry {n} ({text(e, 'id')})"
-        order.item(where, n, text(e, "id"), "id", "entry")
-        if not text(e, "title"):
-            out.append(f"{where}: missing <title>")
-        alternate(where, e)
-        if not text(e, "content"):
-            out.append(f"{where}: empty <content>")
-        date(where, "updated", text(e, "updated"))
-        order.date(where, date(where, "published", text(e, "published")))
-    return out
+
+
+_A = f"{{{ATOM_NS}}}"
+RSS = Grammar(
+    "rss", "channel", "item",
+    (Rule("version", lambda n: [n.get("version", "")], (_written_as(r"2\.0", "2.0"),)),),
+    (
+        Rule("title", _child("title"), (_given,)), Rule("link", _child("link"), (_given, _address)), Rule("description", _child("description"), (_given,)),
+        Rule("own address", _hrefs(f"{_A}link", "self"), (_given, _address)), Rule("pubDate", _child("pubDate"), (_if_given(_RSS_DATE),)), Rule("lastBuildDate", _child("lastBuildDate"), (_if_given(_RSS_DATE),)),
+    ),
+    (
+        Rule("title or description", lambda n: [n.findtext("title") or n.findtext("description") or ""], (_given,)), Rule("link", _child("link"), (_given, _address)),
+        Rule("content", _child(f"{{{CONTENT_NS}}}encoded"), (_given,)), Rule("guid", _child("guid"), (_given,)), Rule("permalink", lambda n: _permalinks(n) or ["http://none/"], (_address,)),
+        Rule("pubDate", _child("pubDate"), (_given, _RSS_DATE)),
+    ),
+    _child("guid"), _child("pubDate"), parsedate_to_datetime,
+)
+_ALTERNATE = Rule("page address", _hrefs(f"{_A}link", None, "", "alternate"), (_given, _address))
+ATOM = Grammar(
+    f"{_A}feed", ".", f"{_A}entry", (),
+    (
+        Rule("id", _child(f"{_A}id"), (_given,)), Rule("title", _child(f"{_A}title"), (_given,)), Rule("updated", _child(f"{_A}updated"), (_given, _ATOM_DATE)),
+        Rule("author", _child(f"{_A}author/{_A}name"), (_given,)), Rule("own address", _hrefs(f"{_A}link", "self"), (_given, _address)), _ALTERNATE,
+    ),
+    (
+        Rule("id", _child(f"{_A}id"), (_given,)), Rule("title", _child(f"{_A}title"), (_given,)), _ALTERNATE, Rule("content", _child(f"{_A}content"), (_given,)),
+        Rule("updated", _child(f"{_A}updated"), (_given, _ATOM_DATE)), Rule("published", _child(f"{_A}published"), (_given, _ATOM_DATE)),
+    ),
+    _child(f"{_A}id"), _child(f"{_A}published"), lambda v: datetime.fromisoformat(v.replace("Z", "+00:00")),
+)
 
 
 @dataclass(frozen=True)
@@ -281,7 +288,7 @@ class Format:
     check: Callable[[bytes | str], list[str]]
 
 
-FORMATS = {"rss": Format("rss", ".xml", "application/rss+xml; charset=utf-8", check_rss), "atom": Format("atom", ".atom", "application/atom+xml; charset=utf-8", check_atom)}
+FORMATS = {"rss": Format("rss", ".xml", "application/rss+xml; charset=utf-8", RSS.check), "atom": Format("atom", ".atom", "application/atom+xml; charset=utf-8", ATOM.check)}
 
 
 def etag(data: bytes) -> str:
