@@ -170,11 +170,11 @@ def test_feed_documents(spark):
     rss = render.render(table.where("title <> ''"), s, "https://f.example", day(24), "rss")
     for part in ("<title>Second &lt;post&gt;</title>", "<description>Summary &amp;amp; more</description>", "<content:encoded><![CDATA[<p>Body with ]]]]><![CDATA[> inside</p>]]></content:encoded>", '<guid isPermaLink="true">https://e.example/b</guid>', "<pubDate>Thu, 17 Sep 2026 14:00:00 +0000</pubDate>", '<media:content url="https://cdn.example/b.png?w=1" medium="image"></media:content>'):
         assert part in rss
-    assert render.check_rss(rss) == [] and "\x01" not in rss and "<enclosure" not in rss
+    assert render.RSS.check(rss) == [] and "\x01" not in rss and "<enclosure" not in rss
     atom = render.render(table.where("title <> ''"), s, "https://f.example", day(24), "atom")
-    assert render.check_atom(atom) == [] and "<updated>2026-09-25T00:00:00Z</updated>" in atom
+    assert render.ATOM.check(atom) == [] and "<updated>2026-09-25T00:00:00Z</updated>" in atom
     both = render.render(table, s, "https://f.example", None, "rss")
-    assert any("needs a <title>" in p for p in render.check_rss(both)) and any("guid" in p for p in render.check_rss(both))
+    assert render.RSS.check(both) == ["number 2: title or description is absent or empty", "number 2: permalink is no http(s) address: '5f0c7d0e-1111-5222-8333-444455556666'"]
 
 
 def test_bad_feed_never_replaces_a_good_one(tmp_path):
@@ -184,22 +184,32 @@ def test_bad_feed_never_replaces_a_good_one(tmp_path):
     assert "opml" in render.opml([site()], "https://f.example") and "<ul>" in render.index_page([site()], "https://f.example")
 
 
-def test_control_rules():
-    for a, ok in (("8.8.8.8", True), ("10.0.0.1", False), ("127.0.0.1", False), ("169.254.169.254", False), ("100.64.0.1", False), ("::1", False), ("::ffff:10.0.0.1", False), ("2606:4700::1", True), ("64:ff9b::a00:1", False), ("fd00::1", False), ("x", False)):
-        assert control.public_address(a) is ok, a
-    r = control.Robots(200, "User-agent: *\nDisallow: /\n\nUser-agent: weft\nDisallow: /private\nAllow: /private/ok\nDisallow: /*.js$", "weftline/1")
-    assert r.allowed("/x") and not r.allowed("/private/a") and r.allowed("/private/ok/1") and not r.allowed("/a.js") and r.allowed("/a.json")
-    assert not control.Robots(503, "", "x").allowed("/") and control.Robots(404, "Disallow: /", "x").allowed("/")
-    assert control.wait_before(3, None) is None and control.wait_before(1, 400.0) is None and control.wait_before(1, 20.0) == 20.0
-    b = control.Bucket(2)
-    assert [b.take(0), b.take(0), b.take(5)] == [0, 0.5, 0]
+def test_public_addresses():
+    public = ["1.1.1.1", "93.184.215.14", "223.255.255.1", "2001:4860:4860::8888", "2a00:1450::1"]
+    special = ["0.1.2.3", "10.20.30.40", "172.31.0.9", "192.168.77.1", "127.8.8.8", "169.254.1.1", "100.100.0.7", "198.19.4.4", "230.1.1.1", "255.255.255.255", "::", "::1", "fe80::7", "fc12::1", "ff02::5", "::ffff:192.168.0.3", "64:ff9b::7f00:1", "2002:a00::1", "host", "1.2.3", ""]
+    assert all(control.public_address(a) for a in public) and not any(control.public_address(a) for a in special)
+
+
+def test_robots_rules():
+    text = "# comment\nUser-Agent: other\nUser-Agent: reader\nDisallow: /drafts\nAllow: /drafts/open\nDisallow: /*.pdf$\nDisallow:\n\nUser-agent: *\nDisallow: /\n"
+    r = control.Robots(200, text, "Reader/2.1")
+    assert [p for p in ("/", "/drafts", "/drafts/1", "/drafts/open/2", "/a/b.pdf", "/a/b.pdf?x", "/robots.txt") if r.allowed(p)] == ["/", "/drafts/open/2", "/a/b.pdf?x", "/robots.txt"]
+    assert not control.Robots(200, text, "another").allowed("/x") and control.Robots(200, "", "another").allowed("/x")
+    assert not control.Robots(500, "", "reader").allowed("/x") and control.Robots(410, text, "reader").allowed("/drafts")
+
+
+def test_waits_and_rates():
+    assert control.wait_before(2, 7.5) == 7.5 and control.wait_before(1, control.MAX_WAIT + 1) is None and control.wait_before(control.ATTEMPTS, 1.0) is None
+    assert all(0.5 * 2 ** (n - 1) <= control.backoff(n) <= 1.5 * 2 ** (n - 1) for n in (1, 2, 3) for _ in range(50))
+    b = control.Bucket(control.host_rates([("a.example", 4.0), ("A.example", 0.25), ("b.example", 1.0)])["a.example"])
+    assert [b.take(10), b.take(11), b.take(30)] == [0, 3, 0]
 
 
 def test_checks_of_items(spark):
     rows = [("s", 1, "g", "t", "https://e.example/", "c", day(5)), ("s", 2, "g", "", "x", "", day(6)), ("s", 3, "", "t", "https://e.example/", "c", None)]
     df = spark.createDataFrame(rows, "site_id string, rank int, guid string, title string, url string, content_html string, published_at timestamp").withColumn("summary", F.lit(""))
     got = {(r["rank"], r["problem"]) for r in report.item_problems(df).collect()}
-    assert got == {(2, "needs a title or description"), (2, "link is not an absolute http(s) URL"), (2, "empty content"), (2, "not sorted newest first"), (2, "duplicate guid (also item 1)"), (3, "missing guid"), (3, "missing date")}
+    assert got == {(2, "has neither title nor description"), (2, "link is no http(s) address"), (2, "content is empty"), (2, "is newer than the item before it"), (2, "guid stands at item 1 too"), (3, "has no guid"), (3, "has no date")}
 
 
 def test_store_refuses_newer_schema(spark, tmp_path):

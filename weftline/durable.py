@@ -1,15 +1,30 @@
-"""Cutting a plan's lineage where other executors can read it."""
+"""Where intermediate tables are written so that other executors can read them."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a local one, on a local master only."""
+    sc = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
+        return found.rstrip("/")
+    known = sc._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get().rstrip("/")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the folder of spark.checkpoint.dir (a local one only where it is unset, as in tests)."""
+    """Cut a plan's lineage through the shared folder."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

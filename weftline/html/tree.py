@@ -33,6 +33,13 @@ ENDS = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+#: What a table part implies around itself, and below which elements.
+WITHIN = {
+    "tr": (("tbody", {"table"}),),
+    "td": (("tbody", {"table"}), ("tr", {"tbody", "thead", "tfoot"})),
+    "th": (("tbody", {"table"}), ("tr", {"tbody", "thead", "tfoot"})),
+    "col": (("colgroup", {"table"}),),
+}
 SCOPE = frozenset("html table td th caption button object marquee applet template".split())
 TAG = re.compile(r"<(?:!--(?:-?>|(?P<comment>.*?)(?:--!?>|\Z))|(?P<bogus>[!?][^>]*>?|/(?=[^a-zA-Z])[^>]*>?)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<self>/)?>)", re.S)
 ATTR = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.S)
@@ -173,6 +180,9 @@ class Builder:
             for n in [n for n in self.active if n.tag == tag]:
                 self.end(tag)
                 self.active = [x for x in self.active if x is not n]
+        for around in WITHIN.get(tag, ()):  # table parts that a page may leave out
+            if self.open[-1].tag in around[1]:
+                self.open.append(self.open[-1].append(Node(around[0])))
         if tag not in CLOSE_P and tag not in ENDS:
             self.reopen()
         n = self.open[-1].append(Node(tag, attrs))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import checkpoint
 from ..functions.url import accept, clean_url
 from ..plans.config import Discovery
 
@@ -35,8 +36,14 @@ def union_dedupe(parts: Sequence[DataFrame], keys: tuple[str, ...] = ()) -> Data
     values = every.select(*keys, "url", "at", F.explode("hints").alias("k", "v")).where("v <> ''")
     merged = values.groupBy(*keys, "url", "k").agg(F.min(F.struct("at", "v")).alias("m"))
     hints = merged.groupBy(*keys, "url").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.col("m.v").alias("v"))))).alias("hints"))
-    place = Window.partitionBy(*keys).orderBy("at", "url")
-    out = first.join(hints, [*keys, "url"], "left").withColumn("ord", (F.row_number().over(place) - 1).cast("int"))
+    # Ranks in two levels, so that no task holds all candidates: ranges of places, then the counts of these.
+    placed = checkpoint(first.repartitionByRange(*keys, "at", "url").withColumn("range", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.select(*keys, "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("head"))
+    inside = Window.partitionBy(*keys, "range").orderBy("at", "url")
+    ranked = placed.join(heads, [*keys, "range"]).withColumn("ord", (F.col("head") + F.row_number().over(inside) - 1).cast("int"))
+    out = ranked.join(hints, [*keys, "url"], "left")
     return out.select(*keys, "url", F.coalesce("hints", F.create_map().cast("map<string,string>")).alias("hints"), "ord")
 
 

@@ -25,13 +25,14 @@ def built(pages: DataFrame, site: Site) -> DataFrame:
 
 
 def merge(items: DataFrame, pages: DataFrame, site: Site, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(items after the run, outcomes: site_id, url, outcome, guid).
+    """(items after the run, outcomes: site_id, url, outcome, guid, no_date).
 
     ``pages``: extracted rows with content_html, ord, not_modified. Outcomes: not_modified
     (touched), no_content (an error, nothing stored), new, updated, unchanged (touched).
     An existing item keeps guid, first_seen, published and updated; published moves only
     if the source's day did; updated moves to a later source date, or to ``now`` for an
-    edited text without one. Permalink sites find a moved URL by its canonical. Pages of
+    edited text without one. ``no_date`` tells responses without a date, with or without
+    content. Permalink sites find a moved URL by its canonical. Pages of
     one canonical in one run meet in one item: the first creates it, the last one stands.
     """
     permalink = site.item.guid == "permalink"
@@ -65,7 +66,8 @@ def merge(items: DataFrame, pages: DataFrame, site: Site, now: Column) -> tuple[
     for c in META:
         same &= F.col(f"new.{c}").eqNullSafe(F.col(f"old_{c}"))
     outcome = F.when(F.col("not_modified"), "not_modified").when(F.coalesce(F.col("content_html"), F.lit("")) == "", "no_content").when(~F.col("have"), "new").when(same, "unchanged").otherwise("updated")
-    rows = checkpoint(rows.withColumn("outcome", outcome).select("site_id", "url", "ord", "guid", "have", "outcome", "new", "old_guid"))
+    undated = F.col("published").isNull() & ~F.col("not_modified")
+    rows = checkpoint(rows.withColumns({"outcome": outcome, "no_date": undated}).select("site_id", "url", "ord", "guid", "have", "outcome", "new", "old_guid", "no_date"))
 
     # One row a guid: the first page makes the item, the last says what stands.
     order = Window.partitionBy("site_id", "guid")
@@ -76,7 +78,8 @@ def merge(items: DataFrame, pages: DataFrame, site: Site, now: Column) -> tuple[
     touched = rows.where(F.col("have") & F.col("outcome").isin("not_modified", "unchanged")).select("site_id", F.col("old_guid").alias("guid"), F.lit(True).alias("touched")).distinct()
     keep = items.join(chosen.select("site_id", "guid"), ["site_id", "guid"], "left_anti").join(touched, ["site_id", "guid"], "left")
     keep = keep.withColumn("last_fetched_at", F.when(F.col("touched"), now).otherwise(F.col("last_fetched_at")))
-    outcomes = rows.where(F.col("outcome").isin("not_modified", "no_content")).select("site_id", "url", "outcome", "guid").unionByName(made.select("site_id", "url", "outcome", "guid"))
+    told = ["site_id", "url", "outcome", "guid", "no_date"]
+    outcomes = rows.where(F.col("outcome").isin("not_modified", "no_content")).select(*told).unionByName(made.select(*told))
     return keep.select(*COLUMNS).unionByName(chosen.select(*COLUMNS)), outcomes
 
 

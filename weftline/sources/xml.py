@@ -8,7 +8,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from html import unescape
-from urllib.parse import urlsplit
+from urllib.parse import urldefrag, urlsplit
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -84,8 +84,8 @@ def parse_sitemap(body: bytes) -> tuple[str, list[tuple[str, str]]]:
 def read_sitemaps(root_url: str, fetch: Callable[[str], tuple[bytes, str]]) -> list[tuple[str, dict[str, str]]]:
     """Candidates of a sitemap and those it refers to, depth first; ``fetch`` gives a body and the URL it came from in the end.
 
-    Visited sitemaps are passed over; at most DEPTH levels of indexes and CHILDREN
-    references; children must stay on the root's host or the one it redirected to.
+    Visited sitemaps are passed over; at most DEPTH levels, the first included, and
+    CHILDREN references; fragments don't make a sitemap another one; children must stay on the root's host or the one it redirected to.
     """
     out: list[tuple[str, dict[str, str]]] = []
     visited: set[str] = set()
@@ -94,18 +94,19 @@ def read_sitemaps(root_url: str, fetch: Callable[[str], tuple[bytes, str]]) -> l
 
     def visit(url: str, depth: int) -> None:
         nonlocal children
+        url = urldefrag(url.strip()).url
         if url in visited:
             return
         visited.add(url)
         body, final = fetch(url)
-        if depth == 0:
+        if depth == 1:
             hosts.add(urlsplit(final).netloc.lower())
         kind, entries = parse_sitemap(body)
         if kind == "urlset":
             out.extend((loc, {"lastmod": lastmod} if lastmod else {}) for loc, lastmod in entries)
             return
         if depth >= DEPTH:
-            raise SourceFailure(f"sitemap indexes nest deeper than {DEPTH}")
+            raise SourceFailure(f"sitemaps nest deeper than {DEPTH} levels")
         for loc, _ in entries:
             children += 1
             if children > CHILDREN:
@@ -114,7 +115,7 @@ def read_sitemaps(root_url: str, fetch: Callable[[str], tuple[bytes, str]]) -> l
                 raise SourceFailure(f"child sitemap {loc} is on another site")
             visit(loc, depth + 1)
 
-    visit(root_url, 0)
+    visit(root_url, 1)
     return out
 
 
