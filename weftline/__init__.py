@@ -6,3 +6,5 @@ from pyspark import cloudpickle
 
 # Functions travel to the executors by value: workers need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__version__ = "0.2"
