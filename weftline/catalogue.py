@@ -7,7 +7,6 @@ columns, so that the SQL can go back to these columns.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -15,6 +14,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .durable import shared_folder
 from .functions import arrays, dates, ids, text, url
 from .operators import discovery, extract, merge, planning, report
 from .operators.state import Store
@@ -91,7 +91,7 @@ def url_parts(spark, d):
 
 def _strategies(spark, d):
     p = table(spark, d, "pages").withColumn("pos", F.col("page_id").cast("int"))
-    one = p.select("url", F.create_map(F.lit("title"), F.concat(F.lit("first "), F.col("page_id").cast("string"))).alias("hints"), "pos").where("page_id % 2 = 0")
+    one = p.select("url", F.create_map(F.lit("title"), F.concat(F.lit("first "), F.col("page_id").cast("string"))).alias("hints"), "pos").withColumn("url", F.when(F.col("pos") % 2 == 0, F.col("url")).otherwise(F.replace("url", F.lit("http"), F.lit("gopher"))))  # odd ones are no pages
     two = p.select(F.concat("url", F.lit("#again")).alias("url"), F.create_map(F.lit("title"), F.concat(F.lit("second "), F.col("page_id").cast("string")), F.lit("author"), F.lit("a")).alias("hints"), "pos")
     return discovery.union_dedupe([discovery.accepted(one, Discovery("feed"), 0), discovery.accepted(two, Discovery("index", exclude=("utm_source=feed",)), 1)])
 
@@ -131,12 +131,23 @@ def sitemap_parse(spark, d):
     return found.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("event_id"), "url", F.element_at("hints", F.lit("lastmod")).alias("lastmod"))
 
 
-@query(r"""
-SELECT doc_id, 'https://example.com/d/' || doc_id AS url, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS title, source AS author, lang || chr(10) || source AS category FROM documents
-""")
+BLANK = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+INVALID = r"[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
+INVISIBLE = r"[\x{200B}-\x{200D}\x{2060}-\x{2064}\x{FEFF}]{2,}|\x{FEFF}"
+
+
+def squeezed(c: str) -> str:
+    """SQL of the clean text of a column."""
+    return f"trim(regexp_replace(regexp_replace({c}, '{INVISIBLE}', '', 'g'), '{BLANK}', ' ', 'g'))"
+
+
+XML_TEXT = f"regexp_replace(text, '{INVALID}', '', 'g')"
+
+
+@query(f"SELECT doc_id, 'https://example.com/d/' || doc_id AS url, nullif({squeezed(XML_TEXT)}, '') AS title, source AS author, lang || chr(10) || source AS category FROM documents")
 def feed_parse(spark, d):
-    x = lambda c: text.escape_xml(c)
-    docs = table(spark, d, "documents").withColumn("x", F.concat(F.lit("<item><title>"), x(F.substring("text", 1, 60)), F.lit("</title><guid>https://example.com/d/"), F.col("doc_id"), F.lit("</guid><dc:creator>"), x(F.col("source")), F.lit("</dc:creator><category>"), x(F.col("lang")), F.lit("</category><category>"), x(F.col("source")), F.lit("</category></item>")))
+    x = lambda c: text.escape_xml(text.xml_clean(c))
+    docs = table(spark, d, "documents").withColumn("x", F.concat(F.lit("<item><title>"), x(F.col("text")), F.lit("</title><guid>https://example.com/d/"), F.col("doc_id"), F.lit("</guid><dc:creator>"), x(F.col("source")), F.lit("</dc:creator><category>"), x(F.col("lang")), F.lit("</category><category>"), x(F.col("source")), F.lit("</category></item>")))
     head = '<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>t</title>'
     feeds = docs.groupBy((F.col("doc_id") % 31).alias("part")).agg(F.concat(F.lit(head), F.array_join(F.collect_list("x"), ""), F.lit("</channel></rss>")).alias("body"))
     found = feed_candidates(feeds.withColumn("url", F.lit("https://example.com/feed")))
@@ -156,7 +167,7 @@ def extract_title(spark, d):
 
 def _made(spark, d):
     """Pages with heads made from documents."""
-    docs = table(spark, d, "documents").withColumn("t", text.clean_text(F.substring("text", 1, 50)))
+    docs = table(spark, d, "documents").withColumn("t", text.clean_text(text.xml_clean(F.col("text"))))
     ld = F.to_json(F.struct(F.lit("BlogPosting").alias("@type"), F.col("t").alias("headline"), F.array(F.struct(F.col("source").alias("name")), F.struct(F.lit("Desk").alias("name"))).alias("author"), F.lit("2024-01-05T10:00:00+02:00").alias("datePublished")))
     head = F.concat(F.lit('<head><meta property="og:title" content="'), text.escape_xml(F.col("t")), F.lit('"><meta name="description" content="'), text.escape_xml(F.col("lang")), F.lit('"><link rel="canonical" href="/c/'), F.col("doc_id"), F.lit('"><script type="application/ld+json">{"@graph":['), F.replace(ld, F.lit("</"), F.lit("<\\/")), F.lit("]}</script></head>"))
     body = F.concat(F.lit('<body><article><time datetime="2024-03-04">x</time><p>'), text.escape_text(F.col("t")), F.lit("</p></article></body>"))
@@ -168,10 +179,10 @@ MADE = Site("made", item=ItemConfig(
     canonical=(compile_source("meta:og:url"), compile_source("css:link[rel=canonical]@href"), compile_source("request")), categories=(compile_source(r"url:/(\d{4})/(\d{2})/"),),
     published=DateField((compile_source("jsonld:BlogPosting.datePublished"),)), updated=DateField((compile_source("time:article time"),)),
 ))
-_T50 = r"trim(regexp_replace(substr(text, 1, 50), '\s+', ' ', 'g'))"
+WHOLE = squeezed(XML_TEXT)
 
 
-@query(f"SELECT doc_id, {_T50} AS title, lang AS summary, 'https://example.com/c/' || doc_id AS canonical FROM documents")
+@query(f"SELECT doc_id, {WHOLE} AS title, lang AS summary, 'https://example.com/c/' || doc_id AS canonical FROM documents")
 def extract_meta(spark, d):
     out = extract.extract(_made(spark, d), MADE, keep=("doc_id",))
     return out.select("doc_id", "title", "summary", "canonical")
@@ -195,21 +206,38 @@ def url_match(spark, d):
     return e.select("event_id", url.url_match(F.col("u"), r"/(\d{4})/(\d{2})/").alias("month"))
 
 
-@query("SELECT page_id, CAST(1 AS INT) AS matches, length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) > 0 AS some FROM pages")
+def letters(c: str) -> str:
+    """SQL of the characters of an article's text: without tags, references and white space."""
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<[^>]*>|&#?[a-zA-Z0-9]+;?', '', 'gs'), '{BLANK}', '', 'g')"
+
+
+def _letters(c):
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>|&#?[a-zA-Z0-9]+;?", ""), r"(?U)\s+", "")
+
+
+ARTICLE_HTML = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+
+
+@query(f"SELECT page_id, CAST(1 AS INT) AS matches, {letters(ARTICLE_HTML)} AS letters FROM pages")
 def extract_content(spark, d):
     out = extract.extract(table(spark, d, "pages"), PAGES, keep=("page_id",))
-    return out.select("page_id", F.col("content_matches").alias("matches"), (F.length("content") > 0).alias("some"))
+    return out.select("page_id", F.col("content_matches").alias("matches"), _letters(F.col("content")).alias("letters"))
 
 
-@query()
+@query(f"SELECT page_id, {letters(ARTICLE_HTML)} AS letters, len(regexp_extract_all({ARTICLE_HTML}, '<p>')) AS paragraphs, len(regexp_extract_all({ARTICLE_HTML}, '<br>')) AS breaks, true AS clean FROM pages")
 def body_normalize(spark, d):
     out = extract.bodies(extract.extract(table(spark, d, "pages"), PAGES, keep=("page_id",)), PAGES)
-    return out.select("page_id", "content_html", "summary", F.sha2("content_html", 256).alias("digest"))
+    count = lambda mark: F.regexp_count("content_html", F.lit(mark)).cast("long")
+    return out.select("page_id", _letters(F.col("content_html")).alias("letters"), count("<p>").alias("paragraphs"), count("<br/>").alias("breaks"), (~F.col("content_html").rlike("<(?!/?(?:p|b|br|h1|ul|ol|li|a|i|em|strong)\\b)|class=|style=")).alias("clean"))
 
 
-@query("SELECT count(*) AS pages, count(*) FILTER (WHERE html LIKE '%<h1>_%') AS with_title, CAST(0 AS BIGINT) AS with_published, count(*) FILTER (WHERE html LIKE '%<article>%') AS with_content FROM pages")
+@query(f"SELECT lang, count(*) AS pages, count(*) FILTER (WHERE {WHOLE} <> '') AS with_title, count(*) FILTER (WHERE doc_id % 3 > 0) AS with_published, count(*) FILTER (WHERE doc_id % 4 > 0 AND {WHOLE} <> '') AS with_content FROM documents GROUP BY lang")
 def extraction_health(spark, d):
-    return report.extraction_health(extract.extract(table(spark, d, "pages"), PAGES))
+    made = _made(spark, d).withColumn("html", F.when(F.col("doc_id") % 3 == 0, F.replace("html", F.lit("datePublished"), F.lit("dateline"))).otherwise(F.col("html")))
+    made = made.withColumn("html", F.when(F.col("doc_id") % 4 == 0, F.replace("html", F.lit("article>"), F.lit("section>"))).otherwise(F.col("html")))
+    site = Site("made", item=ItemConfig(title=MADE.item.title, published=MADE.item.published, selector="article", exclude=("time",)))
+    out = extract.extract(made, site, keep=("doc_id",)).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return report.extraction_health(out, ("lang",))
 
 
 @query(f"SELECT 'no date' AS warning, count(*) AS n FROM pages UNION ALL SELECT 'no title', count(*) FROM pages WHERE {_H1} = '' HAVING count(*) > 0")
@@ -230,17 +258,15 @@ def plain_text_excerpt(spark, d):
     return table(spark, d, "documents").select("doc_id", text.excerpt(text.clean_text(F.col("text")), 300).alias("excerpt"))
 
 
-@query(r"SELECT doc_id, substr(text, 1, 20) || substr(text, 21, 20) || CASE WHEN length(text) > 20 THEN chr(8205) ELSE '' END || 'x' AS stripped FROM documents")
+@query(f"SELECT doc_id, regexp_replace(replace(replace(text, ' ', ' ' || chr(8203) || chr(8205)), 'e', 'e' || chr(8205)), '{INVISIBLE}', '', 'g') || 'x' AS stripped FROM documents")
 def strip_invisible(spark, d):
-    t = F.concat(F.substring("text", 1, 20), F.lit("​‍"), F.substring("text", 21, 20), F.lit("﻿"), F.lit("‍"), F.lit("x"))
-    noisy = F.regexp_replace(t, "﻿‍", "‍")
-    return table(spark, d, "documents").select("doc_id", text.strip_invisible(noisy).alias("stripped"))
+    noisy = F.replace(F.replace("text", F.lit(" "), F.lit(" \u200b\u200d")), F.lit("e"), F.lit("e\u200d"))
+    return table(spark, d, "documents").select("doc_id", text.strip_invisible(F.concat(noisy, F.lit("\ufeffx"))).alias("stripped"))
 
 
-@query("SELECT doc_id, substr(text, 1, 40) || 'ab' AS valid, replace(replace(replace(substr(text, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, CASE WHEN length(text) > 10 THEN left(text, 9) || '…' ELSE text END AS short FROM documents")
+@query(f"SELECT doc_id, {XML_TEXT} || 'ab' AS valid, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, CASE WHEN length(text) > 10 THEN left(text, 9) || '…' ELSE text END AS short FROM documents")
 def xml_text(spark, d):
-    head = F.substring("text", 1, 40)
-    return table(spark, d, "documents").select("doc_id", text.xml_clean(F.concat(head, F.lit("a\x01\x0bb￾"))).alias("valid"), text.escape_text(head).alias("escaped"), text.shorten(F.col("text"), 10).alias("short"))
+    return table(spark, d, "documents").select("doc_id", text.xml_clean(F.concat("text", F.lit("a\x01\x0bb\ufffe"))).alias("valid"), text.escape_text(F.col("text")).alias("escaped"), text.shorten(F.col("text"), 10).alias("short"))
 
 
 @query("""
@@ -317,18 +343,21 @@ def retryable(spark, d):
     return table(spark, d, "events").select("event_id", control.retryable(status, F.when(F.col("event_id") % 5 == 0, "transport").otherwise("")).alias("again"))
 
 
-LINT = ["jsonld:BlogPosting.headline", "meta:og:title", "css:h1", "css:link[rel=canonical]@href", "time:article time", r"url:/(\d{4})/", "listing:published", "request", "jsonld:BlogPosting", "css:div[", "url:(", "listing:nope", "xpath://h1", "meta:", "h1", "request:x"]
+#: Sources made of an event's number (#), and which of them are sound.
+MADE_SOURCES = [("jsonld:Event.step#", True), ("jsonld:Event#", False), ("meta:event-#", True), ("css:tr:nth-child(#)@id", True), ("css:tr > > #", False), (r"url:/(\d+)/e#$", True), ("url:/(#", False), ("listing:author", True), ("listing:row#", False), ("time:.e#", True), ("page#", False)]
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, n < 8 AS ok FROM range(16) t(n)")
+@query(f"SELECT event_id, event_id % {len(MADE_SOURCES)} IN ({', '.join(str(i) for i, (_, ok) in enumerate(MADE_SOURCES) if ok)}) AS ok FROM events")
 def lint_sources(spark, d):
-    rows = []
-    for n, raw in enumerate(LINT):
+    raw = F.element_at(F.array(*[F.lit(s) for s, _ in MADE_SOURCES]), (F.col("event_id") % len(MADE_SOURCES) + 1).cast("int"))
+
+    def sound(s: str) -> bool:
         try:
-            rows.append((n, bool(compile_source(raw))))
+            return bool(compile_source(s))
         except SourceError:
-            rows.append((n, False))
-    return spark.createDataFrame(rows, "n long, ok boolean")
+            return False
+
+    return table(spark, d, "events").select("event_id", F.udf(sound, "boolean", useArrow=True)(F.replace(raw, F.lit("#"), F.col("event_id").cast("string"))).alias("ok"))
 
 
 # --- Planning, merging, reporting ---------------------------------------------------
@@ -387,14 +416,14 @@ def channel_times(spark, d):
 
 
 def _documents(spark, d, version: int):
-    """Documents as extracted pages: version 2 edits every 7th, drops every 11th and adds every 13th."""
+    """Documents as extracted pages: version 2 edits every 7th; every 13th has another address before it and every 11th in it."""
     docs = table(spark, d, "documents")
-    docs = docs.where("doc_id % 13 <> 0") if version == 1 else docs.where("doc_id % 11 <> 0")
+    early, moved = (F.col("doc_id") % 13 == 0) & F.lit(version == 1), (F.col("doc_id") % 11 == 0) & F.lit(version == 2)
     body = F.when((F.lit(version) == 2) & (F.col("doc_id") % 7 == 0), F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
-    link = F.concat(F.lit("https://example.com/d/"), F.col("doc_id"))
+    link = F.concat(F.lit("https://example.com/"), F.when(early, "early").when(moved, "moved").otherwise("d"), F.lit("/"), F.col("doc_id"))
     day = F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-10 12:00:00").cast("timestamp"))
     return docs.select(
-        F.lit("docs").alias("site_id"), link.alias("url"), link.alias("canonical"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("summary"), F.col("source").alias("author"), F.lit("").alias("image"), F.array("lang").alias("categories"),
+        F.lit("docs").alias("site_id"), link.alias("url"), link.alias("canonical"), F.col("text").alias("title"), F.col("lang").alias("summary"), F.col("source").alias("author"), F.lit("").alias("image"), F.array("lang").alias("categories"),
         day.alias("published"), F.lit(False).alias("published_date_only"), F.lit("meta:date").alias("published_source"), F.lit(None).cast("timestamp").alias("updated"), body.alias("content_html"), F.col("doc_id").cast("int").alias("ord"), F.lit(False).alias("not_modified"),
     )
 
@@ -408,32 +437,40 @@ def _two_runs(spark, d):
 
 
 _MERGED = """
-WITH x AS (SELECT *, doc_id % 13 <> 0 AS old, doc_id % 11 <> 0 AS new, doc_id % 7 = 0 AS edit FROM documents)
+WITH x AS (SELECT 'https://example.com/' || CASE WHEN doc_id % 13 = 0 THEN 'early/' ELSE 'd/' END || doc_id AS a, 'https://example.com/' || CASE WHEN doc_id % 11 = 0 THEN 'moved/' ELSE 'd/' END || doc_id AS b, * FROM documents),
+u AS (SELECT a AS guid, doc_id, lang, text, true AS old, a = b AS new FROM x UNION ALL SELECT b, doc_id, lang, text, false, true FROM x WHERE a <> b),
+m AS (SELECT *, doc_id % 7 = 0 AS edit FROM u WHERE text <> '')
 """
 
 
 @query(_MERGED + """
-SELECT 'https://example.com/d/' || doc_id AS guid, CASE WHEN doc_id % 2 = 0 THEN '2024-01-10 12:00:00' WHEN old THEN '2024-02-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS published,
+SELECT guid, CASE WHEN doc_id % 2 = 0 THEN '2024-01-10 12:00:00' WHEN old THEN '2024-02-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS published,
   CASE WHEN old AND new AND edit THEN '2024-02-02 00:00:00' END AS updated, CASE WHEN old THEN '2024-02-01 00:00:00' ELSE '2024-02-02 00:00:00' END AS first_seen,
   CASE WHEN new THEN '2024-02-02 00:00:00' ELSE '2024-02-01 00:00:00' END AS last_fetched, CASE WHEN NOT new THEN '2024-02-02 00:00:00' END AS missing,
-  sha256(substr(text, 1, 40) || chr(0) || lang || chr(0) || text || CASE WHEN new AND edit THEN ' edited' ELSE '' END) AS hash, CASE WHEN doc_id % 2 = 0 THEN 'meta:date' ELSE 'first_seen' END AS source
-FROM x WHERE old OR new
+  sha256(text || chr(0) || lang || chr(0) || text || CASE WHEN new AND edit THEN ' edited' ELSE '' END) AS hash, CASE WHEN doc_id % 2 = 0 THEN 'meta:date' ELSE 'first_seen' END AS source
+FROM m
 """)
 def merge_items(spark, d):
     t = lambda c, n: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n)
     return _two_runs(spark, d)[0].select("guid", t("published_at", "published"), t("updated_at", "updated"), t("first_seen_at", "first_seen"), t("last_fetched_at", "last_fetched"), t("missing_since", "missing"), F.col("content_hash").alias("hash"), F.col("published_source").alias("source"))
 
 
-@query(_MERGED + "SELECT count(*) FILTER (WHERE new) AS fetched, count(*) FILTER (WHERE new AND NOT old) AS new, count(*) FILTER (WHERE new AND old AND edit) AS updated, count(*) FILTER (WHERE new AND old AND NOT edit) AS unchanged, CAST(0 AS BIGINT) AS errors FROM x")
+@query(_MERGED + "SELECT count(*) FILTER (WHERE new) AS fetched, count(*) FILTER (WHERE new AND NOT old) AS new, count(*) FILTER (WHERE new AND old AND edit) AS updated, count(*) FILTER (WHERE new AND old AND NOT edit) AS unchanged, count(*) FILTER (WHERE new AND doc_id % 2 = 1) AS no_date, CAST(0 AS BIGINT) AS errors, (SELECT count(DISTINCT b) FROM x) AS discovered FROM m")
 def run_stats(spark, d):
-    return report.run_stats(_two_runs(spark, d)[1]).select("fetched", "new", "updated", "unchanged", "errors")
+    found = _documents(spark, d, 2).select("site_id", "url").distinct()
+    return report.run_stats(_two_runs(spark, d)[1], discovered=found).select("fetched", "new", "updated", "unchanged", "no_date", "errors", "discovered")
 
 
-@query("SELECT CASE WHEN n % 10 < 6 THEN n % 10 ELSE 0 END AS bad, 10 * CASE WHEN n % 10 < 6 THEN n % 10 ELSE 0 END > 0.5 * 10 * 4 AS warn FROM range(12) t(n)")
+@query("""
+WITH s AS (SELECT user_id, count(*) AS fetched, count(*) FILTER (WHERE event_id % 5 = 0) AS same, count(*) FILTER (WHERE event_id % 5 > 0 AND event_id % 3 = 0) AS empty, count(*) FILTER (WHERE event_id % 5 > 0 AND event_id % 4 = 0) AS undated FROM events GROUP BY user_id)
+SELECT user_id, empty, undated, fetched - same >= 2 AND empty + undated > 0.5 * (fetched - same) AS warn FROM s
+""")
 def health_ratio(spark, d):
-    bad = F.when(F.col("id") % 10 < 6, F.col("id") % 10).otherwise(0)
-    rows = spark.range(12).select(bad.alias("bad"), F.lit(5).alias("fetched"), F.lit(1).alias("not_modified"), bad.alias("no_content"), F.lit(0).alias("no_date"))
-    return rows.select("bad", report.unhealthy(rows).alias("warn"))
+    k = F.col("event_id")
+    outcome = F.when(k % 5 == 0, "not_modified").when(k % 3 == 0, "no_content").otherwise("new")
+    rows = table(spark, d, "events").select("user_id", outcome.alias("outcome"), ((k % 5 > 0) & (k % 4 == 0)).alias("no_date"))
+    stats = report.run_stats(rows, ("user_id",))
+    return stats.select("user_id", F.col("no_content").alias("empty"), F.col("no_date").alias("undated"), report.unhealthy(stats).alias("warn"))
 
 
 @query("SELECT event_type AS site_id, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS next, max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 22:00:00' AS due FROM events GROUP BY event_type UNION ALL SELECT 'never', '2024-01-30 22:00:00', true")
@@ -445,12 +482,17 @@ def due_sites(spark, d):
     return out.select("site_id", F.date_format("next_at", "yyyy-MM-dd HH:mm:ss").alias("next"), "due")
 
 
-@query("SELECT bool_and(n = 2) AS ready FROM (SELECT event_type, count(DISTINCT event_id % 2) AS n FROM events GROUP BY event_type)")
+@query("""
+WITH f AS (SELECT event_type, event_id % 2 AS format FROM events UNION ALL SELECT event_type, 2 FROM events WHERE event_type > 'a'),
+n AS (SELECT event_type, count(DISTINCT format) AS have FROM f GROUP BY event_type), t AS (SELECT event_type, max(ts) AS ok FROM events GROUP BY event_type)
+SELECT formats, (SELECT bool_and(have >= formats AND ok IS NOT NULL) FROM n JOIN t USING (event_type)) AS ready FROM (VALUES (1), (2), (3), (4)) v(formats)
+""")
 def ready_sites(spark, d):
     e = table(spark, d, "events").withColumn("site_id", F.col("event_type"))
     state = e.groupBy("site_id").agg(F.max("ts").cast("timestamp").alias("last_success_at"))
-    served = e.select("site_id", (F.col("event_id") % 2).alias("format")).distinct()
-    return report.ready(state.select("site_id"), state, served, 2)
+    served = e.select("site_id", (F.col("event_id") % 2).alias("format")).unionByName(e.where("event_type > 'a'").select("site_id", F.lit(2).cast("long").alias("format"))).distinct()
+    rows = [report.ready(state.select("site_id"), state, served, n).select(F.lit(n).alias("formats"), "ready") for n in (1, 2, 3, 4)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 # --- Feeds --------------------------------------------------------------------------
@@ -481,21 +523,64 @@ def render_atom_entry(spark, d):
     return _feed_items(spark, d).select("doc_id", render.atom_entry().alias("entry"))
 
 
-@query("SELECT 'rss' AS format, CAST(50 AS BIGINT) AS items, CAST(0 AS BIGINT) AS problems UNION ALL SELECT 'atom', 50, 0")
+def _joined(table_sql: str, name: str, head: str, foot: str) -> str:
+    quoted = ["'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in (head, foot)]
+    return f"SELECT '{name}' AS format, {quoted[0]} || string_agg({'item' if name == 'rss' else 'entry'}, '' ORDER BY guid) || {quoted[1]} AS document, CAST(0 AS BIGINT) AS problems FROM (SELECT *, 'https://example.com/d/' || doc_id AS guid FROM ({table_sql}) ORDER BY guid LIMIT 50)"
+
+
+DOCS = Site("docs", title="Docs & more", link="https://example.com/", description="All", item=ItemConfig(guid="permalink"))
+_RSS_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
+<rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:atom="http://www.w3.org/2005/Atom" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:media="http://search.yahoo.com/mrss/">
+  <channel>
+    <title>Docs &amp; more</title>
+    <link>https://example.com/</link>
+    <description>All</description>
+    <atom:link href="https://feeds.example.com/feeds/docs.xml" rel="self" type="application/rss+xml"></atom:link>
+    <pubDate>Wed, 10 Jan 2024 12:00:00 +0000</pubDate>
+    <lastBuildDate>Thu, 01 Feb 2024 00:00:00 +0000</lastBuildDate>
+    <docs>https://www.rssboard.org/rss-specification</docs>
+    <generator>weftline</generator>
+"""
+_ATOM_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
+<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/">
+  <id>https://feeds.example.com/feeds/docs.atom</id>
+  <title type="text">Docs &amp; more</title>
+  <subtitle type="text">All</subtitle>
+  <updated>2024-02-01T00:00:00Z</updated>
+  <author>
+    <name>Docs &amp; more</name>
+  </author>
+  <link rel="self" type="application/atom+xml" href="https://feeds.example.com/feeds/docs.atom"></link>
+  <link rel="alternate" type="text/html" href="https://example.com/"></link>
+  <generator>weftline</generator>
+"""
+
+
+@query(_joined(SQL["render_rss_item"].replace("CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END", "'true'"), "rss", _RSS_HEAD, "  </channel>\n</rss>\n")
+       + " UNION ALL " + _joined(SQL["render_atom_entry"].replace("CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'urn:uuid:' END", "''"), "atom", _ATOM_HEAD, "</feed>\n"))
 def render_feeds(spark, d):
-    site = Site("docs", title="Docs", link="https://example.com/", description="All", item=ItemConfig(guid="permalink"))
+    """The newest 50 documents as they are served, in both formats: 50 is what a feed holds."""
     items = _feed_items(spark, d).withColumns({"site_id": F.lit("docs"), "first_seen_at": F.col("published_at")})
-    out = []
-    for fmt, mark in (("rss", "<item>"), ("atom", "<entry>")):
-        doc = render.render(items, site, "https://feeds.example.com", NOW, fmt)
-        out.append((fmt, doc.count(mark), len(render.FORMATS[fmt].check(doc))))
-    return spark.createDataFrame(out, "format string, items long, problems long")
+    docs = [(fmt, render.render(items, DOCS, "https://feeds.example.com", NOW, fmt)) for fmt in ("rss", "atom")]
+    return spark.createDataFrame([(fmt, doc, len(render.FORMATS[fmt].check(doc))) for fmt, doc in docs], "format string, document string, problems long")
 
 
-@query("SELECT doc_id, length(text) = 0 AS bad FROM documents WHERE length(text) = 0")
+@query("""
+WITH i AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS title, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'a & <b>' END AS summary, CASE WHEN doc_id % 6 = 0 THEN 'see/' ELSE 'https://example.com/d/' END || doc_id AS url,
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS body, CASE WHEN doc_id % 8 = 0 THEN '' ELSE source END AS guid, CASE WHEN doc_id % 9 > 0 THEN TIMESTAMP '2024-01-10' + to_hours(CAST((doc_id * 7) % 50 AS INT)) END AS moment, lang AS site FROM documents),
+w AS (SELECT *, min(doc_id) OVER (PARTITION BY site, guid) AS first, last_value(moment IGNORE NULLS) OVER (PARTITION BY site ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i)
+SELECT doc_id, 'has neither title nor description' AS problem FROM w WHERE title = '' AND summary = '' UNION ALL SELECT doc_id, 'link is no http(s) address' FROM w WHERE url LIKE 'see/%' UNION ALL SELECT doc_id, 'content is empty' FROM w WHERE body = ''
+UNION ALL SELECT doc_id, 'has no guid' FROM w WHERE guid = '' UNION ALL SELECT doc_id, 'has no date' FROM w WHERE moment IS NULL UNION ALL SELECT doc_id, 'is newer than the item before it' FROM w WHERE moment > before
+UNION ALL SELECT doc_id, 'guid stands at item ' || first || ' too' FROM w WHERE guid <> '' AND doc_id > first
+""")
 def item_problems(spark, d):
-    items = _feed_items(spark, d).withColumns({"site_id": F.col("url"), "rank": F.col("doc_id")})
-    return report.item_problems(items).where("problem = 'empty content'").select(F.col("rank").alias("doc_id"), F.lit(True).alias("bad"))
+    k = F.col("doc_id")
+    off = lambda n, c: F.when(k % n == 0, F.lit("")).otherwise(c)
+    items = table(spark, d, "documents").select(
+        F.col("lang").alias("site_id"), k.alias("rank"), off(5, F.col("lang")).alias("title"), off(10, F.lit("a & <b>")).alias("summary"), F.concat(F.when(k % 6 == 0, "see/").otherwise("https://example.com/d/"), k).alias("url"),
+        off(7, F.col("text")).alias("content_html"), off(8, F.col("source")).alias("guid"), F.when(k % 9 > 0, F.lit("2024-01-10").cast("timestamp") + F.make_interval(hours=((k * 7) % 50).cast("int"))).alias("published_at"),
+    )
+    return report.item_problems(items).select(F.col("rank").alias("doc_id"), "problem")
 
 
 @query("SELECT o_orderkey % 100 AS k, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS replaced FROM orders GROUP BY 1")
@@ -505,22 +590,30 @@ def upsert(spark, d):
     return out.groupBy((F.col("k") % 100).alias("k")).agg(F.count("*").alias("n"), F.sum("v").alias("replaced"))
 
 
-@query("SELECT count(*) AS items, count(*) FILTER (WHERE page_id % 5 = 0) AS updated, CAST(0 AS BIGINT) AS missing FROM pages")
+@query(f"""
+WITH p AS (SELECT *, page_id % 5 = 0 AS edit, page_id % 9 = 0 AS gone FROM pages)
+SELECT url, {_H1} AS title, page_id % 5 = 0 AND NOT gone AS updated, gone AS missing, CASE WHEN gone THEN '2024-02-01' ELSE '2024-02-02' END AS fetched, {letters(ARTICLE_HTML)} || CASE WHEN edit AND NOT gone THEN 'More.' ELSE '' END AS letters FROM p
+""")
 def site_runs(spark, d):
-    """Two runs of a site over a state store: every fifth page is edited in between."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftline-")
-    store = Store(spark, f"{root}/state-{uuid.uuid4()}")
+    """Two runs of a site over a state store: every fifth page is edited in between, every ninth is not found again."""
+    store = Store(spark, f"{shared_folder(spark)}/state-{uuid.uuid4()}")
     site = Site("pages", item=ItemConfig(title=(compile_source("css:h1"),), canonical=(compile_source("request"),), selector="article", guid="stable-hash"))
     pages = table(spark, d, "pages").withColumn("ord", F.col("page_id").cast("int"))
     run_site(store, site, pages, NOW)
     edited = pages.withColumn("html", F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("</article>"), F.lit("<p>More.</p></article>"))).otherwise(F.col("html")))
+    edited = edited.withColumn("url", F.when(F.col("page_id") % 9 == 0, F.concat("url", F.lit("&new"))).otherwise(F.col("url")))
     run_site(store, site, edited, datetime(2024, 2, 2, tzinfo=timezone.utc))
-    return store.read("items").agg(F.count("*").alias("items"), F.count_if(F.col("updated_at").isNotNull()).alias("updated"), F.count_if(F.col("missing_since").isNotNull()).alias("missing"))
+    out = store.read("items").where("url not like '%&new'")
+    return out.select("url", "title", F.col("updated_at").isNotNull().alias("updated"), F.col("missing_since").isNotNull().alias("missing"), F.date_format("last_fetched_at", "yyyy-MM-dd").alias("fetched"), _letters(F.col("content_html")).alias("letters"))
 
 
 def queries() -> dict[str, Query]:
+    from . import catalogue_more  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalogue_more  # noqa: F401
+
     return dict(SQL)
