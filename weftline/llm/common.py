@@ -7,6 +7,9 @@ of any substring as (S[j] - S[i]) * B^-i, one multiplication a substring.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -65,11 +68,26 @@ def discard(*tables: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes, so that long texts can't swell a worker."""
+    """``mapInArrow`` with batches bounded by bytes, so that long texts can't swell a worker, which gives its memory back after each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_or_empty(name: str = "text") -> Column:
