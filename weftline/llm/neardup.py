@@ -242,11 +242,12 @@ def components(edges: DataFrame) -> DataFrame:
             return stored(label) if level > 1 else label
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_row: bool = False) -> DataFrame:
     """Component of every document under links of similarity ``percent`` / 100 or more on sets of ``words``-word shingles.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable) and kept (doc_id =
-    component_id). Texts with fewer words are one shingle; null, empty and blank texts
+    component_id), and if asked for ``by_row`` k1, k2 (row_keys of doc_id and text) and ``group``, the
+    component whatever its doc_ids are, null without shingles. Texts with fewer words are one shingle; null, empty and blank texts
     have none and link with nothing; null doc_ids are passed over in the least one;
     repeated rows are all returned, and rows that tie for the least doc_id are all kept;
     other columns, whatever their names, aren't read; texts of any length are read whole;
@@ -325,10 +326,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         between = labelled(labelled(more, label, "x", "lx"), label, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")).distinct()
         named = labelled(named.withColumnRenamed("l", "l1"), components(between), "l1", "l")
     named = stored(named.select("s1", "s2", "least", "l"))
-    of_class = named.join(named.groupBy("l").agg(F.min("least").alias("component_id")), "l").select("s1", "s2", "component_id")
-    out = rows.select("doc_id", "n_shingles", "s1", "s2").withColumn("some", F.col("n_shingles") > 0).join(of_class.withColumn("some", F.lit(True)), ["s1", "s2", "some"], "left")
+    of_class = named.join(named.groupBy("l").agg(F.min("least").alias("component_id")), "l").select("s1", "s2", "component_id", F.col("l").alias("group"))
+    more = ["k1", "k2", "group"] if by_row else []
+    out = rows.select("doc_id", "n_shingles", "s1", "s2", *more[:2]).withColumn("some", F.col("n_shingles") > 0).join(of_class.withColumn("some", F.lit(True)), ["s1", "s2", "some"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), *more)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
