@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing, neardup, packing, suffixes, toxicity
-from weftline.llm.common import stored, table
+from weftline.llm.common import row_keys, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,12 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group stays, once; documents without words and those with a null doc_id stay."""
-    docs = clean(docs)
-    found = neardup.near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    rest = docs.join(found, "doc_id", "left_anti")
-    named, unnamed = rest.where(F.col("doc_id").isNotNull()), rest.where(F.col("doc_id").isNull())
-    return clean(named.dropDuplicates(["doc_id"])).unionByName(clean(unnamed))
+    """One row of each group stays: that of the least doc_id, nulls last, and of its rows the least by hash. Documents without words all stay."""
+    docs = clean(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    found = neardup.near_duplicates(docs, by_row=True).where(F.col("group").isNotNull())
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("m")).select("m.k1", "m.k2")
+    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    rows = docs.where(~blank).withColumns({k: c for k, c in zip(("k1", "k2"), row_keys("doc_id", "text"), strict=True)}).dropDuplicates(["k1", "k2"])
+    return clean(rows.join(first, ["k1", "k2"], "left_semi")).unionByName(clean(docs.where(blank)))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
