@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import importlib
-
-_MODULES = {
-    "op10_graph_neighbours": "ann",
-    "op1_suffix_dedup": "suffixes",
-    "op2_minhash_near_dedup": "neardup",
-    "op3_license_scan": "licenses",
-    "op4_html_extraction": "sitetree",
-    "op5_best_fit_packing": "packing",
-    "op6_tiff_media": "media",
-    "op7_toxicity": "toxicity",
-    "op8_mix_sources": "mixing",
-    "op9_chat_formatting": "chat",
+import corpus_pipeline
+
+from . import ann, chat, licenses, media, mixing, neardup, packing, sitetree, suffixes, toxicity
+
+QUERIES = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
+    "op2_minhash_near_dedup": neardup.op2_minhash_near_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
+    "op4_html_extraction": sitetree.op4_html_extraction,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_tiff_media": media.op6_tiff_media,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_graph_neighbours": ann.op10_graph_neighbours,
+    "pipeline": corpus_pipeline.run,
 }
-_SQL = {"op3_license_scan": "licenses", "op8_mix_sources": "mixing"}
+SQL = {"op3_license_scan": licenses.ORACLE, "op8_mix_sources": mixing.ORACLE}
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
-    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
-    return found | {"pipeline": corpus_pipeline.run}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: importlib.import_module(f"{__package__}.{module}").ORACLE for name, module in _SQL.items()}
+    return dict(SQL)
