@@ -1,7 +1,9 @@
 """Training corpus in five stages: toxicity, near duplicates, repeated passages, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
-but the last return the columns of documents (doc_id, text, lang, source, n_chars).
+but the last return the columns of documents (doc_id, text, lang, source, n_chars). Other
+columns, whatever their names, are left behind by the first; an empty table passes all stages
+as one; texts of any length are read whole; null texts count as empty.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches 0.7 go; all others stay as they are."""
+    """Documents whose score reaches 0.7 go; all others stay as they are, repeated rows, null ids and empty texts too."""
     docs = clean(docs)
     model = toxicity.model_of(docs, table(spark, sf_dir, "labels"))
     return clean(toxicity.score(docs, model, COLUMNS).where(F.col("score") < toxicity.THRESHOLD))
@@ -39,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages of 200 bytes or more that occur elsewhere go; documents that had text and are left with none go too."""
+    """Bytes of passages of 200 bytes or more that occur elsewhere go, the first occurrence too; documents that had text and are left with none go as well, those that had none stay."""
     docs = clean(docs)
     cut = suffixes.remove_repeats(docs, extra=("lang", "source"))
     cut = cut.where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
@@ -47,7 +49,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for each pass over its source that takes words of it; documents without words stay."""
+    """Each document once for each pass over its source that takes words of it; documents without words stay. Null sources form one; rows that tie are the same."""
     docs = clean(docs).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
     mixed = mixing.mix(docs, extra=("h1", "h2", "lang", "n_chars"))
     passes = [F.when(F.col(f"epoch_{e}") > 0, F.lit(e)) for e in range(mixing.MOST)]
