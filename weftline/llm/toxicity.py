@@ -3,10 +3,10 @@
 Fitting (labelled rows only, FIT of them at most, the first by hash, one of each group
 of near copies, lest the words of a copied text pass for signs of its label): words
 and word stems whose documents are toxic beyond chance form the lexicon; words near a
-lexicon term whose rate in toxic rows is below RATIO times that in clean rows are cleared. Hits are weighed by a logistic model
-of four counts: exact, misspelled, quoted and aimed hits. All labelled counts that
-reach the driver are bounded: CANDIDATES terms, CLEARED near words and the cells of
-the capped counts.
+lexicon term whose rate in toxic rows is below RATIO times that in clean rows are cleared.
+Hits are weighed by a logistic model of four counts: exact, misspelled, quoted and aimed hits.
+What reaches the driver are counts of words and of hits of the labelled rows, of which
+FIT is the only bound; no list of them is cut.
 
 An automaton for "at most k edits" is run as k + 1 bit masks of positions in the
 term (insertions, deletions, substitutions in one step a character), along all
@@ -29,21 +29,22 @@ from pyspark.sql import functions as F
 from .common import buffer_of, chunks, map_batches, stored, table, text_or_empty
 from .neardup import shingles_of, signatures
 
-#: Labelled rows of a fit, lexicon terms looked at and kept, cleared words kept, words known to a worker.
-FIT, CANDIDATES, TERMS, CLEARED, CACHE = 30_000, 20_000, 500, 20_000, 300_000
+#: Labelled rows of a fit, words known to a worker.
+FIT, CACHE = 30_000, 150_000
 #: Likelihood ratio of toxic to clean rows below which a near word is cleared, or the near words of a term are; share of a term's rows that is taken to be misspelled before any are seen.
 RATIO, MISSPELLED = 4, 0.01
 #: Pairs of minima by which copies among the labelled rows are told.
 COPY_KEYS = 8
 THRESHOLD = 0.7
-#: Words on each side of a hit that tell abuse from quotation; caps of the counts.
-WINDOW, CAPS = 6, (6, 3, 3, 3)
+#: Words on each side of a hit that tell abuse from quotation.
+WINDOW = 6
 STEMS = range(4, 9)
 ADDRESSED = frozenset("you your you're youre u ur yourself du dein deine dich dir tu te toi vous tú ti usted".split())
 REPORTED = frozenset("said says wrote writes called quote quoted quoting sagte schrieb zitat dit écrit dijo escribió".split())
 QUOTES = '"“”„«»‹›'
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 LETTERS = re.compile(r"[^\W\d_]+")
+BLANKS = re.compile(r"[ \t-\r]+")
 
 
 def edits(term_length: int) -> int:
@@ -174,14 +175,37 @@ def targets_of(model: Model) -> list[str]:
     return sorted((model.terms | model.family | {s + "*" for s in model.stems}) - model.crowded)
 
 
+START, END = r"(?:^|[^\p{L}])", r"(?:$|[^\p{L}])"
+
+
+def candidates(model: Model, terms_each: int = 40) -> list[str]:
+    """Patterns, one of which every lower-case white-space word with a mark matches: pieces of terms at their places, swapped terms, short terms, quotation marks, addresses and reports."""
+    fixed = "|".join(map(re.escape, sorted(ADDRESSED | REPORTED)))
+    out = [f"[{QUOTES}]|^[>']|{START}(?:{fixed}){END}"]
+    parts: list[list[str]] = []
+    for name in sorted(model.terms | model.family | {s + "*" for s in model.stems}):
+        term = name.removesuffix("*")
+        k = edits(len(term))
+        cut = [len(term) * i // (k + 1) for i in range(k + 2)]
+        own = [f".{{{max(0, i - k)},{i + k}}}{re.escape(term[i:j])}" for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        parts.append(own + [re.escape(w) for w in sorted(swaps(term))] * (k == 1))
+    for i in range(0, len(parts), terms_each):
+        out.append(f"{START}(?:{'|'.join(x for own in parts[i : i + terms_each] for x in own)})")
+    return out
+
+
 class Matcher:
-    """Marks of white-space words: 1 exact hit, 2 misspelled hit, 4 quotation mark, 8 address, 16 report; cached."""
+    """Marks of white-space words: 1 exact hit, 2 misspelled hit, 4 quotation mark, 8 address, 16 report; cached.
+
+    Most words match none of the :func:`candidates` and are never looked at one by one.
+    """
 
     def __init__(self, model: Model):
         self.model, self.trie, self.known = model, Trie(), {}
         for t in targets_of(model):
             self.trie.add(t)
         self.lengths = sorted({len(s) for s in model.stems})
+        self.patterns = candidates(model)
 
     def mark(self, chunk: str) -> int:
         got = self.known.get(chunk)
@@ -211,7 +235,13 @@ class Matcher:
 
         split = pc.ascii_split_whitespace(col)
         coded = pc.dictionary_encode(split.flatten())
-        marks = np.array([self.mark(w) for w in coded.dictionary.to_pylist()] or [0], np.uint8)
+        low = pc.utf8_lower(coded.dictionary)
+        some = np.zeros(len(low), bool)
+        for pattern in self.patterns:
+            some |= pc.match_substring_regex(low, pattern=pattern).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(some)
+        marks = np.zeros(max(1, len(low)), np.uint8)
+        marks[at] = [self.mark(w) for w in coded.dictionary.take(pa.array(at)).to_pylist()]
         m = marks[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint8)
         to = split.offsets.to_numpy().astype(np.int64)
         to -= to[0]
@@ -244,7 +274,7 @@ def _document_counts(of_chunk):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 own: set[str] = set()
-                for chunk in set(text.split()):
+                for chunk in set(BLANKS.split(text)):
                     terms = known.get(chunk)
                     if terms is None:
                         if len(known) > CACHE:
@@ -267,6 +297,11 @@ def terms_of(chunk: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
+def least_of(na: int) -> int:
+    """Toxic rows that a lexicon term stands in at the least."""
+    return max(3, na // 100)
+
+
 def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
     """Words, stems that cover more than any of their words, and the words of these stems, in 1 % of the toxic rows at least, with a likelihood ratio over 20 and 20 times the rate of clean rows."""
 
@@ -277,7 +312,7 @@ def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[fro
             return 0.0
         return 2 * (x * math.log(x / (na * p)) + (y * math.log(y / (nb * p)) if y else 0))
 
-    least = max(3, na // 100)
+    least = least_of(na)
     strong = {t: s for t in a if a[t] >= least and (s := strength(t)) > 20}
     words = {t for t in strong if t[-1] != "*"}
     most: Counter[str] = Counter()
@@ -289,10 +324,8 @@ def lexicon(a: dict[str, int], b: dict[str, int], na: int, nb: int) -> tuple[fro
     # Of nested stems with about the same documents the longest, which is the most specific.
     stems = {s for s in stems if not any(o != s and o.startswith(s) and a[o + "*"] >= 0.9 * a[s + "*"] for o in stems)}
     stems = {s for s in stems if not any(o != s and s.startswith(o) for o in stems)}
-    kept = frozenset(sorted(stems, key=lambda s: (-strong[s + "*"], s))[:TERMS])
-    family = {w for w in words if any(w.startswith(s) for s in stems)}
-    top, more = (sorted(x, key=lambda t: (-strong[t], t))[:TERMS] for x in (words - family, family))
-    return frozenset(top), kept, frozenset(more)
+    family = frozenset(w for w in words if any(w.startswith(s) for s in stems))
+    return frozenset(words) - family, frozenset(stems), family
 
 
 def judged(clean: dict[str, int], toxic: dict[str, int], find, a: dict[str, int], na: int, nb: int) -> tuple[frozenset[str], frozenset[str]]:
@@ -313,7 +346,7 @@ def signals(counts: np.ndarray) -> np.ndarray:
 
 
 def fit_weights(cells: list[tuple[tuple[int, ...], int, int]]) -> tuple[float, ...]:
-    """Logistic weights (bias first, others not below 0) of the capped counts by ridge-penalised Newton steps.
+    """Logistic weights (bias first, others not below 0) of the counts by ridge-penalised Newton steps.
 
     Kinds of hits that no labelled row has get a share of the weight of exact ones:
     0.8 for misspelled, 0.2 for quoted, 0.1 for aimed hits.
@@ -349,22 +382,21 @@ def _pairs_of_minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def without_copies(rows: DataFrame) -> DataFrame:
-    """Ids of rows (at most FIT of them) that share no pair of minima with an earlier row; texts without words stay."""
-    seen: list[set[int]] = [set() for _ in range(COPY_KEYS)]
-    kept = []
-    for r in map_batches(rows.select("id", "text"), _pairs_of_minima, "id long, keys array<long>").orderBy("id").collect():
-        if not any(r["keys"]) or not any(k in own for k, own in zip(r["keys"], seen, strict=True)):
-            kept.append((r["id"],))
-        for k, own in zip(r["keys"], seen, strict=True):
-            own.add(k)
-    return rows.sparkSession.createDataFrame(kept, "id long")
+    """Ids of rows that share no pair of minima with an earlier row; texts without words stay."""
+    keys = stored(map_batches(rows.select("id", "text"), _pairs_of_minima, "id long, keys array<long>"))
+    each = keys.where(F.exists("keys", lambda k: k != 0)).select("id", F.posexplode("keys").alias("slot", "key"))
+    later = each.join(each.groupBy("slot", "key").agg(F.min("id").alias("first")), ["slot", "key"]).where("first < id").select("id").distinct()
+    return keys.select("id").join(later, "id", "left_anti")
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from (text, toxic) rows, as many as the caller has chosen (FIT at most in :func:`model_of`). Null labels are left out; with no rows every score is the same low one."""
+    """A model from (text, toxic) rows, as many as the caller has chosen (FIT at most in :func:`model_of`).
+
+    Null labels are left out; with no rows every score is the same low one.
+    """
     rows = labelled.where(F.col("toxic").isNotNull()).select(text_or_empty().alias("text"), F.col("toxic").cast("int").alias("toxic"))
     rows = stored(rows.repartition(max(8, rows.sparkSession.sparkContext.defaultParallelism)).withColumn("id", F.monotonically_increasing_id()))
-    rows = rows.join(F.broadcast(without_copies(rows)), "id").select("text", "toxic")
+    rows = stored(rows.join(without_copies(rows), "id").select("text", "toxic"))
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     na, nb = counts.get(1, 0), counts.get(0, 0)
     toxic, clean = (rows.where(F.col("toxic") == v).select("text") for v in (1, 0))
@@ -372,7 +404,8 @@ def fit(labelled: DataFrame) -> Model:
     def tally(df: DataFrame, fn) -> DataFrame:
         return map_batches(df, fn, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    a = {r["term"]: r["n"] for r in tally(toxic, _document_counts(terms_of)).where("n >= 3").orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    # A word in too few rows for this is neither a term nor the word that a stem must surpass by 1.3.
+    a = {r["term"]: r["n"] for r in tally(toxic, _document_counts(terms_of)).where(F.col("n") * 1.3 >= least_of(na)).collect()}
     wanted = frozenset(a)
     b = {r["term"]: r["n"] for r in tally(clean, _document_counts(lambda chunk: terms_of(chunk) & wanted)).collect()}
     model = Model(*lexicon(a, b, na, nb))
@@ -384,14 +417,14 @@ def fit(labelled: DataFrame) -> Model:
     def misspelled(chunk: str) -> list[str]:
         return [w for w in words_in(chunk) if w not in model.terms and not any(w[:k] in model.stems for k in sizes) and trie.find(w)]
 
-    near = [{r["term"]: r["n"] for r in tally(df, _document_counts(misspelled)).orderBy(F.desc("n"), "term").limit(CLEARED).collect()} for df in (clean, toxic)]
+    near = [{r["term"]: r["n"] for r in tally(df, _document_counts(misspelled)).collect()} for df in (clean, toxic)]
     model.cleared, model.crowded = judged(*near, trie.find, a, na, nb)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
         for batch in batches:
             for part in _sized(batch, 0):
-                c = np.minimum(matcher.counts(part.column(0)), CAPS)
+                c = matcher.counts(part.column(0))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[:, i]) for i in range(4)), part.column(1)], names=["c0", "c1", "c2", "c3", "toxic"])
 
     got = map_batches(rows, cells, "c0 long, c1 long, c2 long, c3 long, toxic int").groupBy("c0", "c1", "c2", "c3").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()
@@ -407,7 +440,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         w = np.array(model.weights)
         for batch in batches:
             for part in _sized(batch, 0):
-                x = signals(np.minimum(matcher.counts(part.column(0)), CAPS))
+                x = signals(matcher.counts(part.column(0)))
                 s = 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s)], names=[*keep, "score"])
 
@@ -431,11 +464,18 @@ def model_of(docs: DataFrame, labels: DataFrame, most: int = FIT) -> Model:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document, repeated rows each."""
+    """doc_id, held_out, score and predicted for every document, repeated rows each.
+
+    Null and empty texts and those without a hit share one score, that of the bias; null doc_ids
+    are scored too; texts of any length are read whole; equal texts have equal scores; without
+    labels, and for labels of other documents, all scores are low; other columns, whatever
+    their names, aren't read; an empty table gives no rows.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = score(slim, model_of(slim, labels), ["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`toxicity` of all of documents, one row a row: doc_id, held_out, score, predicted."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
