@@ -258,7 +258,7 @@ def plain_text_excerpt(spark, d):
     return table(spark, d, "documents").select("doc_id", text.excerpt(text.clean_text(F.col("text")), 300).alias("excerpt"))
 
 
-@query(f"SELECT doc_id, regexp_replace(replace(replace(text, ' ', ' ' || chr(8203) || chr(8205)), 'e', 'e' || chr(8205)), '{INVISIBLE}', '', 'g') || 'x' AS stripped FROM documents")
+@query(f"SELECT doc_id, regexp_replace(replace(replace(text, ' ', ' ' || chr(8203) || chr(8205)), 'e', 'e' || chr(8205)) || chr(65279) || 'x', '{INVISIBLE}', '', 'g') AS stripped FROM documents")
 def strip_invisible(spark, d):
     noisy = F.replace(F.replace("text", F.lit(" "), F.lit(" \u200b\u200d")), F.lit("e"), F.lit("e\u200d"))
     return table(spark, d, "documents").select("doc_id", text.strip_invisible(F.concat(noisy, F.lit("\ufeffx"))).alias("stripped"))

@@ -296,7 +296,7 @@ def check_pages(spark, d):
 
 # --- Bodies -------------------------------------------------------------------------
 
-_ESCAPED = f"replace(replace(replace({WHOLE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_ESCAPED = f"""replace(replace(replace(replace(replace({WHOLE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), '''', '&#39;')"""
 
 
 @query(f"""
