@@ -2,8 +2,9 @@
 
 The reader walks the chain of image directories in either byte order and decodes
 uncompressed, PackBits, LZW and deflate strips and tiles of 8- and 16-bit integer
-samples, chunky or planar, undoing horizontal prediction. A broken file gives one
-row with its error and no samples instead of failing the job.
+samples, chunky or planar, undoing horizontal prediction. A broken page gives a row with
+its error and no samples, and the pages after it are read all the same; so does a broken
+file. No page is given more memory than its strips or tiles can fill.
 """
 
 from __future__ import annotations
@@ -26,12 +27,17 @@ TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
-ROW, STRIP = 192, 128
+ROW, STRIP, TILE = 192, 128, 64
+#: Bytes that one stored byte can give at most, by compression.
+GROWTH = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: (compression, predictor, tile) in which texts are stored, by crc32 of the payload.
+CODECS = ((LZW, 2, None), (PACKBITS, 1, None), (DEFLATE, 2, TILE), (NONE, 1, TILE), *[(DEFLATE, 2, None)] * 12)
 
 
-def unpack_bits(raw: bytes) -> bytes:
+def unpack_bits(raw: bytes, most: int = 1 << 62) -> bytes:
+    """At least ``most`` bytes, or all."""
     out, i = bytearray(), 0
-    while i < len(raw):
+    while i < len(raw) and len(out) < most:
         n = raw[i]
         i += 1
         if n < 128:
@@ -60,8 +66,8 @@ def pack_bits(raw: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(raw: bytes) -> bytes:
-    """Most significant bit first, 9 to 12 bits, widths rising one code early; 256 clears, 257 ends."""
+def lzw_decode(raw: bytes, most: int = 1 << 62) -> bytes:
+    """At least ``most`` bytes, or all. Most significant bit first, 9 to 12 bits, widths rising one code early; 256 clears, 257 ends."""
     out, words, width, last = bytearray(), [], 9, b""
     bits = have = 0
     for byte in raw:
@@ -85,6 +91,8 @@ def lzw_decode(raw: bytes) -> bytes:
         else:
             raise ValueError("bad LZW code")
         out += word
+        if len(out) >= most:
+            break
         if last:
             words.append(last + word[:1])
         last = word
@@ -180,8 +188,13 @@ def decode_page(data: bytes, f: dict[int, list[int]]) -> np.ndarray:
         raise ValueError("no strips or tiles")
     across, down = -(-width // cell_w), -(-height // cell_h)
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
-    if len(offsets) < across * down * planes:
+    if len(offsets) < across * down * planes or len(counts) < across * down * planes:
         raise ValueError("strips or tiles are missing")
+    if compression not in GROWTH:
+        raise ValueError(f"compression {compression} isn't read")
+    stored = sum(max(0, min(n, len(data) - at)) for at, n in zip(offsets, counts, strict=False))
+    if (samples > 1 << 15) or height * width * samples * kind.itemsize > GROWTH[compression] * stored or cell_w * cell_h > 4 * max(width * height, 1 << 20):
+        raise ValueError("larger than its strips or tiles can fill")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k in range(across * down * planes):
         plane, cell = divmod(k, across * down)
@@ -192,13 +205,11 @@ def decode_page(data: bytes, f: dict[int, list[int]]) -> np.ndarray:
         if compression == NONE:
             plain = raw
         elif compression == PACKBITS:
-            plain = unpack_bits(raw)
+            plain = unpack_bits(raw, need)
         elif compression == LZW:
-            plain = lzw_decode(raw)
-        elif compression in (DEFLATE, OLD_DEFLATE):
-            plain = inflate(raw, need)
+            plain = lzw_decode(raw, need)
         else:
-            raise ValueError(f"compression {compression} isn't read")
+            plain = inflate(raw, need)
         if len(plain) < need:
             raise ValueError("a strip or tile is short")
         block = np.frombuffer(plain, kind, rows * cell_w * depth).reshape(rows, cell_w, depth).astype(kind.newbyteorder("="))
@@ -212,18 +223,22 @@ def decode_page(data: bytes, f: dict[int, list[int]]) -> np.ndarray:
     return out
 
 
-def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip: int = STRIP) -> bytes:
-    """A little-endian file of 8-bit grey pages (height, width) in strips."""
+def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, strip: int = STRIP, tile: int | None = None) -> bytes:
+    """A little-endian file of 8-bit grey pages (height, width) in strips, or in square tiles filled up with zeros."""
     out = bytearray(struct.pack("<2sHI", b"II", 42, 0))
     link = 4
     for page in pages:
         height, width = page.shape
+        if tile:
+            full = np.pad(page, ((0, -height % tile), (0, -width % tile)))
+            cells = [full[y : y + tile, x : x + tile] for y in range(0, height, tile) for x in range(0, width, tile)]
+        else:
+            cells = [page[y : y + strip] for y in range(0, height, strip)]
         offsets, counts = [], []
-        for y in range(0, height, strip):
-            block = page[y : y + strip]
+        for block in cells:
             if predictor == 2:
                 block = np.diff(block, axis=1, prepend=np.uint8(0))
-            raw = block.tobytes()
+            raw = np.ascontiguousarray(block).tobytes()
             raw = {NONE: lambda b: b, PACKBITS: pack_bits, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1)}[compression](raw)
             offsets.append(len(out))
             counts.append(len(raw))
@@ -234,7 +249,12 @@ def encode(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
             if len(values) > 1:
                 out += struct.pack(f"<{len(values)}I", *values)
         out += b"\0" * (len(out) % 2)
-        fields = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (262, 3, 1, 1), (OFFSETS, 4, len(offsets), lists[0]), (SAMPLES, 3, 1, 1), (ROWS, 4, 1, strip), (COUNTS, 4, len(counts), lists[1]), (PREDICTOR, 3, 1, predictor)]
+        fields = [(WIDTH, 4, 1, width), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, compression), (262, 3, 1, 1), (SAMPLES, 3, 1, 1), (PREDICTOR, 3, 1, predictor)]
+        if tile:
+            fields += [(TILE_WIDTH, 3, 1, tile), (TILE_HEIGHT, 3, 1, tile), (TILE_OFFSETS, 4, len(offsets), lists[0]), (TILE_COUNTS, 4, len(counts), lists[1])]
+        else:
+            fields += [(OFFSETS, 4, len(offsets), lists[0]), (ROWS, 4, 1, strip), (COUNTS, 4, len(counts), lists[1])]
+        fields.sort()
         struct.pack_into("<I", out, link, len(out))
         out += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *x) for x in fields)
         link = len(out)
@@ -256,27 +276,45 @@ def feature_of(page: np.ndarray) -> str:
     return f"mean={v.mean():.4f};dev={v.std():.4f};hash={int(''.join('1' if b else '0' for b in bits), 2):016x}"
 
 
+BROKEN = (ValueError, struct.error, zlib.error, IndexError, MemoryError, OverflowError)
+
+
+def pages_of(data: bytes) -> Iterator[tuple[int, np.ndarray | None, str | None]]:
+    """(page, samples or None, error or None) of a file; a broken directory ends it."""
+    walk, page = directories(data), 0
+    while True:
+        try:
+            fields = next(walk)
+        except StopIteration:
+            return
+        except BROKEN as e:
+            yield page, None, str(e) or type(e).__name__
+            return
+        try:
+            yield page, decode_page(data, fields), None
+        except BROKEN as e:
+            yield page, None, str(e) or type(e).__name__
+        page += 1
+
+
 def tiff_pages(df: DataFrame, content: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row a page: columns ``keep``, page (from 0), width, height, samples, bits, pixels (bytes, row by row, little-endian), feature, error.
 
-    Null, empty and broken files, and broken pages, give one row with null pixels and an error.
+    Null, empty and broken files, and broken pages, give one row with null pixels and an error;
+    the pages after a broken one are read. Repeated rows are all returned; files of any length are
+    read whole; columns other than ``content`` and ``keep`` aren't read, whatever their
+    names; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
             for i, value in enumerate(batch.column(0)):
-                data, page = value.as_py() or b"", 0
-                try:
-                    for page, fields in enumerate(directories(data)):
-                        x = decode_page(data, fields)
-                        at.append(i)
-                        rows.append((page, x.shape[1], x.shape[0], x.shape[2], 8 * x.itemsize, x.astype(x.dtype.newbyteorder("<")).tobytes(), feature_of(x), None))
-                except (ValueError, struct.error, zlib.error, IndexError, MemoryError, OverflowError) as e:
+                for page, x, error in pages_of(value.as_py() or b""):
                     at.append(i)
-                    rows.append((page, None, None, None, None, None, None, str(e) or type(e).__name__))
+                    rows.append((page, None, None, None, None, None, None, error) if x is None else (page, x.shape[1], x.shape[0], x.shape[2], 8 * x.itemsize, x.astype(x.dtype.newbyteorder("<")).tobytes(), feature_of(x), None))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kept = batch.select(list(keep)).take(pa.array(at, pa.int64())).columns if keep else []
+            kept = batch.take(pa.array(at, pa.int64())).columns[1:]
             types = [pa.int32()] * 5 + [pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*keep, "page", "width", "height", "samples", "bits", "pixels", "feature", "error"])
 
@@ -285,7 +323,11 @@ def tiff_pages(df: DataFrame, content: str = "media", keep: tuple[str, ...] = ()
 
 
 def store_texts(docs: DataFrame, row: int = ROW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up with blanks to whole rows of ``row`` samples, as a one-page deflate TIFF. Null texts count as empty."""
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up with blanks to whole rows of ``row`` samples, as a one-page TIFF.
+
+    The payload's crc32 picks one of CODECS, so equal texts are stored alike. Null texts count as
+    empty; repeated rows are all returned; other columns aren't read; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +336,8 @@ def store_texts(docs: DataFrame, row: int = ROW, id_col: str = "doc_id", text_co
                 raw = text.encode()
                 sizes.append(len(raw))
                 page = np.frombuffer(raw.ljust(max(1, -(-len(raw) // row)) * row, b" "), np.uint8).reshape(-1, row)
-                media.append(encode([page]))
+                compression, predictor, tile = CODECS[zlib.crc32(page) % len(CODECS)]
+                media.append(encode([page], compression, predictor, tile=tile))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -302,6 +345,7 @@ def store_texts(docs: DataFrame, row: int = ROW, id_col: str = "doc_id", text_co
 
 
 def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents stored by :func:`store_texts` and read back by :func:`tiff_pages`, one row a row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
     stored = store_texts(table(spark, sf_dir, "documents")).withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     pages = tiff_pages(stored, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     return pages.select("doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
