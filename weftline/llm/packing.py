@@ -2,9 +2,11 @@
 
 Pieces are dealt to partitions; each packs its own by best-fit decreasing and
 compares its bin count with a dual-feasible-function lower bound. Bins of a
-partition that has a gap, unless they are full, are opened again: their pieces
+partition that has a gap, unless they are full, are opened again, and so is the emptiest
+bin of a certified one while the bins of all exceed the bound of all pieces: their pieces
 are exchanged among fewer partitions and packed anew, until the bins meet the
 bound of all pieces, no partition has a gap or one partition has held the rest.
+The bound of all pieces comes with the result.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .common import buffer_of, chunks, map_batches, of_worker, stored, table, te
 LENGTH = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Pieces a packing partition holds at the least; entries of a worker's word cache.
-PER_PARTITION, CACHE = 50_000, 500_000
+#: Pieces a packing partition holds at the least, and at the most when open bins are exchanged; entries of a worker's word cache.
+PER_PARTITION, MOST, CACHE = 50_000, 2_000_000, 350_000
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,11 @@ class WordIds:
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): token ids and an end id, cut every ``length`` ids. A null or empty text has the end id alone."""
+    """(doc_id, piece, start, length, ids_crc32): token ids and an end id, cut every ``length`` ids.
+
+    A null or empty text has the end id alone; texts of any length are read whole; repeated rows
+    are all cut; other columns, whatever their names, aren't read; an empty table gives no rows.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary
@@ -145,11 +151,12 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
     return map_batches(slim, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(sizes: np.ndarray, capacity: int = LENGTH) -> int:
-    """Bins that any packing needs: the best of the volume bound and Fekete-Schepers' functions u(k) and U(e)."""
+def lower_bound(sizes: np.ndarray, capacity: int = LENGTH, times: np.ndarray | None = None) -> int:
+    """``times``: how often each size stands (once). Bins that any packing needs: the best of the volume bound and Fekete-Schepers' functions u(k) and U(e)."""
     if not len(sizes):
         return 0
-    count = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    count = np.zeros(capacity + 1, np.int64)
+    np.add.at(count, sizes, 1 if times is None else times)
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     number, volume = np.cumsum(count), np.cumsum(count * x)
@@ -187,11 +194,20 @@ def best_fit(sizes: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.
     return bins, offsets, np.array(fill, np.int64)
 
 
-def pack(cut: DataFrame, capacity: int = LENGTH, per_partition: int = PER_PARTITION, rounds: int = 6) -> DataFrame:
-    """Adds sequence_id and offset to pieces (columns of :func:`pieces`).
+def bound_of(cut: DataFrame, capacity: int = LENGTH) -> int:
+    """Sequences that any packing of all pieces needs, from their histogram (``capacity`` rows at most)."""
+    rows = cut.groupBy("length").agg(F.count("*").alias("n")).collect()
+    return lower_bound(np.array([r["length"] for r in rows], np.int64), capacity, np.array([r["n"] for r in rows], np.int64))
+
+
+def pack(cut: DataFrame, capacity: int = LENGTH, per_partition: int = PER_PARTITION) -> DataFrame:
+    """Adds sequence_id, offset and bound to pieces (columns of :func:`pieces`).
 
     Every piece is packed, repeated rows too; sequences are gapless from 0 and hold
-    ``capacity`` ids at most. An empty table gives no rows.
+    ``capacity`` ids at most. ``bound``, the same on every row, is the number of sequences that no
+    packing of all pieces goes below: rounds end when it is met, when
+    one partition has held all that was open, or when fewer partitions would hold over MOST pieces each
+    and a round gains nothing. An empty table gives no rows.
     """
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, again boolean"
@@ -207,27 +223,37 @@ def pack(cut: DataFrame, capacity: int = LENGTH, per_partition: int = PER_PARTIT
             sizes = rows["length"].to_numpy()
             bins, offsets, fill = best_fit(sizes, capacity)
             gap = len(fill) > lower_bound(sizes, capacity)
-            again = (fill < capacity)[bins] if gap else np.zeros(len(bins), bool)
+            open_ = fill < (capacity if gap else min(capacity, fill.min() + 1))  # a certified partition gives its emptiest bins only
+            again = open_[bins]
             ids = bins + ((turn * 1_000_000 + TaskContext.get().partitionId()) << 24)
             out = rows.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets)).append_column("again", pa.array(again))
             yield from out.to_batches(max_chunksize=10_000)
 
         return run
 
-    rest, done = cut.select(columns), None
-    total = rest.count()
-    parts = max(1, total // per_partition)
-    for turn in range(rounds):
-        dealt = rest.repartition(parts, F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(turn)))
+    def sequences(packed: DataFrame) -> int:
+        return packed.where("offset = 0 and length > 0").count()
+
+    rest, done, full, before, turn = stored(cut.select(columns)), None, 0, None, 0
+    total, bound = rest.count(), bound_of(rest, capacity)
+    parts = max(1, -(-total // per_partition))
+    while True:
+        # A number a row, not its content: repeated rows are dealt apart.
+        dealt = rest.repartition(parts, F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)))
         packed = stored(map_batches(dealt, packer(turn), schema))
+        bins = sequences(packed)
         keep, again = packed.where("not again"), packed.where("again")
-        left = again.count() if parts > 1 and turn + 1 < rounds else 0
-        done = (packed if not left else keep) if done is None else done.unionByName(packed if not left else keep)
-        if not left:
+        left = again.count() if parts > 1 and full + bins > bound else 0
+        least = -(-left // MOST)
+        if not left or (parts <= least and before is not None and bins >= before):
+            done = packed if done is None else done.unionByName(packed)
             break
-        rest, parts = again.select(columns), max(1, min(parts // 2, left // per_partition))
-    return done.drop("again")
+        done = keep if done is None else done.unionByName(keep)
+        full += sequences(keep)
+        rest, parts, before, turn = again.select(columns), max(1, least, min(parts // 2, left // per_partition)), sequences(again), turn + 1
+    return done.drop("again").withColumn("bound", F.lit(bound).cast("long"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(stored(pieces(table(spark, sf_dir, "documents"))))
+    """:func:`pack` of the :func:`pieces` of all of documents, one row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, bound."""
+    return pack(pieces(table(spark, sf_dir, "documents")))
