@@ -12,7 +12,7 @@ from ..functions.arrays import distinct_ignoring_case, join_names
 from ..functions.dates import parse_date
 from ..functions.text import excerpt
 from ..functions.url import host
-from ..html.body import content_stats, normalize, plain_text
+from ..html.body import content_stats, measured, normalize, plain_text
 from ..html.page import Page
 from ..plans.config import ItemConfig, Site
 
@@ -115,3 +115,23 @@ def text_of(c: Column) -> Column:
 
 def stats_of(c: Column) -> Column:
     return html_column(lambda h: content_stats(h or ""), c, "map<string,int>")
+
+
+_MEASURES = pa.struct([("stats", pa.map_(pa.string(), pa.int32())), ("counts", pa.map_(pa.string(), pa.int32())), ("text", pa.string())])
+
+
+def measured_of(c: Column) -> Column:
+    """struct(stats, counts, text) of bodies: one tree a body, and equal bodies of a batch are read once."""
+
+    def run(bodies: pa.Array) -> pa.Array:
+        coded = bodies.fill_null("").dictionary_encode()
+        made = [dict(zip(("stats", "counts", "text"), (list(stats.items()), list(counts.items()), text), strict=True)) for stats, counts, text in map(measured, coded.dictionary.to_pylist())]
+        return pa.array(made, _MEASURES).take(coded.indices)
+
+    run.__annotations__ = {"bodies": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "stats map<string,int>, counts map<string,int>, text string")(c)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: a small file of many rows would be one task, however long its rows take in Python."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
