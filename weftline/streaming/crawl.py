@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import checkpoint
 from ..operators.discovery import DiscoveryFailure, accepted, union_dedupe
 from ..operators.planning import plan
 from ..operators.state import Store
@@ -37,18 +38,27 @@ def found_by(d: Discovery, responses: DataFrame) -> DataFrame:
     if d.type == "sitemap":
         return sitemap_tree(d.url, responses)
     if d.type == "feed":
-        got = answered(spark.createDataFrame([(d.url,)], "url string"), responses)
-        if bad := got.where("error <> ''").select("error").take(1):
-            raise SourceFailure(f"feed {d.url}: {bad[0]['error']}")
-        return feed_candidates(got.select(F.col("final_url").alias("url"), "body")).withColumn("pos", F.array("pos"))
+        return in_feeds({0: d}, responses)[0]
     rows = read_listing(d.url, lambda u: (lambda body, final: (body.decode("utf-8", "replace"), final))(*_one(u, responses)), d.link_selector, d.next_selector, d.max_pages)
     return spark.createDataFrame([(u, h, [i]) for i, (u, h) in enumerate(rows)], CANDIDATE)  # links of ``max_pages`` pages at most
 
 
+def in_feeds(feeds: dict[int, Discovery], responses: DataFrame) -> dict[int, DataFrame]:
+    """Candidates (url, hints, pos) of feeds by number. All are fetched in one pass over the responses."""
+    if not feeds:
+        return {}
+    got = answered(responses.sparkSession.createDataFrame([(d.url, i) for i, d in feeds.items()], "url string, feed int"), responses)
+    if bad := got.where("error <> ''").select("url", "error").take(1):
+        raise SourceFailure(f"feed {bad[0]['url']}: {bad[0]['error']}")
+    found = checkpoint(feed_candidates(got.select(F.col("final_url").alias("url"), "body", "feed"), keep=("feed",)).withColumn("pos", F.array("pos")))
+    return {i: found.where(F.col("feed") == i).drop("feed") for i in feeds}
+
+
 def candidates(site: Site, responses: DataFrame) -> DataFrame:
     """(site_id, url, hints, ord) of all ways of discovery. One that fails fails the whole."""
     try:
-        parts = [accepted(found_by(d, responses), d, i) for i, d in enumerate(site.discovery)]
+        feeds = in_feeds({i: d for i, d in enumerate(site.discovery) if d.type == "feed"}, responses)
+        parts = [accepted(feeds[i] if i in feeds else found_by(d, responses), d, i) for i, d in enumerate(site.discovery)]
     except SourceFailure as e:
         raise DiscoveryFailure(f"{site.id}: {e}") from e
     return union_dedupe(parts).withColumn("site_id", F.lit(site.id))
