@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import OUT_ROWS, map_batches
 from ..durable import checkpoint
 from ..functions.url import authority, clean_url, py_resolve
 from ..plans.control import Robots
@@ -88,15 +89,13 @@ def answered(targets: DataFrame, responses: DataFrame, hops: int = HOPS, max_bod
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, kind, loc, lastmod) of the entries of sitemaps. Columns: body, path."""
     for batch in batches:
-        paths, kinds, locs, mods = [], [], [], []
-        for body, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            kind, entries = parse_sitemap(body or b"")
-            for k, (loc, mod) in enumerate(entries):
-                paths.append([*path, k])
-                kinds.append(kind)
-                locs.append(loc)
-                mods.append(mod)
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.list_(pa.int32())), pa.array(kinds, pa.string()), pa.array(locs, pa.string()), pa.array(mods, pa.string())], names=["path", "kind", "loc", "lastmod"])
+        for i in range(batch.num_rows):  # a body at a time
+            kind, entries = parse_sitemap(batch.column(0)[i].as_py() or b"")
+            path = batch.column(1)[i].as_py()
+            for at in range(0, len(entries), OUT_ROWS):
+                part = entries[at : at + OUT_ROWS]
+                paths = pa.array([[*path, k] for k in range(at, at + len(part))], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([paths, pa.array([kind] * len(part), pa.string()), pa.array([loc for loc, _ in part], pa.string()), pa.array([mod for _, mod in part], pa.string())], names=["path", "kind", "loc", "lastmod"])
 
 
 def sitemap_tree(root: str, responses: DataFrame, depth: int = DEPTH, children: int = CHILDREN) -> DataFrame:
@@ -114,7 +113,7 @@ def sitemap_tree(root: str, responses: DataFrame, depth: int = DEPTH, children:
             raise SourceFailure(f"sitemap {bad[0]['url']}: {bad[0]['error']}")
         if turn == 1:
             hosts |= {urlsplit(r["final_url"]).netloc.lower() for r in got.select("final_url").take(1)}
-        entries = checkpoint(got.select("body", "path").mapInArrow(_maps, "path array<int>, kind string, loc string, lastmod string"))
+        entries = checkpoint(map_batches(got.select("body", "path"), _maps, "path array<int>, kind string, loc string, lastmod string"))
         leaves = entries.where("kind = 'urlset'")
         found = leaves if found is None else found.unionByName(leaves)
         index = entries.where("kind = 'sitemapindex'")
