@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import map_batches
 from ..functions.arrays import distinct_ignoring_case, join_names
 from ..functions.dates import parse_date
 from ..functions.text import excerpt
@@ -46,7 +47,7 @@ def raw_fields(pages: DataFrame, item: ItemConfig, keep: tuple[str, ...] = ()) -
 
     types = dict(pages.dtypes)
     slim = pages.select(F.col("html").cast("string"), final.alias("final_url"), hints.alias("hints"), *keep)
-    return slim.mapInArrow(run, "".join(f"`{c}` {types[c]}, " for c in keep) + _RAW)
+    return map_batches(slim, run, "".join(f"`{c}` {types[c]}, " for c in keep) + _RAW)
 
 
 def _date(raw: Column, layouts: tuple[str, ...], tz: str) -> Column:
@@ -96,7 +97,7 @@ def bodies(extracted: DataFrame, site: Site) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(html, pa.string()), pa.array([plain_text(h) for h in html], pa.string())], names=[*batch.schema.names, "content_html", "content_text"])
 
     types = ", ".join(f"`{c}` {t}" for c, t in extracted.dtypes)
-    out = extracted.mapInArrow(run, types + ", content_html string, content_text string")
+    out = map_batches(extracted, run, types + ", content_html string, content_text string")
     return out.withColumn("summary", F.when(F.col("summary") == "", excerpt(F.col("content_text"), 300)).otherwise(F.col("summary")))
 
 
